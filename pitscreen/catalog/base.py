@@ -16,12 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def finish(df: DataFrame, digits: int = 6) -> DataFrame:
+def finish(df: DataFrame, digits: int | None = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = (c.cast("double") if digits is None else F.round(c.cast("double"), digits)) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         cols.append(c.alias(f.name))
@@ -40,8 +40,9 @@ def _needed(sql: str, found: list[str], open_: tuple[str, ...] = ()) -> None:
         found.append(name)
 
 
-def oracle(sql: str, d: str = "", i: str = "", digits: int = 6) -> str:
-    swaps = [f"round(CAST({c} AS DOUBLE), {digits}) + 0.0::DOUBLE AS {c}" for c in d.split()]
+def oracle(sql: str, d: str = "", i: str = "", digits: int | None = 6) -> str:
+    number = "CAST({c} AS DOUBLE)" if digits is None else "round(CAST({c} AS DOUBLE), " + f"{digits})"
+    swaps = [f"{number.format(c=c)} + 0.0::DOUBLE AS {c}" for c in d.split()]
     swaps += [f"CAST({c} AS BIGINT) AS {c}" for c in i.split()]
     found: list[str] = []
     _needed(sql, found)
@@ -51,7 +52,7 @@ def oracle(sql: str, d: str = "", i: str = "", digits: int = 6) -> str:
     return f"WITH {recursive}" + ",\n".join(parts) + f"\nSELECT *{replace} FROM answer"
 
 
-def query(name: str, sql: str | None = None, d: str = "", i: str = "", digits: int = 6):
+def query(name: str, sql: str | None = None, d: str = "", i: str = "", digits: int | None = 6):
     """Register a query; `d` and `i` list the double and integer columns of its SQL."""
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:

@@ -33,10 +33,9 @@ def _(spark, sf):
 @query("src_03_unsplit_bars", """
 SELECT b.ticker, b.date, b.close * coalesce(s.f, 1) AS close, coalesce(s.f, 1) AS split_factor FROM bars b LEFT JOIN (
   SELECT b.ticker, b.date, product(s.ratio) AS f FROM bars b JOIN splits s ON s.ticker = b.ticker AND s.split_date > b.date GROUP BY 1, 2) s USING (ticker, date)""",
-       d="close split_factor")
+       d="close split_factor", digits=None)
 def _(spark, sf):
-    # Scaled so that the product of many ratios keeps six digits.
-    return src_bars.unsplit_bars(star.bars(spark, sf), star.splits(spark, sf)).select("ticker", "date", "close", "split_factor").where("true")
+    return src_bars.unsplit_bars(star.bars(spark, sf), star.splits(spark, sf)).select("ticker", "date", "close", "split_factor")
 
 
 def _facts_json(spark, sf):
@@ -190,7 +189,7 @@ def _month_caps(spark, sf):
     return uni.market_caps(_month_requests(spark, sf), star.bars(spark, sf), star.facts(spark, sf))
 
 
-@query("snk_03_cap_grid_refresh", "SELECT ticker, as_of, CASE WHEN as_of < DATE '1999-01-01' THEN -1.0 ELSE mcap END AS mcap FROM caps_month", d="mcap")
+@query("snk_03_cap_grid_refresh", "SELECT ticker, as_of, CASE WHEN as_of < DATE '1999-01-01' THEN -1.0 ELSE mcap END AS mcap FROM caps_month", d="mcap", digits=None)
 def _(spark, sf):
     req = _month_requests(spark, sf).select("ticker", "as_of")
     stored = req.withColumn("mcap", F.lit(-1.0))
@@ -203,7 +202,8 @@ def _(spark, sf):
 @query("snk_04_recent_alerts", "SELECT ticker, date AS as_of FROM crossed WHERE date > DATE '2001-03-01' AND date <= DATE '2001-03-31'")
 def _(spark, sf):
     path = scratch_path(spark, "alerts")
-    sinks.write_daily(event_study.score_crossings(star.bars(spark, sf)).select("ticker", F.col("date").alias("as_of")), path)
+    rows = event_study.score_crossings(star.bars(spark, sf)).select("ticker", F.col("date").alias("as_of"))
+    sinks.write_daily(rows.withColumn("month", F.trunc("as_of", "month")), path, by="month")
     return sinks.recent_alerts(spark, path, F.lit("2001-03-31").cast("date")).select("ticker", "as_of")
 
 
@@ -374,12 +374,12 @@ def _(spark, sf):
     return uni.close_asof(_month_requests(spark, sf), star.bars(spark, sf))
 
 
-@query("uni_05_market_cap", "SELECT ticker, as_of, raw_close, shares, mcap FROM caps_month", d="raw_close shares mcap")
+@query("uni_05_market_cap", "SELECT ticker, as_of, raw_close, shares, mcap FROM caps_month", d="raw_close shares mcap", digits=None)
 def _(spark, sf):
     return _month_caps(spark, sf).drop("month")
 
 
-@query("uni_06_top_n", "SELECT ticker, as_of, mcap, cap_rank FROM ranked WHERE cap_rank <= 20", d="mcap", i="cap_rank")
+@query("uni_06_top_n", "SELECT ticker, as_of, mcap, cap_rank FROM ranked WHERE cap_rank <= 20", d="mcap", i="cap_rank", digits=None)
 def _(spark, sf):
     return uni.top_by_cap(_month_caps(spark, sf), 20).select("ticker", "as_of", "mcap", "cap_rank")
 
@@ -458,7 +458,7 @@ def _(spark, sf):
 
 @query("joi_05_asof_shifted", """
 SELECT c.ticker, c.date, a.close AS level_now, b.close AS level_later FROM crossed c ASOF LEFT JOIN bench a ON a.date <= c.date ASOF LEFT JOIN bench b ON b.date <= c.date + 30""",
-       d="level_now level_later")
+       d="level_now level_later", digits=10)
 def _(spark, sf):
     from ..operators.curve import timing_cost
     b = star.bars(spark, sf)

@@ -12,7 +12,7 @@ def membership_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     skipped, tickers are trimmed, distinct and sorted, empty lists dropped."""
     parts = F.from_csv(column, "d string, t string", {"quote": '"', "mode": "PERMISSIVE"})
     df = lines.select(parts.alias("_p"))
-    day = F.try_to_date(F.trim("_p.d"), F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(F.trim("_p.d"), "yyyy-MM-dd")
     tickers = F.array_sort(F.array_distinct(split_list(F.col("_p.t"))))
     return df.select(day.alias("date"), tickers.alias("tickers")).where(F.col("date").isNotNull() & (F.size("tickers") > 0))
 
@@ -28,7 +28,7 @@ def exploded(membership: DataFrame) -> DataFrame:
 
 def members_by_add_date(constituents: DataFrame, as_of: Column) -> DataFrame:
     """constituents(symbol, date_added text): members added by `as_of`; an unreadable date counts as a member."""
-    added = F.try_to_date(F.trim("date_added"), F.lit("yyyy-MM-dd"))
+    added = F.try_to_date(F.trim("date_added"), "yyyy-MM-dd")
     return constituents.withColumn("_d", added).where(F.col("_d").isNull() | (F.col("_d") <= as_of)).select("symbol")
 
 

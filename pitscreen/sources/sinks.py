@@ -7,8 +7,9 @@ IMMUTABLE_AFTER_DAYS = 120
 
 
 def write_daily(df: DataFrame, path: str, by: str = "as_of") -> None:
-    """Replace only the days present in `df`; other days stay as they are."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path))
+    """Replace only the days present in `df`; other days stay as they are.
+    Rows are rebalanced by day first: few files per day, and a large day is split over tasks."""
+    (df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path))
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "ticker", sort: str = "date") -> None:
@@ -31,8 +32,11 @@ def refresh_cap_grid(requests: DataFrame, existing: DataFrame, today: Column, co
 
 
 def recent_alerts(spark: SparkSession, path: str, today: Column, days: int = 30) -> DataFrame:
-    """Stored alerts of the last days, newest first; the day filter prunes partitions."""
+    """Stored alerts of the last days, newest first. The filter prunes partitions by day, or by
+    month where the store is partitioned by `month`."""
     df = spark.read.parquet(path)
+    if "month" in df.columns:
+        df = df.where(F.col("month") >= F.trunc(F.date_sub(today, days), "month"))
     return recent_rows(df, today, days).orderBy(F.desc("as_of"), "ticker")
 
 

@@ -87,12 +87,16 @@ def reliability(spreads: DataFrame, by: str = "factor", threshold: float = 2 / 3
 
 
 def rank_factors(panel: DataFrame, as_of: str = "snapshot_date", limit: int = PLAIN_WINDOW_LIMIT) -> DataFrame:
-    """0-100 ranks per date; debt-to-equity is ranked from high to low."""
-    out = panel.withColumn("_neg_de", -F.col("debt_to_equity"))
-    for column, name in (("revenue_growth_yoy", "rank_growth"), ("_neg_de", "rank_de"), ("roe", "rank_roe"),
-                         ("net_margin", "rank_margin"), ("momentum_12m", "rank_momentum")):
-        out = average_ranks(out, [as_of], column, name, limit)
-    return out.drop("_neg_de")
+    """0-100 ranks per date; debt-to-equity is ranked from high to low. All factors are ranked in one
+    pass over a long table keyed by (factor, date)."""
+    panel = checkpointed(panel)
+    sources = {"rank_growth": F.col("revenue_growth_yoy"), "rank_de": -F.col("debt_to_equity"), "rank_roe": F.col("roe"),
+               "rank_margin": F.col("net_margin"), "rank_momentum": F.col("momentum_12m")}
+    pairs = F.array(*[F.struct(F.lit(n).alias("factor"), c.alias("v")) for n, c in sources.items()])
+    long = panel.select("ticker", as_of, F.explode(pairs).alias("_p")).select("ticker", as_of, "_p.*").where(F.col("v").isNotNull())
+    ranked = average_ranks(long, ["factor", as_of], "v", "rank", limit)
+    wide = ranked.groupBy("ticker", as_of).agg(*[F.max(F.when(F.col("factor") == n, F.col("rank"))).alias(n) for n in sources])
+    return panel.join(wide, ["ticker", as_of], "left")
 
 
 RANK_OF = {"revenue_growth_yoy": "rank_growth", "debt_to_equity": "rank_de", "momentum_12m": "rank_momentum",
@@ -118,6 +122,6 @@ def composite(ranked: DataFrame, schemes: Mapping[str, Mapping[str, float]] | No
 def evaluate_schemes(panel: DataFrame, schemes: Mapping[str, Mapping[str, float]] = WEIGHT_SCHEMES,
                      as_of: str = "snapshot_date", outcome: str = "forward_return_12m") -> tuple[DataFrame, DataFrame]:
     """(spreads per scheme and date, reliability per scheme at the stricter 5-of-7 bar)."""
-    scored = composite(checkpointed(rank_factors(panel, as_of)), schemes)
+    scored = composite(rank_factors(panel, as_of), schemes)
     spreads = decile_spreads(scored, ["scheme", as_of], "composite_score", outcome)
     return spreads, reliability(spreads, "scheme", 5 / 7)

@@ -66,9 +66,12 @@ def _entries(spark, sf):
     return es.score_crossings(star.bars(spark, sf)).select("ticker", "date", "pos")
 
 
-def _paths(spark, sf, horizon=252, full=True, extra=False):
-    scored = ind.recovery_scores(has_history(star.bars(spark, sf), 252))
-    return exits.forward_paths(_entries(spark, sf), scored, horizon, full)
+def _arrays(spark, sf):
+    return es.crossing_paths(star.bars(spark, sf))
+
+
+def _paths(spark, sf):
+    return exits.long_paths(_arrays(spark, sf))
 
 
 @query("evt_08_barrier_capture", """
@@ -221,7 +224,7 @@ JOIN paths p ON p.ticker = g.ticker AND p.entry_date = g.entry_date AND p.day =
 def _family(name, fam):
     @query(name, f"SELECT ticker, entry_date, variant, ret, worst, hold, route FROM ({OUT_SQL}) WHERE family = '{fam}'", d="ret worst", i="hold")
     def _(spark, sf):
-        out = exits.exit_outcomes(_paths(spark, sf)).where(F.col("family") == fam)
+        out = exits.exit_outcomes(_arrays(spark, sf)).where(F.col("family") == fam)
         return out.select("ticker", "entry_date", "variant", "ret", "worst", "hold", "route")
 
 
@@ -238,7 +241,7 @@ METRIC_D = "mean std pct_pos pct_hit20 pct_exit_loss avg_hold p10 median p90 spr
 
 @query("ext_06_variant_metrics", METRIC_SQL, d=METRIC_D, i="n")
 def _(spark, sf):
-    return exits.variant_metrics(exits.exit_outcomes(_paths(spark, sf)))
+    return exits.variant_metrics(exits.exit_outcomes(_arrays(spark, sf)))
 
 
 @query("ext_07_route_means", f"""
@@ -249,7 +252,7 @@ SELECT family, variant, count(*) AS n, avg(ret) FILTER (WHERE route = 'stop') AS
 FROM (SELECT *, CASE WHEN family = 'F3' THEN final_max >= 1 + CAST(regexp_extract(variant, 'Arm.(\\d+)%', 1) AS INT) / CAST(100 AS DOUBLE) END AS armed FROM ({OUT_SQL})) GROUP BY 1, 2""",
        d="mean_stop mean_target mean_time mean_trail mean_never_armed pct_armed pct_stopped pct_winners_stopped", i="n")
 def _(spark, sf):
-    return exits.route_means(exits.exit_outcomes(_paths(spark, sf)))
+    return exits.route_means(exits.exit_outcomes(_arrays(spark, sf)))
 
 
 RANK_SQL = f"""WITH m AS ({METRIC_SQL.replace('CAST(0.223 AS DOUBLE)', 'CAST(-0.15 AS DOUBLE)')})
@@ -264,7 +267,7 @@ WHERE (role = 'top_ux' AND rank <= 5) OR (role IN ('best_of_family', 'max_return
 
 @query("ext_08_ranking", RANK_SQL, d="mean ux spread pct_hit20", i="rank")
 def _(spark, sf):
-    metrics = exits.variant_metrics(exits.exit_outcomes(_paths(spark, sf)), random_mean=-0.15)
+    metrics = exits.variant_metrics(exits.exit_outcomes(_arrays(spark, sf)), random_mean=-0.15)
     return exits.rank_variants(metrics)
 
 

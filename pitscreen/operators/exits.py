@@ -1,9 +1,9 @@
 """Exit rules over the price path that follows each entry.
 
-A path is the long table (ticker, entry_date, day, ratio) for the bars after an
-entry. It is cut from the ticker's own calendar-bounded price array, so no raw
-bar is shuffled per entry, and the running extremes and every rule stay in the
-partitioning by ticker.
+A path is an array of at most `horizon` bars, cut from the ticker's own
+calendar-bounded price series, so no raw bar is shuffled per entry. Rule grids
+run on the arrays where they are; the long form (one row per day) serves
+path-level statistics and stays in the partitioning by ticker.
 """
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import checkpointed
 from .events import HOLD_BARS
 from .ranking import exact_quantiles
 from .windows import KEY, TS, bar_index
@@ -26,8 +27,8 @@ RANDOM_MEAN = 0.223
 HOLD_MEAN = 0.344
 
 
-def forward_paths(entries: DataFrame, bars: DataFrame, horizon: int = HOLD_BARS, full_only: bool = True) -> DataFrame:
-    """entries(ticker, date) to (ticker, entry_date, day, ratio, close, atr); `bars` may carry atr_14."""
+def path_arrays(entries: DataFrame, bars: DataFrame, horizon: int = HOLD_BARS, full_only: bool = True) -> DataFrame:
+    """entries(ticker, date, pos) to (ticker, entry_date, entry_price, entry_atr, ahead[d, c, a]); `bars` may carry atr_14."""
     atr = F.col("atr_14") if "atr_14" in bars.columns else F.lit(None).cast("double")
     series = bars.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(
         F.col(TS).alias("d"), F.col("close").alias("c"), atr.alias("a")))).alias("_bars"))
@@ -35,14 +36,22 @@ def forward_paths(entries: DataFrame, bars: DataFrame, horizon: int = HOLD_BARS,
     cut = entered.join(series, KEY).select(
         KEY, "entry_date", F.element_at("_bars", F.col("_pos"))["c"].alias("entry_price"),
         F.element_at("_bars", F.col("_pos"))["a"].alias("entry_atr"),
-        F.slice("_bars", F.col("_pos") + 1, horizon).alias("_ahead"))
-    cut = cut.where((F.col("entry_price") > 0) & (F.size("_ahead") >= (horizon if full_only else 1)))
-    out = cut.select(KEY, "entry_date", "entry_price", "entry_atr", F.posexplode("_ahead").alias("_i", "_b"))
+        F.slice("_bars", F.col("_pos") + 1, horizon).alias("ahead"))
+    return cut.where((F.col("entry_price") > 0) & (F.size("ahead") >= (horizon if full_only else 1)))
+
+
+def long_paths(arrays: DataFrame) -> DataFrame:
+    """Path arrays to rows (ticker, entry_date, entry_price, entry_atr, day, date, close, atr, ratio)."""
+    out = arrays.select(KEY, "entry_date", "entry_price", "entry_atr", F.posexplode("ahead").alias("_i", "_b"))
     return out.select(KEY, "entry_date", "entry_price", "entry_atr", (F.col("_i") + 1).alias("day"),
                       F.col("_b.d").alias("date"), F.col("_b.c").alias("close"), F.col("_b.a").alias("atr"),
                       (F.col("_b.c") / F.col("entry_price")).alias("ratio"))
 
 
+def forward_paths(entries: DataFrame, bars: DataFrame, horizon: int = HOLD_BARS, full_only: bool = True) -> DataFrame:
+    return long_paths(path_arrays(entries, bars, horizon, full_only))
+
+
 def entry_positions(bars: DataFrame, keep: Column) -> DataFrame:
     """Bars kept as entries, with their 1-based position `pos` in the ticker's history."""
     return bars.withColumn("pos", bar_index()).where(keep)
@@ -53,61 +62,68 @@ def running_extremes(paths: DataFrame) -> DataFrame:
     return paths.withColumns({"run_min": F.min("ratio").over(w), "run_max": F.max("ratio").over(w)})
 
 
-def _variants(t: int) -> list[dict]:
-    ratio, top = F.col("ratio"), F.col("run_max")
-    spot = lambda cond: F.min(F.when(cond, F.struct("day", "ratio", "run_min")))
-    at_day = lambda d: F.max(F.when(F.col("day") == d, F.struct("day", "ratio", "run_min")))
-    out = [dict(name=f"Hold {h}d", family="F1", hits=[], end=at_day(h)) for h in TIME_EXITS if h <= t]
-    out += [dict(name=f"Stop {s}%", family="F2", hits=[("stop", spot(ratio <= 1 - s / 100))], end=at_day(t))
-            for s in HARD_STOPS]
-    # The running maximum passes the trigger exactly on the arming day, so "armed" needs no second pass.
-    out += [dict(name=f"Arm+{a}% Tr{b}%", family="F3", end=at_day(t), armed=spot(top >= 1 + a / 100),
-                 hits=[("trail", spot((top >= 1 + a / 100) & (ratio <= top * (1 - b / 100))))])
-            for a in ARM_LEVELS for b in TRAILS]
-    out += [dict(name=f"H{h}d E{e}%", family="F4", end=at_day(h),
-                 hits=[("stop", spot((ratio <= 1 - e / 100) & (F.col("day") <= h)))])
-            for h in HYBRID_HORIZONS if h <= t for e in EMERGENCY]
-    out += [dict(name=f"Tgt+{g}% E{e}%", family="F5", end=at_day(t),
-                 hits=[("target", spot(ratio >= 1 + g / 100)), ("stop", spot(ratio <= 1 - e / 100))])
-            for g in TARGETS for e in EMERGENCY]
-    return out
+def _first_day(ratios: Column, at_most: float | None = None, at_least: float | None = None) -> Column:
+    """1-based day of the first ratio at or beyond the level, NULL without one."""
+    hits = F.transform(ratios, lambda x: x <= at_most if at_most is not None else x >= at_least)
+    return F.nullif(F.array_position(hits, F.lit(True)), F.lit(0))
+
+
+def _trail_day(ratios: Column, arm: float, trail: float) -> Column:
+    """First day at or after arming on which the ratio is `trail` below the running maximum."""
+    start = F.struct(F.lit(0).cast("bigint").alias("day"), F.lit(0.0).alias("top"), F.lit(None).cast("bigint").alias("hit"))
+
+    def step(acc: Column, x: Column) -> Column:
+        day, top = acc["day"] + 1, F.greatest(acc["top"], x)
+        out = acc["hit"].isNull() & (top >= 1 + arm) & (x <= top * (1 - trail))
+        return F.struct(day.alias("day"), top.alias("top"), F.when(out, day).otherwise(acc["hit"]).alias("hit"))
+
+    return F.aggregate(ratios, start, step, lambda acc: acc["hit"])
+
+
+def _grid(ratios: Column, t: int) -> tuple[dict[str, Column], list[tuple]]:
+    """First-hit days shared by the rules, and the rules as (family, name, end day, [(route, hit column)], armed column)."""
+    days = {f"s{n}": _first_day(ratios, at_most=1 - n / 100) for n in HARD_STOPS}
+    days |= {f"g{n}": _first_day(ratios, at_least=1 + n / 100) for n in TARGETS}
+    days |= {f"a{n}": _first_day(ratios, at_least=1 + n / 100) for n in ARM_LEVELS}
+    days |= {f"t{a}_{b}": _trail_day(ratios, a / 100, b / 100) for a in ARM_LEVELS for b in TRAILS}
+    rules = [("F1", f"Hold {h}d", h, [], None) for h in TIME_EXITS if h <= t]
+    rules += [("F2", f"Stop {n}%", t, [("stop", f"s{n}")], None) for n in HARD_STOPS]
+    rules += [("F3", f"Arm+{a}% Tr{b}%", t, [("trail", f"t{a}_{b}")], f"a{a}") for a in ARM_LEVELS for b in TRAILS]
+    rules += [("F4", f"H{h}d E{e}%", h, [("stop", f"s{e}")], None) for h in HYBRID_HORIZONS if h <= t for e in EMERGENCY]
+    rules += [("F5", f"Tgt+{g}% E{e}%", t, [("target", f"g{g}"), ("stop", f"s{e}")], None) for g in TARGETS for e in EMERGENCY]
+    return days, rules
 
 
-def exit_outcomes(paths: DataFrame, horizon: int = HOLD_BARS) -> DataFrame:
+def exit_outcomes(arrays: DataFrame, horizon: int = HOLD_BARS) -> DataFrame:
     """(ticker, entry_date, family, variant, ret, worst, hold, route, armed, final_ret) for the whole rule grid.
 
-    All first-hit days come from one aggregation per entry; the grid is unrolled
-    only after each entry is down to one row.
+    Input: full path arrays of `path_arrays`. The first-hit days are found once
+    per entry and shared by all rules; nothing is shuffled.
     """
-    variants = _variants(horizon)
-    aggs = [F.max(F.when(F.col("day") == horizon, F.col("ratio"))).alias("_final")]
-    for i, v in enumerate(variants):
-        aggs.append(v["end"].alias(f"_e{i}"))
-        aggs += [hit.alias(f"_h{i}_{j}") for j, (_, hit) in enumerate(v["hits"])]
-        if "armed" in v:
-            aggs.append(v["armed"].alias(f"_a{i}"))
-    one = running_extremes(paths).groupBy(KEY, "entry_date").agg(*aggs)
+    ratios = F.col("_r")
+    base = arrays.withColumn("_r", F.transform("ahead", lambda b: b["c"] / F.col("entry_price")))
+    days, rules = _grid(ratios, horizon)
+    base = base.select(KEY, "entry_date", "_r", *[c.alias(n) for n, c in days.items()])
     rows = []
-    for i, v in enumerate(variants):
-        end, place, route = F.col(f"_e{i}"), F.col(f"_e{i}"), F.lit("time")
-        # Later entries of `hits` apply only when strictly earlier: a tie goes to the first.
-        for j in reversed(range(len(v["hits"]))):
-            hit, label = F.col(f"_h{i}_{j}"), v["hits"][j][0]
-            others = [F.col(f"_h{i}_{k}")["day"] for k in range(j + 1, len(v["hits"]))]
-            first = hit.isNotNull()
-            for d in others:
-                first = first & (d.isNull() | (hit["day"] <= d))
-            place, route = F.when(first, hit).otherwise(place), F.when(first, F.lit(label)).otherwise(route)
-        armed = F.col(f"_a{i}").isNotNull() if "armed" in v else F.lit(None).cast("boolean")
-        rows.append(F.struct(F.lit(v["family"]).alias("family"), F.lit(v["name"]).alias("variant"),
-                             (place["ratio"] - 1).alias("ret"), place["run_min"].alias("worst"),
-                             place["day"].cast("bigint").alias("hold"), route.alias("route"), armed.alias("armed")))
-    return one.select(KEY, "entry_date", (F.col("_final") - 1).alias("final_ret"), F.explode(F.array(*rows)).alias("_v")
-                      ).select(KEY, "entry_date", "final_ret", "_v.*")
+    for family, name, end, hits, arm in rules:
+        day, route = F.lit(end).cast("bigint"), F.lit("time")
+        # Taken from last to first with <=, so a tie goes to the first listed route.
+        for label, hit in reversed(hits):
+            first = F.col(hit) <= day
+            day, route = F.when(first, F.col(hit)).otherwise(day), F.when(first, F.lit(label)).otherwise(route)
+        armed = F.col(arm).isNotNull() if arm else F.lit(None).cast("boolean")
+        rows.append(F.struct(F.lit(family).alias("family"), F.lit(name).alias("variant"), day.alias("hold"),
+                             route.alias("route"), armed.alias("armed")))
+    out = base.select(KEY, "entry_date", "_r", F.explode(F.array(*rows)).alias("_v")).select(KEY, "entry_date", "_r", "_v.*")
+    hold = F.col("hold").cast("int")
+    return out.select(KEY, "entry_date", (F.element_at("_r", horizon) - 1).alias("final_ret"), "family", "variant",
+                      (F.element_at("_r", hold) - 1).alias("ret"), F.array_min(F.slice("_r", 1, hold)).alias("worst"),
+                      "hold", "route", "armed")
 
 
 def variant_metrics(outcomes: DataFrame, random_mean: float = RANDOM_MEAN, hold_mean: float = HOLD_MEAN) -> DataFrame:
     """Summary of every variant against a random baseline and buy-and-hold."""
+    outcomes = checkpointed(outcomes.select("family", "variant", "ret", "worst", "hold"))  # read twice below
     r = F.col("ret")
     share = lambda cond: F.avg(cond.cast("double"))
     base = outcomes.groupBy("family", "variant").agg(

@@ -59,41 +59,34 @@ def crossed_above(df: DataFrame, sma_col: str = "sma_50", price: str = "close",
     return df.withColumn("crossed_up", holds((F.lag(now).over(w) <= F.lag(avg).over(w)) & (now > avg)))
 
 
-def _scan_depth(alpha: float) -> int:
+def _scan_levels(decay: float) -> int:
     # Beyond this many bars the weight of older values is below 1e-30.
-    reach = math.log(1e-30) / math.log(1 - alpha) if alpha < 1 else 1
-    return max(1, math.ceil(math.log2(reach)))
+    reach = math.log(1e-30) / math.log(decay) if decay > 0 else 1
+    return max(1, math.ceil(math.log(max(reach, 2), 4)))
 
 
 def ema(df: DataFrame, alpha: float, prices: dict[str, str], key: str = KEY, ts: str = TS) -> DataFrame:
     """Exponential averages seeded with the first value, JVM-side.
 
-    One step is y -> decay*y + gain. Composing a step with the one 1, 2, 4, ...
-    bars earlier doubles the history each pass, so log2(reach) windows over the
-    same sorted partition replace a row-by-row recursion. `prices` maps output
-    names to input columns, which must share their leading nulls and have none
-    after the first value.
+    The average is a geometrically weighted sum of the bars before it. A sum
+    over 4 times as many bars is four shorter sums, taken at fixed lags, so
+    log4(reach) windows over the same sorted partition replace a row-by-row
+    recursion. `prices` maps output names to input columns, which must share
+    their leading nulls and have none after the first value.
     """
-    w = by_bar(key, ts)
-    first = next(iter(prices.values()))
-    seed = F.col(first).isNotNull() & (F.count(first).over(w) == 1)
-    df = df.withColumn("_seed", seed)
-    df = df.withColumn("_decay", F.when(F.col("_seed"), 0.0).otherwise(1 - alpha))
-    for i, source in enumerate(prices.values()):
-        df = df.withColumn(f"_gain{i}", F.when(F.col("_seed"), F.col(source)).otherwise(alpha * F.col(source)))
-    n = len(prices)
-    for level in range(_scan_depth(alpha)):
-        shift = 1 << level
-        earlier = {"_decay": F.coalesce(F.lag("_decay", shift).over(w), F.lit(1.0))}
-        for i in range(n):
-            earlier[f"_gain{i}"] = F.coalesce(F.lag(f"_gain{i}", shift).over(w), F.lit(0.0))
-        df = df.withColumns({f"_p{c}": e for c, e in earlier.items()})
-        merged = {f"_gain{i}": F.col(f"_gain{i}") + F.col("_decay") * F.col(f"_p_gain{i}") for i in range(n)}
-        merged["_decay"] = F.col("_decay") * F.col("_p_decay")
-        df = df.withColumns(merged).drop(*[f"_p{c}" for c in earlier])
-    df = df.withColumns({out: F.when(F.col(src).isNotNull(), F.col(f"_gain{i}"))
-                         for i, (out, src) in enumerate(prices.items())})
-    return df.drop("_seed", "_decay", *[f"_gain{i}" for i in range(n)])
+    w, decay, names = by_bar(key, ts), 1 - alpha, list(prices)
+    first = F.col(prices[names[0]])
+    df = df.withColumn("_seen", F.count(first).over(w))
+    df = df.withColumns({f"_s{i}": F.coalesce(F.when(F.col("_seen") == 1, F.col(prices[n])).otherwise(alpha * F.col(prices[n])), F.lit(0.0))
+                         for i, n in enumerate(names)})
+    span = 1
+    for _ in range(_scan_levels(decay)):
+        df = df.withColumns({f"_s{i}": F.col(f"_s{i}") + sum(
+            decay ** (span * k) * F.coalesce(F.lag(f"_s{i}", span * k).over(w), F.lit(0.0)) for k in (1, 2, 3))
+            for i in range(len(names))})
+        span *= 4
+    df = df.withColumns({n: F.when(F.col("_seen") > 0, F.col(f"_s{i}")) for i, n in enumerate(names)})
+    return df.drop("_seen", *[f"_s{i}" for i in range(len(names))])
 
 
 def ema_grouped(df: DataFrame, alpha: float, price: str = "close", name: str = "ema", key: str = KEY,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import tiers
 from ..functions.guards import holds
+from ..session import checkpointed
 from .events import hash_sample
 from .ranking import exact_quantiles
 
@@ -45,6 +46,7 @@ def bucket_stats(buckets: DataFrame, horizons: Sequence[int], main: int, by: Seq
 
 def bucket_report(buckets: DataFrame, horizons: Sequence[int], main: int) -> DataFrame:
     """`bucket_stats` plus the exact median of the main horizon."""
+    buckets = checkpointed(buckets.select("bucket", "max_dd", *[f"fwd_{h}" for h in horizons]))
     med = exact_quantiles(buckets, ["bucket"], f"fwd_{main}", {"median": 0.5})
     return bucket_stats(buckets, horizons, main).join(med, "bucket", "left")
 
@@ -130,6 +132,7 @@ def band_entries(rows: DataFrame, bands: Sequence[tuple[float, float]] = DIP_BAN
 def band_sensitivity(entries: DataFrame, outcome: str, mae: str, random_mean: float = RANDOM_MEAN, baseline_spread: float = BASELINE_SPREAD,
                      min_n: int = 200) -> DataFrame:
     """Outcome table per drawdown band; bands with fewer than `min_n` entries keep only their count."""
+    entries = checkpointed(entries.select("band", outcome, mae, "regime"))
     r = F.col(outcome)
     base = entries.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), share(r > 0).alias("pct_pos"),

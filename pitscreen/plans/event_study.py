@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import tiers
 from ..functions.guards import holds
-from ..operators import events, indicators
+from ..operators import events, exits, indicators
 from ..operators.fundamentals import snapshots_asof, year_end_requests
 from ..operators.windows import bar_index, has_history
+from ..session import clustered
 from ..sources.star import benchmark
 
 
@@ -42,14 +43,16 @@ def entry_gates(candidates: DataFrame, facts: DataFrame) -> DataFrame:
 
 def study_rows(bars: DataFrame, facts: DataFrame, horizons: Sequence[int] = events.HORIZONS,
                span: int = events.HOLD_BARS, min_bars: int = 252, drawdown: bool = True) -> DataFrame:
-    """Scored bars with forward outcomes, yearly gate and market regime. All outcome windows share the
-    partitioning by ticker, so scoring and outcomes cost one exchange together."""
-    rows = indicators.recovery_scores(has_history(bars, min_bars))
-    rows = events.forward_returns(rows, horizons)
-    rows = events.touch_flags(events.adverse_excursion(rows, span))
+    """Scored bars with forward outcomes, yearly gate and market regime. The bars are stored once by
+    instrument; scoring, outcomes and the gate then share that layout without another exchange.
+    Outcomes come first, while rows are narrow."""
+    bars = clustered(bars)
+    rows = has_history(bars, min_bars)
     if drawdown:
         rows = events.forward_drawdown(rows, span)
-    rows = rows.withColumn("pos", bar_index())
+    rows = events.forward_returns(rows, horizons)
+    rows = events.touch_flags(events.adverse_excursion(rows, span))
+    rows = indicators.recovery_scores(rows.withColumn("pos", bar_index()))
     rows = with_yearly_gate(rows, yearly_gates(bars, facts))
     return events.label_by_date(rows, events.slope_regime(benchmark(bars)), "regime")
 
@@ -68,6 +71,15 @@ def score_crossings(bars: DataFrame, threshold: float = tiers.RECOVERY_BUY) -> D
     return events.crossings(rows, F.col("composite_score") >= threshold).where("crossed").drop("crossed")
 
 
+def crossing_paths(bars: DataFrame, threshold: float = tiers.RECOVERY_BUY, horizon: int = events.HOLD_BARS,
+                   full_only: bool = True) -> DataFrame:
+    """Forward path array of every score crossing. Scores are stored once; entries and price series are both read from them."""
+    rows = indicators.recovery_scores(has_history(bars, 252)).withColumn("pos", bar_index())
+    rows = events.crossings(rows, F.col("composite_score") >= threshold).select("ticker", "date", "close", "atr_14", "pos", "crossed")
+    rows = clustered(rows)
+    return exits.path_arrays(rows.where("crossed"), rows, horizon, full_only)
+
+
 def high_rows(rows: DataFrame, threshold: float = tiers.RECOVERY_BUY) -> DataFrame:
     return rows.where(holds(F.col("gate")) & (F.col("composite_score") >= threshold))
 
@@ -83,6 +95,7 @@ def entry_study_rows(bars: DataFrame, span: int = events.HOLD_BARS) -> DataFrame
 def audit_trades(bars: DataFrame, facts: DataFrame, start: str, hold: int = events.HOLD_BARS) -> DataFrame:
     """Out-of-sample audit: gated crossings, thinned to one per holding period over the whole
     history, then the trades that start in the audit window."""
+    bars = clustered(bars)
     entries = events.suppress_within(buy_crossings(bars, facts), hold).select("ticker", "date", "composite_score", "drawdown_52w")
     trades = events.fixed_hold_trades(bars, hold, "same_close").drop("open", "high", "low", "volume")
     kept = entries.where(F.col("date") >= F.lit(start).cast("date"))

@@ -94,9 +94,9 @@ def _(spark, sf):
 @query("src_07_filing_rows", "SELECT ticker, form, filing_date, array_to_string(items, '|') AS items, accession FROM filings")
 def _(spark, sf):
     f = star.filings(spark, sf)
-    # Parallel arrays per (ticker, month): the shape of one submissions shard.
+    # Parallel arrays per ticker and block of 10,000 accessions: one submissions shard, bounded by its block.
     one = F.struct("accession", "form", F.col("filing_date").cast("string").alias("d"), F.concat_ws(", ", "items").alias("i"))
-    blocks = f.groupBy("ticker", F.trunc("filing_date", "month").alias("m")).agg(F.array_sort(F.collect_list(one)).alias("x"))
+    blocks = f.groupBy("ticker", F.floor(F.col("accession").cast("bigint") / 10_000).alias("m")).agg(F.array_sort(F.collect_list(one)).alias("x"))
     blocks = blocks.select("ticker", F.col("x.form").alias("form"), F.col("x.d").alias("filingDate"), F.col("x.i").alias("items"),
                            F.col("x.accession").alias("accessionNumber"), F.array(F.lit("main.htm")).alias("primaryDocument"))
     rows = src_filings.filing_rows(blocks)
@@ -355,7 +355,8 @@ def _(spark, sf):
     spans = uni.membership_intervals(star.membership(spark, sf))
     sizes = spans.groupBy("since", "until").agg(F.count_distinct("ticker").alias("members"))
     # Both sides have at most one row per calendar day.
-    return days.join(F.broadcast(sizes), (F.col("since") <= F.col("date")) & (F.col("until").isNull() | (F.col("date") < F.col("until")))).select("date", "members")
+    found = asof.asof_backward(days.withColumn("_all", F.lit(1)), sizes.withColumn("_all", F.lit(1)), ["_all"], "date", "since", ["members"])
+    return found.where(F.col("members").isNotNull()).select("date", "members")
 
 
 @query("uni_02_first_trading_days", "SELECT month, as_of AS date FROM month_first")

@@ -383,7 +383,7 @@ def _(spark, sf):
     rows = curve.timing_cost(es.score_crossings(b).select("ticker", "date"), star.benchmark(b))
     one = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("level_now").alias("avg_now"), F.avg("level_later").alias("avg_later"),
                    F.avg("move").alias("mean_move"), F.avg((F.col("move") > 0).cast("double")).alias("pct_higher"))
-    return one.crossJoin(F.broadcast(exact_quantiles(rows, [], "move", {"median_move": 0.5})))  # one row each
+    return st.side_by_side(one, exact_quantiles(rows, [], "move", {"median_move": 0.5}))
 
 
 @query("agg_29_money_market_index", """
@@ -465,7 +465,7 @@ SELECT count(*) AS snapshots, count(*) FILTER (WHERE filed_date > as_of - 90) AS
 def _(spark, sf):
     snaps = snapshots_asof(_month_requests(spark, sf).select("ticker", "as_of").distinct(), star.facts(spark, sf)).where(F.col("statement_date").isNotNull())
     bad = lookahead_violations(snaps).agg(F.count(F.lit(1)).alias("violations"))
-    return snaps.agg(F.count(F.lit(1)).alias("snapshots")).crossJoin(F.broadcast(bad))  # one row each
+    return st.side_by_side(snaps.agg(F.count(F.lit(1)).alias("snapshots")), bad)
 
 
 @query("agg_36_robustness_verdict", f"""

@@ -70,9 +70,9 @@ def sharpe_moments(curve: DataFrame, series: str = "series", value: str = "value
 
 def deflated_sharpe(moments: DataFrame, trials: DataFrame, benchmark_sr: float = 0.0, sharpe: str = "sharpe") -> DataFrame:
     """moments(n, sr, skew, kurt) + probabilistic and deflated Sharpe ratios; trials(sharpe) per observation."""
-    pool = trials.agg(F.var_samp(sharpe).alias("trial_variance"), F.count(sharpe).alias("trials"))
-    df = moments.crossJoin(F.broadcast(pool)).withColumn(  # one summary row
-        "sr0", stats.expected_max_sharpe(F.col("trial_variance"), F.col("trials")))
+    df = moments.withColumns({"trial_variance": trials.agg(F.var_samp(sharpe)).scalar(),
+                              "trials": trials.agg(F.count(sharpe)).scalar()})
+    df = df.withColumn("sr0", stats.expected_max_sharpe(F.col("trial_variance"), F.col("trials")))
     args = [F.col("n"), F.col("skew"), F.col("kurt")]
     return df.withColumns({
         "psr_zero": stats.probabilistic_sharpe(F.col("sr"), F.lit(0.0), *args),

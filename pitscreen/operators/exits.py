@@ -230,6 +230,6 @@ def triggered_exits(paths: DataFrame, take_profit: float = 0.0, stop_loss: float
 
 
 def reason_shares(exits: DataFrame) -> DataFrame:
-    total = exits.agg(F.count(F.lit(1)).alias("_all"))
-    return (exits.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total))
-            .select("reason", "n", (F.col("n") / F.col("_all")).alias("share")))
+    counts = exits.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(1))
+    total = F.sum("n").over(Window.partitionBy("_all"))  # one row per reason
+    return counts.select("reason", "n", (F.col("n") / total).alias("share"))

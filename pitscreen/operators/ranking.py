@@ -52,11 +52,13 @@ def running_totals(values: DataFrame, keys: Sequence[str], value: str, measures:
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
                     limit: int = PLAIN_WINDOW_LIMIT) -> DataFrame:
     """Linearly interpolated quantiles of the non-null values, one column per entry of `probs`."""
+    if not keys:
+        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, limit).drop("_all")
     values = checkpointed(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
                           .agg(F.count(F.lit(1)).alias("_c")))
     totals = running_totals(values, keys, "_v", ["_c"], limit)
     sizes = values.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    ranked = totals.join(sizes, list(keys)) if keys else totals.crossJoin(sizes)
+    ranked = totals.join(sizes, list(keys))
     covers = lambda k: (F.col("_c_upto") - F.col("_c") <= k) & (k < F.col("_c_upto"))
     picks = []
     for name, p in probs.items():

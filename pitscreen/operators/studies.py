@@ -80,9 +80,9 @@ def ablation(rows: DataFrame, weights: Mapping[str, float], outcome: str, high:
 
 def spread_deltas(ablated: DataFrame) -> DataFrame:
     """HIGH-LOW spread per ablation and its change against the full score (a handful of rows)."""
-    df = ablated.withColumn("spread", F.col("high_mean") - F.col("low_mean"))
-    base = df.where(F.col("disabled") == "none").select(F.col("spread").alias("_base"))
-    return df.crossJoin(F.broadcast(base)).withColumn("delta", F.col("spread") - F.col("_base")).drop("_base")
+    df = ablated.withColumns({"spread": F.col("high_mean") - F.col("low_mean"), "_all": F.lit(1)})
+    base = F.max(F.when(F.col("disabled") == "none", F.col("spread"))).over(Window.partitionBy("_all"))
+    return df.withColumn("delta", F.col("spread") - base).drop("_all")
 
 
 def regime_breakdown(rows: DataFrame, outcome: str) -> DataFrame:
@@ -190,11 +190,12 @@ def grid_rollup(results: DataFrame, dims: Sequence[str], metric: str) -> DataFra
 
 def grid_candidates(results: DataFrame, baseline: Column, metrics: Sequence[str]) -> DataFrame:
     """Flag grid rows that beat the baseline row on every metric (grid-sized input)."""
-    base = results.where(baseline).select(*[F.col(m).alias(f"_b_{m}") for m in metrics]).limit(1)
+    df, grid = results.withColumn("_all", F.lit(1)), Window.partitionBy("_all")
+    df = df.withColumns({f"_b_{m}": F.max(F.when(baseline, F.col(m))).over(grid) for m in metrics})
     beats = F.lit(True)
     for m in metrics:
         beats = beats & holds(F.col(m) > F.col(f"_b_{m}"))
-    return results.crossJoin(F.broadcast(base)).withColumn("candidate", beats).drop(*[f"_b_{m}" for m in metrics])
+    return df.withColumn("candidate", beats).drop("_all", *[f"_b_{m}" for m in metrics])
 
 
 def interaction(cells: DataFrame, variant: str, value: str) -> DataFrame:
@@ -234,6 +235,14 @@ def robustness_verdict(one_row: DataFrame) -> DataFrame:
     }).withColumn("robust", F.col("better_both") & F.col("enough_signals") & F.col("ordered_buckets") & F.col("clear_gap"))
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row summaries with different columns as one row."""
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def coverage(caps: DataFrame, n: int, by: str = "as_of") -> DataFrame:
     """Per date: tickers, tickers with a cap, share, and whether n can be ranked."""
     return caps.groupBy(by).agg(F.count(F.lit(1)).alias("tickers"), F.count("mcap").alias("with_cap")).withColumns({

@@ -74,12 +74,13 @@ def valuation(holdings: DataFrame) -> DataFrame:
 
 def run_summary(screened: DataFrame, changes: DataFrame, checked: DataFrame) -> DataFrame:
     """One row of run counters; three one-row aggregates side by side."""
+    from ..operators.studies import side_by_side
     a = screened.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("signal") == "BUY").alias("buys"),
                      F.count_if(F.col("signal") == "VETO").alias("vetoed"))
     b = changes.agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("NEW", "CONTINUING", "DROPPED")])
     c = checked.agg(F.count_if(F.col("alert") == "EXIT").alias("exits"), F.count_if(F.col("alert") == "REMINDER").alias("reminders"),
                     F.count(F.lit(1)).alias("positions"))
-    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))
+    return side_by_side(a, b, c)
 
 
 def benchmark_relative(positions: DataFrame, calendar: DataFrame, accrual: DataFrame, end: str = "end_date") -> DataFrame:
@@ -95,6 +96,6 @@ def benchmark_relative(positions: DataFrame, calendar: DataFrame, accrual: DataF
     # One row per calendar day on both sides.
     df = (positions.join(F.broadcast(first), F.col("entry_date") == F.col("_s"), "left")
           .join(F.broadcast(last), F.col(end) == F.col("_e"), "left"))
-    df = df.withColumn("benchmark_return", F.col("_b1") / F.col("_b0") - 1).drop("_s", "_e", "_b0", "_b1")
+    df = df.withColumn("benchmark_return", F.when(F.col(end) <= F.col("entry_date"), 0.0).otherwise(F.col("_b1") / F.col("_b0") - 1)).drop("_s", "_e", "_b0", "_b1")
     df = span_interest(df, accrual, "entry_date", end)
     return df.withColumns({"vs_benchmark": F.col("ret") - F.col("benchmark_return"), "vs_mm": F.col("ret") - F.col("mm_return")})

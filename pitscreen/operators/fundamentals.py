@@ -170,19 +170,29 @@ def with_fallback(primary: DataFrame, secondary: DataFrame, on: Sequence[str], v
         *on, "_s.*", F.when(F.col("_a").isNotNull(), "primary").when(F.col("_b").isNotNull(), "secondary").alias("origin"))
 
 
-def shares_asof(requests: DataFrame, facts: DataFrame, lag_days: int = PUBLICATION_LAG, as_of: str = "as_of") -> DataFrame:
-    """requests + `shares`: the newest count filed by as_of - lag, cover page before balance sheet."""
+SHARE_COLUMNS = [f"_s{i}" for i in range(len(SHARE_CONCEPTS))]
+
+
+def share_counts(facts: DataFrame) -> DataFrame:
+    """One row per (ticker, filed) with the count of each share concept filed that day."""
     usable = facts.where((F.col("unit") == "shares") & F.col("form").isin("10-K", "10-Q")
                          & F.col("filed").isNotNull() & (F.col("val") != 0))
     newest = F.struct(F.coalesce(F.col("period_end").cast("string"), F.lit("")).alias("e"), F.col("val").alias("v"))
-    names = [f"_s{i}" for i in range(len(SHARE_CONCEPTS))]
     daily = usable.groupBy("ticker", "filed").agg(*[
         F.max(F.when((F.col("taxonomy") == t) & (F.col("concept") == c), newest)).alias(n)
-        for n, (t, c) in zip(names, SHARE_CONCEPTS)])
-    daily = daily.select("ticker", "filed", *[F.col(n)["v"].alias(n) for n in names])
+        for n, (t, c) in zip(SHARE_COLUMNS, SHARE_CONCEPTS)])
+    return daily.select("ticker", "filed", *[F.col(n)["v"].alias(n) for n in SHARE_COLUMNS])
+
+
+def preferred_shares() -> Column:
+    return F.coalesce(*[F.when(F.col(n) > 0, F.col(n)) for n in SHARE_COLUMNS])
+
+
+def shares_asof(requests: DataFrame, facts: DataFrame, lag_days: int = PUBLICATION_LAG, as_of: str = "as_of") -> DataFrame:
+    """requests + `shares`: the newest count filed by as_of - lag, cover page before balance sheet."""
     keyed = requests.withColumn("_cutoff", F.date_sub(as_of, lag_days))
-    found = asof_backward(keyed, daily, ["ticker"], "_cutoff", "filed", names, per_column=True)
-    return found.withColumn("shares", F.coalesce(*[F.when(F.col(n) > 0, F.col(n)) for n in names])).drop("_cutoff", *names)
+    found = asof_backward(keyed, share_counts(facts), ["ticker"], "_cutoff", "filed", SHARE_COLUMNS, per_column=True)
+    return found.withColumn("shares", preferred_shares()).drop("_cutoff", *SHARE_COLUMNS)
 
 
 def year_end_requests(bars: DataFrame) -> DataFrame:

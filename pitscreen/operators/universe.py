@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .asof import asof_backward
-from .fundamentals import shares_asof
+from .fundamentals import PUBLICATION_LAG, SHARE_COLUMNS, preferred_shares, share_counts
 
 
 def membership_intervals(membership: DataFrame) -> DataFrame:
@@ -47,10 +47,16 @@ def close_asof(requests: DataFrame, bars: DataFrame, as_of: str = "as_of", name:
     return asof_backward(requests, prices, ["ticker"], as_of, "date", [name])
 
 
-def market_caps(requests: DataFrame, bars: DataFrame, facts: DataFrame, as_of: str = "as_of") -> DataFrame:
-    """requests + raw_close, shares, mcap; NULL when an input is missing or not positive."""
-    priced = close_asof(requests, bars, as_of)
-    both = shares_asof(priced, facts, as_of=as_of)
+def market_caps(requests: DataFrame, bars: DataFrame, facts: DataFrame, as_of: str = "as_of",
+                lag_days: int = PUBLICATION_LAG) -> DataFrame:
+    """requests + raw_close, shares, mcap; NULL when an input is missing or not positive.
+    Share counts enter the time line on the day they may be used (filed + lag), next to the
+    closes, so one as-of join and one exchange serve both."""
+    closes = bars.select("ticker", F.col("date").alias("_known"), F.col("close").alias("raw_close"))
+    counts = share_counts(facts).select("ticker", F.date_add("filed", lag_days).alias("_known"), *SHARE_COLUMNS)
+    known = closes.unionByName(counts, allowMissingColumns=True)
+    both = asof_backward(requests, known, ["ticker"], as_of, "_known", ["raw_close", *SHARE_COLUMNS], per_column=True)
+    both = both.withColumn("shares", preferred_shares()).drop(*SHARE_COLUMNS)
     usable = (F.col("raw_close") > 0) & (F.col("shares") > 0)
     return both.withColumn("mcap", F.when(usable, F.col("raw_close") * F.col("shares")))
 

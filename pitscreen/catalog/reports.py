@@ -359,7 +359,26 @@ def _(spark, sf):
     return curve.sharpe_moments(_bench(spark, sf).withColumnRenamed("close", "value")).drop("series")
 
 
-@query("agg_27_deflated_sharpe")
+def _phi(z: str) -> str:
+    """Normal distribution function by Simpson's rule with 200 steps."""
+    return (f"(CAST(0.5 AS DOUBLE) + ({z}) / 600 * list_sum(list_transform(range(0, 201), lambda i: CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END "
+            f"* exp(-0.5 * pow(({z}) * i / 200, 2)) / sqrt(2 * pi()))))")
+
+
+PSR_Z = "(sr - {0}) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr)"
+DSR_SQL = f"""
+WITH RECURSIVE m AS ({MOMENTS}), t AS (SELECT var_samp(sr) AS trial_variance, count(sr) AS trials FROM (
+  SELECT ticker, avg(r) / stddev_pop(r) AS sr FROM (SELECT ticker, close / lag(close) OVER ({W}) - 1 AS r FROM bars) WHERE r IS NOT NULL GROUP BY 1)),
+p AS (SELECT 1 AS k, 1 - 1 / CAST(trials AS DOUBLE) AS p FROM t UNION ALL SELECT 2, 1 - 1 / (trials * exp(CAST(1 AS DOUBLE))) FROM t),
+inv AS (SELECT k, p, CAST(0 AS DOUBLE) AS lo, CAST(8 AS DOUBLE) AS hi, 0 AS it FROM p
+  UNION ALL SELECT k, p, CASE WHEN f < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN f < p THEN hi ELSE (lo + hi) / 2 END, it + 1 FROM (SELECT *, {_phi('(lo + hi) / 2')} AS f FROM inv WHERE it < 50)),
+q AS (SELECT max(lo) FILTER (WHERE k = 1) AS a, max(lo) FILTER (WHERE k = 2) AS b FROM inv WHERE it = 50),
+s AS (SELECT *, sqrt(trial_variance) * ((1 - CAST(0.5772156649015329 AS DOUBLE)) * a + CAST(0.5772156649015329 AS DOUBLE) * b) AS sr0 FROM m, t, q),
+z AS (SELECT *, {PSR_Z.format('0')} AS z0, {PSR_Z.format('CAST(0.01 AS DOUBLE)')} AS z1, {PSR_Z.format('sr0')} AS z2 FROM s)
+SELECT n, sr, skew, kurt, trial_variance, trials, sr0, {_phi('z0')} AS psr_zero, {_phi('z1')} AS psr_benchmark, {_phi('z2')} AS dsr FROM z"""
+
+
+@query("agg_27_deflated_sharpe", DSR_SQL, d="sr skew kurt trial_variance sr0 psr_zero psr_benchmark dsr", i="n trials")
 def _(spark, sf):
     moments = curve.sharpe_moments(_bench(spark, sf).withColumnRenamed("close", "value")).drop("series")
     trials = curve.sharpe_moments(_curves(spark, sf)).select(F.col("sr").alias("sharpe"))

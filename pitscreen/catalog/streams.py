@@ -32,7 +32,7 @@ SELECT ticker, date, CASE WHEN b AND was THEN 'CONTINUING' WHEN b THEN 'NEW' ELS
  SELECT *, coalesce(lag(b) OVER ({W}), FALSE) AS was FROM (SELECT ticker, date, coalesce(composite_score >= CAST(0.6 AS DOUBLE), FALSE) AS b FROM scored)) WHERE b OR was""")
 def _(spark, sf):
     rows = _scored(spark, sf).select("ticker", "date", tiers.recovery_signal(F.col("composite_score"), F.lit(True)).alias("signal"))
-    return runner.run_to_files(state.signal_changes(runner.replay(spark, _halves(rows, overlap=20), "signals")), "changes")
+    return runner.run_to_files(_halves(rows, overlap=20), state.signal_changes, "changes")
 
 
 @query("str_02_position_lifecycle", f"""
@@ -42,20 +42,20 @@ SELECT ticker, entry_date, date, alert, days_held, close / entry_price - 1 AS re
   FROM crossed c JOIN bars b ON b.ticker = c.ticker AND b.date > c.date WHERE {busday('c.date', 'b.date')} >= 222)) WHERE r = 1""", d="ret", i="days_held")
 def _(spark, sf):
     rows = ev.crossings(_scored(spark, sf), F.col("composite_score") >= 0.60).select("ticker", "date", "close", F.col("crossed").alias("opened"))
-    return runner.run_to_files(state.position_lifecycle(runner.replay(spark, _halves(rows, overlap=20), "ticks")), "life")
+    return runner.run_to_files(_halves(rows, overlap=20), state.position_lifecycle, "life")
 
 
 @query("str_03_thinned_crossings", "SELECT c.ticker, c.date, c.pos FROM crossed c JOIN kept k USING (ticker, pos)", i="pos")
 def _(spark, sf):
     rows = _scored(spark, sf).select("ticker", "date", holds(F.col("composite_score") >= 0.60).alias("in_buy"))
-    return runner.run_to_files(state.thinned_crossings(runner.replay(spark, _halves(rows, overlap=20), "buys"), 63), "kept")
+    return runner.run_to_files(_halves(rows, overlap=20), lambda s: state.thinned_crossings(s, 63), "kept")
 
 
 @query("str_04_first_deliveries", "SELECT ticker, filing_date AS date, accession FROM filings")
 def _(spark, sf):
     rows = star.filings(spark, sf).select("ticker", F.col("filing_date").alias("date"), "accession")
     first, second = _halves(rows, overlap=30)
-    return runner.run_to_files(state.first_deliveries(runner.replay(spark, [first.unionByName(first), second], "filings"), ["accession"], delay="60 days"), "unique")
+    return runner.run_to_files([first.unionByName(first), second], lambda s: state.first_deliveries(s, ["accession"], delay="60 days"), "unique")
 
 
 @query("str_05_daily_sink", "SELECT CAST(date_trunc('month', date) AS DATE) AS as_of, count(*) AS n, sum(composite_score) AS total FROM scored WHERE composite_score IS NOT NULL GROUP BY 1", d="total", i="n")
@@ -64,5 +64,5 @@ def _(spark, sf):
     path = scratch_path(spark, "daily")
     cut = F.lit("1999-06-01").cast("date")
     first, second = rows.where(F.col("as_of") <= cut), rows.where(F.col("as_of") >= cut)
-    runner.run_daily_sink(runner.replay(spark, [first, second, second], "daily"), path, "daily")
+    runner.run_daily_sink([first, second, second], path, "daily")
     return spark.read.parquet(path).groupBy("as_of").agg(F.count(F.lit(1)).alias("n"), F.sum("composite_score").alias("total"))

@@ -1,35 +1,40 @@
-"""Run streams over stored files to completion, with replay-safe sinks."""
+"""Run streams over stored deliveries to completion, with replay-safe sinks.
+
+A delivery is any number of files. Each one is appended to the inbox and the
+stream is resumed from its checkpoint, the way a daily run picks up a new day;
+no delivery passes through a single task.
+"""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..session import scratch_path
 from ..sources.sinks import write_daily
 
+Transform = Callable[[DataFrame], DataFrame]
+
 
-def replay(spark: SparkSession, parts: Sequence[DataFrame], name: str) -> DataFrame:
-    """Store each frame as one delivery and stream them back in order, one delivery per micro-batch."""
-    path = scratch_path(spark, f"{name}-in")
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _resume(deliveries: Sequence[DataFrame], name: str, start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    spark = deliveries[0].sparkSession
+    inbox, state = scratch_path(spark, f"{name}-in"), scratch_path(spark, f"{name}-state")
+    for delivery in deliveries:
+        delivery.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(deliveries[0].schema).parquet(inbox)
+        query = start(stream).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
 
 
-def run_to_files(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available into a parquet sink and read it back."""
-    spark = stream.sparkSession
-    out, state = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state")
-    query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
-             .trigger(availableNow=True).start(out))
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+def run_to_files(deliveries: Sequence[DataFrame], transform: Transform, name: str) -> DataFrame:
+    """Process every delivery in order into a parquet sink and read it back."""
+    spark = deliveries[0].sparkSession
+    out = scratch_path(spark, f"{name}-out")
+    _resume(deliveries, name, lambda s: transform(s).writeStream.format("parquet").outputMode("append").option("path", out))
+    return spark.read.parquet(out)
 
 
-def run_daily_sink(stream: DataFrame, path: str, name: str, by: str = "as_of") -> None:
+def run_daily_sink(deliveries: Sequence[DataFrame], path: str, name: str, by: str = "as_of") -> None:
     """Write every micro-batch by replacing its days: running a delivery twice changes nothing."""
-    state = scratch_path(stream.sparkSession, f"{name}-state")
-    query = (stream.writeStream.foreachBatch(lambda batch, _id: write_daily(batch, path, by))
-             .option("checkpointLocation", state).trigger(availableNow=True).start())
-    query.awaitTermination()
+    _resume(deliveries, name, lambda s: s.writeStream.foreachBatch(lambda batch, _id: write_daily(batch, path, by)))

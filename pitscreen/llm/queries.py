@@ -3,14 +3,66 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitscreen.llm import jaccard_join
+from pitscreen.llm import html_extract, jaccard_join, mixing, packing, secret_scan
 from pitscreen.llm.common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, similarity of at least 0.9, over all documents."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, numerator=90, denominator=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.schedule(mixing.sizes(table(spark, sf_dir, "documents")))
+    return plan.orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+OP9_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+), per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, [5, 2, 1][((turn - 1) % 3) + 1] AS weight, CAST([0.6, 0.0, -0.6][((turn - 1) % 3) + 1] AS DOUBLE) AS slope, 3 * source_size AS cap FROM per
+), levels AS (
+  SELECT *, CAST(sum(source_size) OVER () - (sum(cap) OVER need - cap) AS DOUBLE) / CAST(sum(weight) OVER () - (sum(weight) OVER need - weight) AS DOUBLE) AS level
+  FROM ranked WINDOW need AS (ORDER BY CAST(cap AS DOUBLE) / weight, turn ROWS UNBOUNDED PRECEDING)
+), targets AS (
+  SELECT source, source_size, slope, least(CAST(cap AS DOUBLE), CAST(weight AS DOUBLE) * max(level) OVER ()) AS target FROM levels
+), placed AS (
+  SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start FROM sized
+), joined AS (
+  SELECT p.doc_id, p.size, p.start, t.source_size, t.target, t.slope, CAST(floor(t.target + 0.5) AS BIGINT) AS most
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+), copied AS (
+  SELECT *, greatest(0, least(size, most - start)) AS one, greatest(0, least(size, most - start - source_size)) AS two,
+    greatest(0, least(size, most - start - 2 * source_size)) AS three,
+    (CAST(start AS DOUBLE) + CAST(greatest(0, least(size, most - start)) AS DOUBLE) / 2.0) / greatest(target, 1.0) AS share
+  FROM joined
+)
+SELECT doc_id, size, source_size, target, CAST(one + two + three AS BIGINT) AS taken,
+  CASE WHEN start >= most THEN NULL WHEN slope = 0.0 THEN share
+       ELSE (sqrt((1.0 - slope) * (1.0 - slope) + 4.0 * slope * share) - (1.0 - slope)) / (2.0 * slope) END AS position
+FROM copied
+"""
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_secret_scans, op8_packing, op9_mixing, op10_html_extraction)}
+ORACLES: dict[str, str] = {"op9_mixing": OP9_SQL}

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitscreen.llm import html_extract, jaccard_join, mixing, packing, secret_scan
+from pitscreen.llm import html_extract, jaccard_join, mixing, packing, quality_classifier, quality_rules, secret_scan, toxicity
 from pitscreen.llm.common import table
 
 
@@ -17,6 +17,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, numerator=90, denominator=100)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -64,5 +76,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_secret_scans, op8_packing, op9_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op4_quality_rules, op5_quality_classifier, op6_secret_scans, op8_packing, op9_mixing, op10_html_extraction)}
 ORACLES: dict[str, str] = {"op9_mixing": OP9_SQL}

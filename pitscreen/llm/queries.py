@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitscreen.llm import html_extract, jaccard_join, mixing, packing, quality_classifier, quality_rules, secret_scan, toxicity
+from pitscreen.llm import html_extract, jaccard_join, mixing, nearest, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity
 from pitscreen.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +37,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -76,5 +84,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op4_quality_rules, op5_quality_classifier, op6_secret_scans, op8_packing, op9_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard_join, op2_toxicity, op3_nearest_neighbours, op4_quality_rules, op5_quality_classifier, op6_secret_scans, op7_token_counts,
+    op8_packing, op9_mixing, op10_html_extraction)}
 ORACLES: dict[str, str] = {"op9_mixing": OP9_SQL}

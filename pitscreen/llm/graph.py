@@ -7,7 +7,8 @@ from pitscreen.llm.common import stored
 
 
 def _minima(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("low"))
+    """Stored, so that a join with it reads two shuffles and the optimizer can split a node with many edges."""
+    return stored(edges.groupBy("u").agg(F.min("v").alias("low")), "minima")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ finds pairs of groups over the prefix shingles, expands them and verifies member
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,12 @@ from pitscreen.llm import textnum
 from pitscreen.llm.common import as_long, buffers, chunks, stored, utf8
 from pitscreen.llm.graph import components
 
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 PART_BITS = 16
 BLOCK = 64
 BLOCK_SHINGLES = 1 << 17
+BITMAP = 512
+SMALL = 64
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -45,41 +48,44 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]
 
 
 def _count_parts(size: int, bits: int):
-    """Counts of all shingles by the top bits of their hashes, as parts of one array."""
+    """Counts of all shingles by the top bits of their hashes (65,535 stands for more), as compressed parts of one array."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
+        counts = np.zeros(1 << bits, np.uint16)
         waiting, held = [], 0
 
         def pour():
-            nonlocal counts, waiting, held
+            nonlocal waiting, held
             if waiting:
-                counts += np.bincount((np.concatenate(waiting) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                bins = np.sort((np.concatenate(waiting) >> np.uint64(64 - bits)).astype(np.uint32))
+                first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+                bins, more = bins[first], np.diff(first, append=len(bins))
+                counts[bins] = np.minimum(65535, counts[bins] + more)
             waiting, held = [], 0
 
         for batch in batches:
             for _, sets in _sets(batch.column(0), size):
                 waiting += sets
                 held += sum(map(len, sets))
-                if held > 1 << 22:
+                if held > 1 << 20:
                     pour()
         pour()
         width = 1 << min(bits, PART_BITS)
         parts = [i for i in range(len(counts) // width) if counts[i * width:(i + 1) * width].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([counts[i * width:(i + 1) * width].tobytes() for i in parts], pa.binary())], names=["part", "counts"])
+        for i in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(counts[i * width:(i + 1) * width].tobytes(), 1)], pa.binary())], names=["part", "counts"])
     return run
 
 
-def _add_parts(key, frame):
-    total = np.sum([np.frombuffer(x, np.uint32).astype(np.uint64) for x in frame["counts"]], axis=0)
+def _add_parts(part: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.uint16).astype(np.uint32) for x in part.column("counts"))
     level = np.minimum(255, np.round(8 * np.log2(total + 1.0))).astype(np.uint8)
-    import pandas as pd
-    return pd.DataFrame({"part": [key[0]], "levels": [level.tobytes()]})
+    return pa.table({"part": part.column("part").slice(0, 1), "levels": pa.array([level.tobytes()], pa.binary())})
 
 
 def shingle_levels(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """About log2 of how many documents hold a shingle, by hash bin: 2**bits bytes whatever the corpus."""
     parts = docs.select(utf8().alias("text")).mapInArrow(_count_parts(size, bits), "part int, counts binary")
-    rows = parts.groupBy("part").applyInPandas(_add_parts, "part int, levels binary").collect()
+    rows = parts.groupBy("part").applyInArrow(_add_parts, "part int, levels binary").collect()
     levels = np.zeros(1 << bits, np.uint8)
     for row in rows:
         piece = np.frombuffer(row["levels"], np.uint8)
@@ -88,19 +94,19 @@ def shingle_levels(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.nd
 
 
 def _describe(size: int, numerator: int, denominator: int, levels, bits: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("ph", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("ph", pa.int64()), ("bits", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = levels.value
         for batch in batches:
             ids = batch.column(0)
             for a, sets in _sets(batch.column(1), size):
-                n, s1, s2, ph, prefix = [], [], [], [], []
+                n, s1, s2, ph, bits_of, prefix = [], [], [], [], [], []
                 for s in sets:
                     k = len(s)
                     n.append(k)
                     if not k:
-                        s1.append(0), s2.append(0), ph.append(0), prefix.append(None)
+                        s1.append(0), s2.append(0), ph.append(0), bits_of.append(None), prefix.append(None)
                         continue
                     p = k - (numerator * k + denominator - 1) // denominator + 1
                     key = (order[s >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(55)) | (s >> np.uint64(9))
@@ -108,8 +114,9 @@ def _describe(size: int, numerator: int, denominator: int, levels, bits: int):
                     s1.append(int(s.sum().astype(np.int64)))
                     s2.append(int(np.bitwise_xor.reduce(textnum.mix(s + np.uint64(0x51ED27))).astype(np.int64)))
                     ph.append(int((np.bitwise_xor.reduce(textnum.mix(key)) ^ key.sum()).astype(np.int64)))
+                    bits_of.append(np.packbits(np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP).astype(np.uint8) & 1).view(np.int64))
                     prefix.append(key.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, len(sets)), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(ph, pa.int64()), pa.array(prefix, schema.field("prefix").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, len(sets)), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(ph, pa.int64()), pa.array(bits_of, schema.field("bits").type), pa.array(prefix, schema.field("prefix").type)], schema=schema)
     return run
 
 
@@ -147,16 +154,15 @@ def _links(sets: list[np.ndarray], side: np.ndarray, counts: np.ndarray, numerat
 def _verify(size: int, numerator: int, denominator: int):
     schema = pa.schema([("rep", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
-    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        texts = pa.array([r[2] for r in rows], pa.large_binary())
-        sets = [s for _, part in _sets(texts, size) for s in part]
-        side = np.array([r[3] for r in rows])
-        ids = np.array([r[0] for r in rows], np.int64)
-        link, links = _links(sets, side, np.array([r[1] for r in rows], np.int64), numerator, denominator)
-        root = np.arange(len(rows))
-        for i in range(len(rows)):
+    def settle(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [s for p in parts for _, some in _sets(p.column(4), size) for s in some]
+        rows = pa.Table.from_batches(parts)
+        first, ids, counts, block = (rows.column(i).to_numpy() for i in (0, 2, 3, 5))
+        link, links = _links(sets, (block != first).astype(np.int64), counts.astype(np.int64), numerator, denominator)
+        root = np.arange(len(sets))
+        for i in range(len(sets)):
             if root[i] == i and link[i].any():
-                seen = np.zeros(len(rows), bool)
+                seen = np.zeros(len(sets), bool)
                 seen[i] = True
                 edge = seen
                 while edge.any():
@@ -171,20 +177,38 @@ def _verify(size: int, numerator: int, denominator: int):
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([int(low[r]) for r in root[some].tolist()], pa.int64()), pa.array(links[some].astype(np.int64))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, rows = None, []
+        pair, parts = None, []
         for batch in batches:
-            a, b, rep, count, text, block = (batch.column(i).to_pylist() for i in range(6))
-            for i in range(len(a)):
-                if (a[i], b[i]) != pair:
-                    if rows:
-                        yield from settle(rows)
-                    pair, rows = (a[i], b[i]), []
-                rows.append((rep[i], count[i], text[i], int(block[i] != a[i])))
-        if rows:
-            yield from settle(rows)
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = (np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist()
+            for low, high in zip([0, *cuts], [*cuts, len(a)]):
+                if (a[low], b[low]) != pair:
+                    if parts:
+                        yield from settle(parts)
+                    pair, parts = (a[low], b[low]), []
+                parts.append(batch.slice(low, high - low))
+        if parts:
+            yield from settle(parts)
     return run
 
 
+def _may_link(pairs: DataFrame, placed: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs of blocks without those whose members cannot link, as far as that is cheap to see.
+
+    The shingles two sets do not share number at least the bits in which their parity bitmaps differ; linked
+    sets have at most (denominator - numerator) / (denominator + numerator) of their joint size. Pairs with
+    more than SMALL pairs of members are kept unseen.
+    """
+    counted = pairs.join(placed.groupBy(F.col("block").alias("a")).agg(F.count("*").alias("na")), "a").join(placed.groupBy(F.col("block").alias("b")).agg(F.count("*").alias("nb")), "b")
+    counted = stored(counted, "counted")
+    left = placed.select(F.col("block").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx"), F.struct("rep", "s1").alias("ix"))
+    right = placed.select(F.col("block").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny"), F.struct("rep", "s1").alias("iy"))
+    apart = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (t, c) -> t + c)")
+    seen = (counted.filter(F.col("na") * F.col("nb") <= SMALL).join(left, "a").join(right, "b").filter("a <> b or ix < iy")
+            .filter(apart * (denominator + numerator) <= (F.col("nx") + F.col("ny")) * (denominator - numerator)).select("a", "b").distinct())
+    return seen.unionByName(counted.filter(F.col("na") * F.col("nb") > SMALL).select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100, bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of `docs` (doc_id, text, any other columns).
 
@@ -198,11 +222,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denomin
     spark = docs.sparkSession
     docs = docs.select(as_long("doc_id").alias("doc_id"), utf8().alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(docs, size, bits))
-    schema = "doc_id long, n long, s1 long, s2 long, ph long, prefix array<long>"
+    schema = "doc_id long, n long, s1 long, s2 long, ph long, bits array<long>, prefix array<long>"
     rows = stored(docs.mapInArrow(_describe(size, numerator, denominator, levels, bits), schema), "sets")
     known = rows.filter("n > 0 and doc_id is not null")
 
-    classes = stored(known.groupBy("n", "ph", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = stored(known.groupBy("n", "ph", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits")), "classes")
     ratio = math.log(denominator / numerator)
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int")
     groups = known.groupBy("n", "ph").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix")).withColumn("sb", bucket)
@@ -215,23 +239,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denomin
               .filter("members > 1 or pivot is not null").withColumn("pivot", F.coalesce("pivot", "gid")).withColumn("sb", bucket))
     room = placed.groupBy("pivot", "sb").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("salts"))
     placed = stored(placed.join(room, ["pivot", "sb"]).withColumn("salt", F.pmod(F.xxhash64("rep", "s1"), "salts"))
-                    .select("rep", "gid", "sb", "copies", F.xxhash64("pivot", "sb", "salt").alias("block")), "placed")
+                    .select("rep", "gid", "sb", "copies", "n", "s1", "bits", F.xxhash64("pivot", "sb", "salt").alias("block")), "placed")
 
     tokens = hits.select("gid", "token").unionByName(placed.groupBy("gid").count().filter("count > 1").select("gid", F.xxhash64(F.lit("group"), "gid").alias("token")))
     spots = tokens.join(placed.select("gid", "sb", "block").distinct(), "gid").select("token", "sb", "block").distinct()
     left, right = spots.alias("l"), spots.alias("r")
     across = left.join(right, F.expr("l.token = r.token and l.block < r.block and abs(l.sb - r.sb) <= 1")).select(F.col("l.block").alias("a"), F.col("r.block").alias("b")).distinct()
     within = placed.groupBy("block").count().filter("count > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
-    pairs = stored(across.unionByName(within), "pairs")
+    pairs = stored(_may_link(across.unionByName(within), placed, numerator, denominator), "pairs")
 
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
     needed = placed.join(sides.select("block").distinct(), "block").select(F.col("rep").alias("doc_id"), "block", "copies")
-    texts = docs.join(needed, "doc_id")
+    texts = docs.hint("merge").join(needed, "doc_id")  # one plan for every size
     sent = sides.join(texts, "block").select("a", "b", "doc_id", "copies", "text", "block").repartition("a", "b").sortWithinPartitions("a", "b", "doc_id")
     links = stored(sent.mapInArrow(_verify(size, numerator, denominator), "rep long, root long, links long"), "links")
 
     copied = classes.filter("copies > 1").select("n", "ph", "s1", "s2", "rep", "copies")
-    out = (rows.drop("prefix").join(copied, ["n", "ph", "s1", "s2"], "left")
+    out = (rows.drop("prefix", "bits").join(copied, ["n", "ph", "s1", "s2"], "left")
            .withColumn("rep", F.coalesce("rep", "doc_id")).withColumn("copies", F.coalesce("copies", F.lit(1)))
            .join(links.groupBy(F.col("rep")).agg(F.sum("links").alias("links")), "rep", "left"))
     versions = known.join(copied, ["n", "ph", "s1", "s2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -42,7 +42,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for every position below `length`, at least."""
-    return _powers(max(21, int(length).bit_length()))
+    return _powers(max(20, int(length).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

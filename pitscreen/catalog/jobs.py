@@ -4,12 +4,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import guards, scalars as fn, tiers
-from ..operators import events as ev, indicators as ind, universe as uni
+from ..operators import events as ev, indicators as ind, universe as uni, veto
 from ..operators.fundamentals import snapshots_asof
 from ..operators.windows import has_history
 from ..plans import alerts, event_study as es, positions as pos, screener
 from ..sources import bars as src_bars, star
 from .base import query
+from .inputs import LABEL
 from .ctes import W, asof as asof_sql, busday, caps, gate
 
 AS_OF = "2000-12-29"
@@ -22,22 +23,27 @@ def _day(s):
 REQ = f"(SELECT DISTINCT ticker, DATE '{AS_OF}' AS as_of FROM members WHERE date = (SELECT max(date) FROM members WHERE date <= DATE '{AS_OF}'))"
 SCREEN = f"""
 SELECT u.as_of, l.ticker, l.close AS current_price, coalesce(l.high_52w, l.close) AS high_52w, coalesce(l.drawdown_52w, 0) AS drawdown_pct, l.dip_score, l.momentum_score, l.volume_score, l.composite_score, g.gate,
- CASE WHEN l.composite_score IS NULL THEN 'INSUFFICIENT_DATA' WHEN NOT coalesce(g.gate, FALSE) THEN 'SKIP' WHEN l.composite_score >= CAST(0.6 AS DOUBLE) THEN CASE WHEN v.ticker IS NOT NULL THEN 'VETO' ELSE 'BUY' END ELSE 'WATCH' END AS signal
+ CASE WHEN l.composite_score IS NULL THEN 'INSUFFICIENT_DATA' WHEN NOT coalesce(g.gate, FALSE) THEN 'SKIP' WHEN l.composite_score >= CAST(0.6 AS DOUBLE) THEN CASE WHEN v.ticker IS NOT NULL OR coalesce(r.concern, FALSE) THEN 'VETO' ELSE 'BUY' END ELSE 'WATCH' END AS signal,
+ CASE WHEN l.composite_score >= CAST(0.6 AS DOUBLE) AND g.gate AND v.ticker IS NOT NULL THEN '8-K Item ' || v.item || ' filed ' || strftime(v.filing_date, '%Y-%m-%d') || ': ' || {LABEL.replace('item', 'v.item')}
+      WHEN l.composite_score >= CAST(0.6 AS DOUBLE) AND g.gate AND r.concern THEN r.form || ' filed ' || strftime(r.filing_date, '%Y-%m-%d') || ': going-concern doubt (substantial doubt / going concern)' END AS veto_reason
 FROM (SELECT * FROM ({caps(REQ)}) WHERE mcap > 0 QUALIFY row_number() OVER (ORDER BY mcap DESC, ticker) <= 60) u
 JOIN (SELECT * FROM scored_all WHERE date < DATE '{AS_OF}' AND pos >= 252 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1) l ON l.ticker = u.ticker
 LEFT JOIN (SELECT ticker, {gate()} AS gate FROM ({asof_sql(REQ)})) g ON g.ticker = u.ticker
-LEFT JOIN (SELECT DISTINCT ticker FROM distress WHERE filing_date BETWEEN DATE '{AS_OF}' - 90 AND DATE '{AS_OF}') v ON v.ticker = u.ticker"""
+LEFT JOIN (SELECT ticker, filing_date, item FROM distress WHERE filing_date BETWEEN DATE '{AS_OF}' - 90 AND DATE '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY filing_date DESC, accession) = 1) v ON v.ticker = u.ticker
+LEFT JOIN (SELECT q.*, contains(lower(d.text), 'the') AND contains(lower(d.text), 'and') AS concern FROM (SELECT * FROM filings WHERE form IN ('10-K', '10-Q') AND filing_date <= DATE '{AS_OF}'
+  QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY filing_date DESC, accession) = 1) q LEFT JOIN documents d ON d.doc_id = q.doc_id) r ON r.ticker = u.ticker"""
 SCREEN_D = "current_price high_52w drawdown_pct dip_score momentum_score volume_score composite_score"
 
 
 def _screen(spark, sf):
     b = star.bars(spark, sf)
-    return screener.screen(b, star.facts(spark, sf), star.filings(spark, sf), star.membership(spark, sf), _day(AS_OF), n=60)
+    flags = veto.flag_documents(star.table(spark, sf, "documents"), ("the", "and"))
+    return screener.screen(b, star.facts(spark, sf), star.filings(spark, sf), star.membership(spark, sf), _day(AS_OF), n=60, flags=flags)
 
 
 @query("job_01_daily_screen", SCREEN, d=SCREEN_D)
 def _(spark, sf):
-    return _screen(spark, sf).drop("veto_reason")
+    return _screen(spark, sf)
 
 
 @query("job_02_ranking", f"SELECT ticker, composite_score, signal FROM ({SCREEN}) ORDER BY composite_score DESC NULLS LAST, ticker", d="composite_score")
@@ -68,12 +74,16 @@ def _(spark, sf):
     return alerts.latest_two_days(_history(spark, sf))
 
 
-@query("job_04_two_day_diff", f"""
-WITH a AS (SELECT DISTINCT ticker FROM scored WHERE composite_score >= CAST(0.6 AS DOUBLE) AND date BETWEEN DATE '2000-06-01' AND DATE '2000-06-30'), b AS (SELECT DISTINCT ticker FROM scored WHERE composite_score >= CAST(0.6 AS DOUBLE) AND date BETWEEN DATE '2000-05-01' AND DATE '2000-05-31')
-SELECT coalesce(a.ticker, b.ticker) AS ticker, CASE WHEN b.ticker IS NULL THEN 'NEW' WHEN a.ticker IS NULL THEN 'DROPPED' ELSE 'CONTINUING' END AS status FROM a FULL JOIN b USING (ticker)""")
+DAILY_DIFF = """
+WITH s AS (SELECT DISTINCT ticker, date FROM scored WHERE composite_score >= CAST(0.6 AS DOUBLE)), d AS (SELECT DISTINCT date FROM scored),
+n AS (SELECT date, date - CASE isodow(date) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END AS before FROM d),
+p AS (SELECT s.ticker, n.date FROM n JOIN s ON s.date = n.before)
+SELECT coalesce(s.ticker, p.ticker) AS ticker, coalesce(s.date, p.date) AS date, CASE WHEN p.ticker IS NULL THEN 'NEW' WHEN s.ticker IS NULL THEN 'DROPPED' ELSE 'CONTINUING' END AS status FROM s FULL JOIN p ON p.ticker = s.ticker AND p.date = s.date"""
+
+
+@query("job_04_two_day_diff", DAILY_DIFF)
 def _(spark, sf):
-    h = _history(spark, sf)
-    return alerts.signal_changes(h.where(F.col("as_of") == "2000-06-01"), h.where(F.col("as_of") == "2000-05-01"))
+    return alerts.weekday_changes(_history(spark, sf))
 
 
 def _holdings(spark, sf):
@@ -168,13 +178,12 @@ def _(spark, sf):
 
 
 @query("job_11_run_summary", f"""
-WITH s AS ({SCREEN}), x AS (SELECT {HELD} AS h, ticker FROM {POS}) SELECT (SELECT count(*) FROM s) AS scanned, (SELECT count(*) FROM s WHERE signal = 'BUY') AS buys, (SELECT count(*) FROM s WHERE signal = 'VETO') AS vetoed,
- (SELECT count(*) FROM x WHERE h >= 252) AS exits, (SELECT count(*) FROM x WHERE h >= 222 AND h < 252 AND CAST(ticker AS BIGINT) % 5 <> 0) AS reminders, (SELECT count(*) FROM x) AS positions""", i="scanned buys vetoed exits reminders positions")
+WITH s AS ({SCREEN}), x AS (SELECT {HELD} AS h, ticker FROM {POS}), c AS (SELECT * FROM ({DAILY_DIFF}) WHERE date = DATE '{AS_OF}') SELECT (SELECT count(*) FROM s) AS scanned, (SELECT count(*) FROM s WHERE signal = 'BUY') AS buys, (SELECT count(*) FROM s WHERE signal = 'VETO') AS vetoed,
+ (SELECT count(*) FROM x WHERE h >= 252) AS exits, (SELECT count(*) FROM x WHERE h >= 222 AND h < 252 AND CAST(ticker AS BIGINT) % 5 <> 0) AS reminders, (SELECT count(*) FROM x) AS positions, (SELECT count(*) FROM c WHERE status = 'NEW') AS new, (SELECT count(*) FROM c WHERE status = 'CONTINUING') AS continuing, (SELECT count(*) FROM c WHERE status = 'DROPPED') AS dropped""",
+       i="scanned buys vetoed exits reminders positions new continuing dropped")
 def _(spark, sf):
-    h = _history(spark, sf)
-    changes = alerts.signal_changes(h.where(F.col("as_of") == "2000-06-01"), h.where(F.col("as_of") == "2000-05-01"))
-    out = pos.run_summary(_screen(spark, sf), changes, pos.exit_check(_positions(spark, sf), _day(AS_OF)))
-    return out.drop("new", "continuing", "dropped")
+    changes = alerts.weekday_changes(_history(spark, sf)).where(F.col("date") == _day(AS_OF))
+    return pos.run_summary(_screen(spark, sf), changes, pos.exit_check(_positions(spark, sf), _day(AS_OF)))
 
 
 # ---------------------------------------------------------------- orderings, set operations
@@ -196,30 +205,30 @@ def _(spark, sf):
     return star.bars(spark, sf).groupBy("ticker").agg(F.max_by("date", k).alias("best_day"), F.min_by("date", k).alias("worst_day"))
 
 
-@query("set_01_union", "SELECT ticker FROM members WHERE date < DATE '1997-01-01' UNION SELECT ticker FROM members WHERE date >= DATE '2000-01-01'")
+@query("set_01_union", "SELECT ticker FROM members WHERE date < DATE '1998-01-01' UNION SELECT ticker FROM members WHERE date >= DATE '1998-01-01'")
 def _(spark, sf):
     m = star.membership(spark, sf)
-    return m.where(F.col("date") < "1997-01-01").select("ticker").union(m.where(F.col("date") >= "2000-01-01").select("ticker")).distinct()
+    return m.where(F.col("date") < "1998-01-01").select("ticker").union(m.where(F.col("date") >= "1998-01-01").select("ticker")).distinct()
 
 
-def _month_buys(spark, sf):
+def _half_buys(spark, sf):
+    """Tickers with a buy signal after, and up to, the middle of the history."""
     h = _history(spark, sf).where(F.col("signal") == "BUY")
-    pick = lambda m: h.where(F.col("as_of") == m).select("ticker")
-    return pick("2000-06-01"), pick("2000-05-01")
+    return h.where(F.col("date") >= "1999-01-01").select("ticker"), h.where(F.col("date") < "1999-01-01").select("ticker")
 
 
-_BUYS = "SELECT ticker FROM scored WHERE composite_score >= CAST(0.6 AS DOUBLE) AND date BETWEEN DATE '2000-{0}-01' AND DATE '2000-{0}-{1}'"
+_BUYS = "SELECT ticker FROM scored WHERE composite_score >= CAST(0.6 AS DOUBLE) AND date {0} DATE '1999-01-01'"
 
 
-@query("set_02_difference", f"{_BUYS.format('06', '30')} EXCEPT {_BUYS.format('05', '31')}")
+@query("set_02_difference", f"{_BUYS.format('>=')} EXCEPT {_BUYS.format('<')}")
 def _(spark, sf):
-    now, before = _month_buys(spark, sf)
+    now, before = _half_buys(spark, sf)
     return now.subtract(before)
 
 
-@query("set_02_intersection", f"{_BUYS.format('06', '30')} INTERSECT {_BUYS.format('05', '31')}")
+@query("set_02_intersection", f"{_BUYS.format('>=')} INTERSECT {_BUYS.format('<')}")
 def _(spark, sf):
-    now, before = _month_buys(spark, sf)
+    now, before = _half_buys(spark, sf)
     return now.intersect(before)
 
 

@@ -264,6 +264,7 @@ def _trades(spark, sf):
 T = "(SELECT t.*, c.composite_score AS score FROM crossed c JOIN trades t ON t.ticker = c.ticker AND t.date = c.date)"
 STATS = """count(*) AS n, avg(CAST(trade_return > 0 AS INT)) AS win_rate, avg(trade_return) AS avg_return, avg(bars_held) AS avg_hold, count(*) FILTER (WHERE trade_return > 0) AS winners,
  count(*) FILTER (WHERE trade_return <= 0) AS losers, max(trade_return) AS best, min(trade_return) AS worst"""
+YEARS = "(SELECT CAST(date_diff('day', min(date), max(date)) AS DOUBLE) / CAST(365.25 AS DOUBLE) FROM bars)"
 STATS_D, STATS_I = "win_rate avg_return avg_hold best worst", "n winners losers"
 
 
@@ -273,12 +274,12 @@ def _(spark, sf):
 
 
 @query("agg_21_score_buckets", f"""
-SELECT CASE WHEN score < CAST(0.65 AS DOUBLE) THEN '0.60-0.65' WHEN score < CAST(0.70 AS DOUBLE) THEN '0.65-0.70' WHEN score < CAST(0.75 AS DOUBLE) THEN '0.70-0.75' ELSE '0.75-1.00' END AS bucket, {STATS}, count(*) / CAST(7 AS DOUBLE) AS per_year
+SELECT CASE WHEN score < CAST(0.65 AS DOUBLE) THEN '0.60-0.65' WHEN score < CAST(0.70 AS DOUBLE) THEN '0.65-0.70' WHEN score < CAST(0.75 AS DOUBLE) THEN '0.70-0.75' ELSE '0.75-1.00' END AS bucket, {STATS}, count(*) / {YEARS} AS per_year
 FROM {T} t WHERE trade_return IS NOT NULL AND EXISTS (SELECT 1 FROM ranked u WHERE cap_rank <= 50 AND u.ticker = t.ticker AND date_trunc('month', u.as_of) = date_trunc('month', t.date)) GROUP BY 1""", d=STATS_D + " per_year", i=STATS_I)
 def _(spark, sf):
     top = uni.top_by_cap(_month_caps(spark, sf), 50)
     pool = uni.in_universe(_trades(spark, sf), top).withColumn("bucket", tiers.score_bucket(F.col("composite_score")))
-    return st.trade_stats(pool, ["bucket"], years=7.0)
+    return st.per_year(st.trade_stats(pool, ["bucket"]), star.bars(spark, sf), "n", "per_year")
 
 
 @query("agg_22_threshold_sweep", f"SELECT th.threshold, {STATS} FROM {T} t JOIN (VALUES (CAST(0.60 AS DOUBLE)), (CAST(0.65 AS DOUBLE)), (CAST(0.70 AS DOUBLE)), (CAST(0.75 AS DOUBLE))) th(threshold) ON t.score >= th.threshold WHERE trade_return IS NOT NULL GROUP BY 1",
@@ -412,13 +413,12 @@ def _(spark, sf):
     return curve.money_market_index(star.benchmark(star.bars(spark, sf)), star.rates(spark, sf))
 
 
-SPAN = "(SELECT CAST(range AS DATE) AS day FROM range(DATE '1995-01-01', DATE '2003-01-01', INTERVAL 1 DAY))"
+SPAN = "(SELECT CAST(unnest(generate_series((SELECT min(date) FROM bars), (SELECT max(date) FROM bars), INTERVAL 1 DAY)) AS DATE) AS day)"
 ACCRUED = f"(SELECT d.day, sum(ln(1 + coalesce(r.rate, 0)) / 365) OVER (ORDER BY d.day) AS acc FROM {SPAN} d ASOF LEFT JOIN rates r ON r.date <= d.day)"
 
 
 def _accrual(spark, sf):
-    day = lambda s: F.lit(s).cast("date")
-    return curve.daily_accrual(star.rates(spark, sf), day("1995-01-01"), day("2002-12-31"))
+    return curve.daily_accrual(star.rates(spark, sf), star.bars(spark, sf))
 
 
 @query("agg_29_position_interest", f"""
@@ -492,7 +492,7 @@ SELECT *, alt_avg_return > base_avg_return AND alt_win_rate > base_win_rate AS b
  NOT (abs(alt_avg_return - base_avg_return) < CAST(0.01 AS DOUBLE) AND abs(alt_win_rate - base_win_rate) < CAST(0.1 AS DOUBLE)) AS clear_gap,
  alt_avg_return > base_avg_return AND alt_win_rate > base_win_rate AND alt_per_year >= 3 AND coalesce(high_bucket >= low_bucket, FALSE) AND NOT (abs(alt_avg_return - base_avg_return) < CAST(0.01 AS DOUBLE) AND abs(alt_win_rate - base_win_rate) < CAST(0.1 AS DOUBLE)) AS robust FROM (
  SELECT avg(trade_return) AS base_avg_return, avg(CAST(trade_return > 0 AS INT)) AS base_win_rate, avg(trade_return) FILTER (WHERE score >= CAST(0.65 AS DOUBLE)) AS alt_avg_return,
-  avg(CAST(trade_return > 0 AS INT)) FILTER (WHERE score >= CAST(0.65 AS DOUBLE)) AS alt_win_rate, count(*) FILTER (WHERE score >= CAST(0.65 AS DOUBLE)) / CAST(7 AS DOUBLE) AS alt_per_year,
+  avg(CAST(trade_return > 0 AS INT)) FILTER (WHERE score >= CAST(0.65 AS DOUBLE)) AS alt_win_rate, count(*) FILTER (WHERE score >= CAST(0.65 AS DOUBLE)) / {YEARS} AS alt_per_year,
   avg(trade_return) FILTER (WHERE score >= CAST(0.65 AS DOUBLE)) AS high_bucket, avg(trade_return) FILTER (WHERE score < CAST(0.65 AS DOUBLE)) AS low_bucket FROM {T} WHERE trade_return IS NOT NULL)""",
        d="base_avg_return base_win_rate alt_avg_return alt_win_rate alt_per_year high_bucket low_bucket")
 def _(spark, sf):
@@ -500,9 +500,9 @@ def _(spark, sf):
     r, up = F.col("trade_return"), F.col("composite_score") >= 0.65
     win = (r > 0).cast("double")
     one = t.agg(F.avg(r).alias("base_avg_return"), F.avg(win).alias("base_win_rate"), F.avg(F.when(up, r)).alias("alt_avg_return"),
-                F.avg(F.when(up, win)).alias("alt_win_rate"), (F.count_if(up) / 7.0).alias("alt_per_year"),
+                F.avg(F.when(up, win)).alias("alt_win_rate"), F.count_if(up).alias("alt_n"),
                 F.avg(F.when(up, r)).alias("high_bucket"), F.avg(F.when(~up, r)).alias("low_bucket"))
-    return st.robustness_verdict(one)
+    return st.robustness_verdict(st.per_year(one, star.bars(spark, sf), "alt_n", "alt_per_year").drop("alt_n"))
 
 
 @query("agg_37_exit_styles", """

@@ -43,21 +43,21 @@ def previous_weekday(day: Column) -> Column:
 
 
 def expected_return(days: Column) -> Column:
-    """Straight lines between the anchors, flat after the last one."""
-    expr = None
-    for (d0, r0), (d1, r1) in zip(RETURN_ANCHORS, RETURN_ANCHORS[1:]):
-        value = F.lit(r0) + (days - d0) / F.lit(float(d1 - d0)) * F.lit(r1 - r0)
-        inside = days.between(d0, d1)
-        expr = F.when(inside, value) if expr is None else expr.when(inside, value)
-    return expr.otherwise(RETURN_ANCHORS[-1][1])
+    """Straight lines between the anchors, flat after the last one and before the first: the first return plus
+    the slope of each line times the days spent on it. NULL days give NULL."""
+    total = F.lit(RETURN_ANCHORS[0][1])
+    for left, right in zip(RETURN_ANCHORS, RETURN_ANCHORS[1:]):
+        length = float(right[0] - left[0])
+        spent = F.greatest(F.lit(0.0), F.least(F.lit(length), days.cast("double") - float(left[0])))
+        total = total + F.lit((right[1] - left[1]) / length) * spent
+    return F.when(days.isNotNull(), total)
 
 
 def percentile_step(ret: Column) -> Column:
-    """Percentile of the first threshold at or above the return."""
-    expr = None
-    for limit, pct in PERCENTILE_STEPS:
-        expr = F.when(ret <= limit, pct) if expr is None else expr.when(ret <= limit, pct)
-    return expr.otherwise(PERCENTILE_STEPS[-1][1]).cast("bigint")
+    """Percentile of the lowest threshold at or above the return; NULL stays NULL."""
+    steps = F.array(*[F.struct(F.lit(float(limit)).alias("limit"), F.lit(pct).alias("pct")) for limit, pct in PERCENTILE_STEPS])
+    reached = F.try_element_at(F.filter(steps, lambda s: ret <= s["limit"]), F.lit(1))["pct"]
+    return F.when(ret.isNotNull(), F.coalesce(reached, F.lit(PERCENTILE_STEPS[-1][1]))).cast("bigint")
 
 
 def return_zone(ret: Column) -> Column:

@@ -122,4 +122,4 @@ def score_bucket(composite: Column) -> Column:
 
 
 def size_weight(composite: Column) -> Column:
-    return F.when(composite >= 0.70, 0.12).otherwise(0.10)
+    return F.when(composite >= 0.70, 0.12).when(composite < 0.70, 0.10)

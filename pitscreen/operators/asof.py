@@ -48,12 +48,6 @@ def within_days(value: Column, seen: Column, at: Column, days: int) -> Column:
     return F.when(F.datediff(at, seen) <= days, value)
 
 
-def to_intervals(snapshots: DataFrame, on: Sequence[str], since: str, until: str = "until") -> DataFrame:
-    """Slowly changing rows to half-open validity intervals [since, until)."""
-    w = Window.partitionBy(*on).orderBy(since)
-    return snapshots.withColumn(until, F.lead(since).over(w))
-
-
 def interval_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str,
                   days: int) -> DataFrame:
     """Right rows of the same key in [left_time - days, left_time], one output

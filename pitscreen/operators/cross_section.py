@@ -5,10 +5,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import checkpointed
 from .events import window_return
 from .fundamentals import SNAPSHOT_COLUMNS, snapshots_asof
-from .ranking import PLAIN_WINDOW_LIMIT, average_ranks, running_totals
+from .ranking import average_ranks, running_totals
 
 # Factor directions and composite weights.
 FACTORS = {"revenue_growth_yoy": 1, "debt_to_equity": -1, "roe": 1, "net_margin": 1, "momentum_12m": 1,
@@ -47,7 +46,7 @@ def add_factor_momentum(panel: DataFrame, as_of: str = "snapshot_date") -> DataF
 
 
 def decile_spreads(long: DataFrame, keys: Sequence[str], value: str, outcome: str, min_rows: int = MIN_ROWS,
-                   share: float = 0.10, limit: int = PLAIN_WINDOW_LIMIT) -> DataFrame:
+                   share: float = 0.10) -> DataFrame:
     """Mean outcome of the highest and lowest share of `value` within each group, and their difference.
 
     Rows collapse to one per distinct value first, so a group or a tie of any
@@ -55,10 +54,8 @@ def decile_spreads(long: DataFrame, keys: Sequence[str], value: str, outcome: st
     where a sort-based ranking would pick among them arbitrarily.
     """
     rows = long.where(F.col(value).isNotNull() & F.col(outcome).isNotNull())
-    values = checkpointed(rows.groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"), F.sum(outcome).alias("_s")))
-    sizes = values.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    ranked = running_totals(values, keys, "_v", ["_c"], limit).join(sizes, list(keys))
+    values = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.sum(outcome).alias("_s"))
+    ranked = running_totals(values, keys, "_v", ["_c"]).withColumnRenamed("_c_total", "n")
     k = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
     below = F.col("_c_upto") - F.col("_c")
     low = F.least(F.col("_c"), F.greatest(F.lit(0), k - below))
@@ -86,15 +83,16 @@ def reliability(spreads: DataFrame, by: str = "factor", threshold: float = 2 / 3
         F.try_divide(F.col("positive_years"), F.col("total_years")) >= threshold, F.lit(False)))
 
 
-def rank_factors(panel: DataFrame, as_of: str = "snapshot_date", limit: int = PLAIN_WINDOW_LIMIT) -> DataFrame:
+def rank_factors(panel: DataFrame, as_of: str = "snapshot_date") -> DataFrame:
     """0-100 ranks per date; debt-to-equity is ranked from high to low. All factors are ranked in one
-    pass over a long table keyed by (factor, date)."""
-    panel = checkpointed(panel)
+    pass over a long table keyed by (factor, date). The panel, a row per ticker and snapshot, is read
+    twice and therefore kept (lazily, on memory or disk; a lost part is derived again)."""
+    panel = panel.persist()
     sources = {"rank_growth": F.col("revenue_growth_yoy"), "rank_de": -F.col("debt_to_equity"), "rank_roe": F.col("roe"),
                "rank_margin": F.col("net_margin"), "rank_momentum": F.col("momentum_12m")}
     pairs = F.array(*[F.struct(F.lit(n).alias("factor"), c.alias("v")) for n, c in sources.items()])
     long = panel.select("ticker", as_of, F.explode(pairs).alias("_p")).select("ticker", as_of, "_p.*").where(F.col("v").isNotNull())
-    ranked = average_ranks(long, ["factor", as_of], "v", "rank", limit)
+    ranked = average_ranks(long, ["factor", as_of], "v", "rank")
     wide = ranked.groupBy("ticker", as_of).agg(*[F.max(F.when(F.col("factor") == n, F.col("rank"))).alias(n) for n in sources])
     return panel.join(wide, ["ticker", as_of], "left")
 
@@ -118,10 +116,3 @@ def composite(ranked: DataFrame, schemes: Mapping[str, Mapping[str, float]] | No
         "scheme": F.col("_w.scheme"), "factors_available": have.cast("bigint"),
         "composite_score": F.when(have >= min_factors, F.try_divide(total, weight))}).drop("_w")
 
-
-def evaluate_schemes(panel: DataFrame, schemes: Mapping[str, Mapping[str, float]] = WEIGHT_SCHEMES,
-                     as_of: str = "snapshot_date", outcome: str = "forward_return_12m") -> tuple[DataFrame, DataFrame]:
-    """(spreads per scheme and date, reliability per scheme at the stricter 5-of-7 bar)."""
-    scored = composite(rank_factors(panel, as_of), schemes)
-    spreads = decile_spreads(scored, ["scheme", as_of], "composite_score", outcome)
-    return spreads, reliability(spreads, "scheme", 5 / 7)

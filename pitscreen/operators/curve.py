@@ -98,10 +98,10 @@ def money_market_index(calendar: DataFrame, rates: DataFrame) -> DataFrame:
         "date", "rate", "mm_index")
 
 
-def daily_accrual(rates: DataFrame, start: Column, end: Column) -> DataFrame:
-    """(date, accrued): running sum of log(1 + rate) / 365 over every calendar day of [start, end].
+def daily_accrual(rates: DataFrame, bars: DataFrame) -> DataFrame:
+    """(date, accrued): running sum of log(1 + rate) / 365 over every calendar day that the bars span.
     The interest of any span is the difference of two look-ups, so spans are never exploded into days."""
-    days = rates.sparkSession.range(1).select(F.explode(F.sequence(start, end)).alias("date"))
+    days = bars.agg(F.min("date").alias("_a"), F.max("date").alias("_b")).select(F.explode(F.sequence("_a", "_b")).alias("date"))
     w = Window.partitionBy("_all").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     filled = forward_fill(days, rates, "rate").withColumn("_all", F.lit(1))
     return filled.withColumn("accrued", F.sum(F.log1p(F.coalesce("rate", F.lit(0.0))) / 365).over(w)).select("date", "accrued")

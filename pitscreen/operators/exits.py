@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import checkpointed
 from .events import HOLD_BARS
 from .ranking import exact_quantiles
 from .windows import KEY, TS, bar_index
@@ -123,7 +122,7 @@ def exit_outcomes(arrays: DataFrame, horizon: int = HOLD_BARS) -> DataFrame:
 
 def variant_metrics(outcomes: DataFrame, random_mean: float = RANDOM_MEAN, hold_mean: float = HOLD_MEAN) -> DataFrame:
     """Summary of every variant against a random baseline and buy-and-hold."""
-    outcomes = checkpointed(outcomes.select("family", "variant", "ret", "worst", "hold"))  # read twice below
+    outcomes = outcomes.select("family", "variant", "ret", "worst", "hold")
     r = F.col("ret")
     share = lambda cond: F.avg(cond.cast("double"))
     base = outcomes.groupBy("family", "variant").agg(

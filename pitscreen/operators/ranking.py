@@ -2,84 +2,82 @@
 
 A window over a whole cross-section would put one group into one task. Here a
 group is first reduced to one row per distinct value (partial aggregation, so
-ties and hot values collapse before the shuffle). Up to `limit` distinct values
-the running count is a plain window; beyond it values are cut into bins, bins
-get prefix sums, and only rows of one bin meet in one task. Both ways are exact.
+ties and hot values collapse before the shuffle). Values then fall into coarse
+and fine bins of a logarithmic scale, which is the same for every group and any
+size: a running total is the total of the coarse bins before, plus that of the
+fine bins before within the coarse one, plus a window inside the fine bin. No
+window holds more than a few hundred thousand rows, whatever the data: outliers
+sit in coarse bins of their own, and a fine bin holds values that agree in about
+seven digits. Nothing is counted or sampled beforehand, so the plan is one for
+all sizes and a recomputed task gives the same bins.
 """
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-from ..session import checkpointed
-
-PLAIN_WINDOW_LIMIT = 2_000_000
-BIN_WIDTH = 512
-
-
-def _binned(df: DataFrame, keys: Sequence[str], value: str, levels: int = 2) -> tuple[DataFrame, list[str]]:
-    """Order-preserving bins, refined once so that a long tail does not crowd one bin."""
-    cols, v = list(keys), F.col(value)
-    for level in range(levels):
-        edges = df.groupBy(*cols).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-        place = F.floor(F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo")) * BIN_WIDTH)
-        name = f"_bin{level}"
-        df = df.join(edges, cols).withColumn(
-            name, F.least(F.coalesce(place, F.lit(0)), F.lit(BIN_WIDTH - 1))).drop("_lo", "_hi")
-        cols.append(name)
-    return df, cols
-
-
-def running_totals(values: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str],
-                   limit: int = PLAIN_WINDOW_LIMIT) -> DataFrame:
-    """Add `<measure>_upto`, the total over rows of the key with a value at or
-    below this one. `values` holds one row per (key, value)."""
-    if values.count() <= limit:
-        w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        return values.withColumns({f"{m}_upto": F.sum(m).over(w) for m in measures})
-    binned, cols = _binned(values, keys, value)
-    bins = [c for c in cols if c not in keys]
-    before = Window.partitionBy(*keys).orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (binned.groupBy(*cols).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-               .select(*cols, *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures]))
-    inside = Window.partitionBy(*cols).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = binned.join(offsets, cols).withColumns(
-        {f"{m}_upto": F.sum(m).over(inside) + F.col(f"_o_{m}") for m in measures})
-    return out.drop(*bins, *[f"_o_{m}" for m in measures])
-
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    limit: int = PLAIN_WINDOW_LIMIT) -> DataFrame:
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+SCALE = 1e9           # below 1 / SCALE the scale is linear
+COARSE = 64.0         # bins per factor e
+FINE = 2.0 ** 18      # fine bins in a coarse one
+
+
+def _bins(value: Column) -> tuple[Column, Column]:
+    """Coarse and fine bin: floors of one rising function of the value."""
+    v = value.cast("double")
+    place = F.signum(v) * F.log1p(F.abs(v) * SCALE) * COARSE
+    return F.floor(place), F.floor(place * FINE)
+
+
+def running_totals(values: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
+    """Add `<measure>_upto`, the total over rows of the key with a value at or below this one, and
+    `<measure>_total`, that of the key. `values` holds one row per (key, value)."""
+    keys = list(keys)
+    coarse, fine = _bins(F.col(value))
+    binned = values.withColumns({"_coarse": coarse, "_fine": fine})
+
+    def offsets(group: list[str], bin_: str, mark: str, totals: bool) -> DataFrame:
+        per = binned.groupBy(*group, bin_).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+        before = Window.partitionBy(*group).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+        cols = [F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_{mark}_{m}") for m in measures]
+        if totals:
+            cols += [F.sum(f"_t_{m}").over(Window.partitionBy(*group)).alias(f"{m}_total") for m in measures]
+        return per.select(*group, bin_, *cols)
+
+    outer = offsets(keys, "_coarse", "o", True)
+    inner = offsets([*keys, "_coarse"], "_fine", "i", False)
+    inside = Window.partitionBy(*keys, "_coarse", "_fine").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    out = binned.withColumns({f"_w_{m}": F.sum(m).over(inside) for m in measures})
+    out = out.join(inner, [*keys, "_coarse", "_fine"]).join(outer, [*keys, "_coarse"])
+    out = out.withColumns({f"{m}_upto": F.col(f"_w_{m}") + F.col(f"_i_{m}") + F.col(f"_o_{m}") for m in measures})
+    return out.select(*values.columns, *[f"{m}_upto" for m in measures], *[f"{m}_total" for m in measures])
+
+
+def _counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    values = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_c")))
+    return running_totals(values, keys, "_v", ["_c"])
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Linearly interpolated quantiles of the non-null values, one column per entry of `probs`."""
     if not keys:
-        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, limit).drop("_all")
-    values = checkpointed(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-                          .agg(F.count(F.lit(1)).alias("_c")))
-    totals = running_totals(values, keys, "_v", ["_c"], limit)
-    sizes = values.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    ranked = totals.join(sizes, list(keys))
+        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
     covers = lambda k: (F.col("_c_upto") - F.col("_c") <= k) & (k < F.col("_c_upto"))
     picks = []
     for name, p in probs.items():
-        place = F.lit(float(p)) * (F.col("_n") - 1)
+        place = F.lit(float(p)) * (F.col("_c_total") - 1)
         picks += [F.max(F.when(covers(F.floor(place)), F.col("_v"))).alias(f"_lo_{name}"),
                   F.max(F.when(covers(F.ceil(place)), F.col("_v"))).alias(f"_hi_{name}"),
                   F.max(place - F.floor(place)).alias(f"_f_{name}")]
-    found = ranked.groupBy(*keys).agg(*picks)
+    found = _counted(df, keys, value).groupBy(*keys).agg(*picks)
     return found.select(*keys, *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in probs])
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str,
-                  limit: int = PLAIN_WINDOW_LIMIT) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Add the 0-100 percentile rank within the non-null values of the group;
     ties share their average rank and NULL stays NULL."""
-    values = checkpointed(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-                          .agg(F.count(F.lit(1)).alias("_c")))
-    totals = running_totals(values, keys, "_v", ["_c"], limit)
-    sizes = values.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     mean_rank = F.col("_c_upto") - (F.col("_c") - 1) / 2
-    ranks = totals.join(sizes, list(keys)).select(*keys, F.col("_v").alias(value),
-                                                  (mean_rank / F.col("_n") * 100).alias(name))
+    ranks = _counted(df, keys, value).select(*keys, F.col("_v").alias(value), (mean_rank / F.col("_c_total") * 100).alias(name))
     return df.join(ranks, [*keys, value], "left")

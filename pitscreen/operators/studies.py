@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import tiers
 from ..functions.guards import holds
-from ..session import checkpointed
 from .events import hash_sample
 from .ranking import exact_quantiles
 
@@ -46,7 +45,7 @@ def bucket_stats(buckets: DataFrame, horizons: Sequence[int], main: int, by: Seq
 
 def bucket_report(buckets: DataFrame, horizons: Sequence[int], main: int) -> DataFrame:
     """`bucket_stats` plus the exact median of the main horizon."""
-    buckets = checkpointed(buckets.select("bucket", "max_dd", *[f"fwd_{h}" for h in horizons]))
+    buckets = buckets.select("bucket", "max_dd", *[f"fwd_{h}" for h in horizons])
     med = exact_quantiles(buckets, ["bucket"], f"fwd_{main}", {"median": 0.5})
     return bucket_stats(buckets, horizons, main).join(med, "bucket", "left")
 
@@ -132,7 +131,7 @@ def band_entries(rows: DataFrame, bands: Sequence[tuple[float, float]] = DIP_BAN
 def band_sensitivity(entries: DataFrame, outcome: str, mae: str, random_mean: float = RANDOM_MEAN, baseline_spread: float = BASELINE_SPREAD,
                      min_n: int = 200) -> DataFrame:
     """Outcome table per drawdown band; bands with fewer than `min_n` entries keep only their count."""
-    entries = checkpointed(entries.select("band", outcome, mae, "regime"))
+    entries = entries.select("band", outcome, mae, "regime")
     r = F.col(outcome)
     base = entries.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), share(r > 0).alias("pct_pos"),
@@ -162,14 +161,20 @@ def band_findings(table: DataFrame, min_n: int = 500, floor: float = 0.08, curre
         "verdict": F.when(F.col("above_floor") >= 4, "ROBUST").when(F.col("above_floor") >= 2, "MODERATELY ROBUST").otherwise("FRAGILE")})
 
 
-def trade_stats(trades: DataFrame, by: Sequence[str] = (), years: Column | float | None = None) -> DataFrame:
+def per_year(stats: DataFrame, bars: DataFrame, count: str, name: str) -> DataFrame:
+    """Add `count` over the measured span of the bars in years (one row, joined by a constant)."""
+    span = bars.agg((F.datediff(F.max("date"), F.min("date")).cast("double") / 365.25).alias("_years")).withColumn("_one", F.lit(1))
+    return (stats.withColumn("_one", F.lit(1)).join(F.broadcast(span), "_one")
+            .withColumn(name, F.col(count) / F.col("_years")).drop("_one", "_years"))
+
+
+def trade_stats(trades: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Count, win rate, means, winners and losers, best and worst trade."""
     r = F.col("trade_return")
-    out = trades.where(r.isNotNull()).groupBy(*by).agg(
+    return trades.where(r.isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), share(r > 0).alias("win_rate"), F.avg(r).alias("avg_return"),
         F.avg("bars_held").alias("avg_hold"), F.count_if(r > 0).alias("winners"), F.count_if(r <= 0).alias("losers"),
         F.max(r).alias("best"), F.min(r).alias("worst"))
-    return out.withColumn("per_year", F.col("n") / years) if years is not None else out
 
 
 def over_thresholds(rows: DataFrame, thresholds: Sequence[float], score: str = "composite_score") -> DataFrame:

@@ -106,14 +106,11 @@ def veto(signals: DataFrame, filings: DataFrame, flags: DataFrame | None = None,
 
 
 def veto_buys(rows: DataFrame, filings: DataFrame, rule=veto, **options) -> DataFrame:
-    """Apply a veto rule to BUY rows only: blocked ones become VETO. `rule` is any
-    (signals, filings) -> signals + blocked, reason transform."""
-    buys = rule(rows.where(F.col("signal") == "BUY"), filings, **options)
-    buys = buys.withColumn("signal", F.when(F.col("blocked"), "VETO").otherwise("BUY")).withColumn(
-        "veto_reason", F.when(F.col("blocked"), F.col("reason"))).drop("blocked", "reason")
-    rest = rows.where(F.col("signal").isNull() | (F.col("signal") != "BUY")).withColumn(
-        "veto_reason", F.lit(None).cast("string"))
-    return rest.unionByName(buys)
+    """Turn blocked BUY rows into VETO; others keep their signal. `rule` is any (signals, filings) ->
+    signals + blocked, reason transform; it runs once over all rows, so what they derive from does too."""
+    hit = (F.col("signal") == "BUY") & F.col("blocked")
+    return rule(rows, filings, **options).withColumns({
+        "veto_reason": F.when(hit, F.col("reason")), "signal": F.when(hit, "VETO").otherwise(F.col("signal"))}).drop("blocked", "reason")
 
 
 def distress_census(filings: DataFrame, start: Column, end: Column) -> DataFrame:

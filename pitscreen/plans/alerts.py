@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.guards import holds
+from ..functions.scalars import previous_weekday
 from ..operators.asof import asof_backward, within_days
 
 
@@ -45,6 +46,20 @@ def portfolio_alerts(holdings: DataFrame, screened: DataFrame, bars: DataFrame,
     return rows.withColumn("alert_type", F.explode(kinds)).drop("_buy")
 
 
+def weekday_changes(history: DataFrame, day: str = "date") -> DataFrame:
+    """(ticker, day, status) for every stored day, against the weekday before it.
+
+    A weekday without stored rows counts as a day without signals: then every signal is NEW, and
+    what it dropped is not reported. A signal is reported as DROPPED only on days that are stored.
+    """
+    stored = history.select(day).distinct().withColumn("_weekday", previous_weekday(F.col(day)))
+    buys = history.where(F.col("signal") == "BUY").select("ticker", day).distinct()
+    before = (buys.withColumnRenamed(day, "_weekday").join(stored, "_weekday").select("ticker", day, F.lit(True).alias("_before")))
+    both = buys.withColumn("_now", F.lit(True)).join(before, ["ticker", day], "full_outer")
+    status = F.when(F.col("_before").isNull(), "NEW").when(F.col("_now").isNull(), "DROPPED").otherwise("CONTINUING")
+    return both.select("ticker", day, status.alias("status"))
+
+
 def latest_two_days(history: DataFrame, day: str = "as_of") -> DataFrame:
     """Signal status per (ticker, day) over a stored history, against the previous stored day of the calendar."""
     w = Window.partitionBy("_all").orderBy(day)

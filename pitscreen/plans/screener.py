@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tiers
-from ..functions.guards import holds
 from ..operators import indicators, universe, veto
 from ..operators.fundamentals import snapshots_asof
 from ..operators.windows import by_bar, has_history
@@ -46,13 +45,3 @@ def ranking(rows: DataFrame) -> DataFrame:
 
 def split_signals(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("signal") == "BUY"), rows.where(F.col("signal") == "VETO")
-
-
-def label_history(bars: DataFrame, facts: DataFrame) -> DataFrame:
-    """BUY / WATCH / SKIP for every bar with its point-in-time gate. Gates are requested only for
-    rows that reach the buy score; the others cannot become BUY."""
-    from .event_study import entry_gates
-    scored = indicators.recovery_scores(has_history(bars, 252))
-    hot = holds(F.col("composite_score") >= tiers.RECOVERY_BUY)
-    return entry_gates(scored.where(hot), facts).withColumn(
-        "signal", tiers.recovery_signal(F.col("composite_score"), F.col("gate"), below="WATCH"))

@@ -58,16 +58,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Persist `df` in the shared folder so later stages neither recompute it
-    nor see a different result after an executor is lost."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def clustered(df: DataFrame, key: str = "ticker", order: str = "date") -> DataFrame:
     """A stored copy in the shared folder, bucketed and sorted by instrument: later windows and joins on
     the key need no exchange, scans still prune columns, and a derivation used several times runs once."""

@@ -12,11 +12,6 @@ def write_daily(df: DataFrame, path: str, by: str = "as_of") -> None:
     (df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path))
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "ticker", sort: str = "date") -> None:
-    """Bars as a table bucketed and sorted by instrument, so later windows and joins on it need no exchange."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, sort).format("parquet").saveAsTable(table)
-
-
 def append_missing_caps(requests: DataFrame, existing: DataFrame, today: Column, compute) -> DataFrame:
     """Grid rows still to compute: old dates are final once stored, recent ones are recomputed.
     `compute` maps requests(ticker, as_of) to the same rows with their cap."""

@@ -102,10 +102,32 @@ def test_number_parsing(spark):
 
 def test_money_market_and_curve(spark):
     rates = spark.createDataFrame([(D("2024-01-01"), 0.05)], "date date, rate double")
-    acc = curve.daily_accrual(rates, F.lit(D("2024-01-01")), F.lit(D("2025-12-31")))
+    calendar = spark.createDataFrame([(D("2024-01-01"),), (D("2025-12-31"),)], "date date")
+    acc = curve.daily_accrual(rates, calendar)
     spans = spark.createDataFrame([(D("2024-01-10"), D("2025-01-09")), (D("2024-01-10"), D("2024-01-10"))], "s date, e date")
     got = [r.mm_return for r in curve.span_interest(spans, acc, "s", "e").orderBy(F.desc("e")).collect()]
     assert got[0] == pytest.approx(1.05 ** (365 / 365) - 1, abs=1e-9) and got[1] == 0.0
     vals = [("x", D("2023-06-01"), 100.0), ("x", D("2023-12-29"), 120.0), ("x", D("2024-03-01"), 90.0), ("x", D("2024-12-30"), 150.0)]
     m = curve.curve_metrics(spark.createDataFrame(vals, "series string, date date, value double")).first()
     assert m.total_return == pytest.approx(0.5) and m.max_drawdown == pytest.approx(-0.25) and m.best_year == 2024 and m.best_return == pytest.approx(0.25)
+
+
+def test_null_inputs_stay_null(spark):
+    from pyspark.sql import functions as F
+
+    from pitscreen.functions import scalars, tiers
+    none = spark.range(1).select(F.lit(None).cast("double").alias("x"))
+    got = none.select(scalars.expected_return(F.col("x")), scalars.percentile_step(F.col("x")), tiers.size_weight(F.col("x"))).first()
+    assert list(got) == [None, None, None]
+    some = spark.range(1).select(*[scalars.expected_return(F.lit(d)) for d in (0, 21, 42, 252, 400)], *[scalars.percentile_step(F.lit(r)) for r in (-0.5, 0.0, 9.0)]).first()
+    assert [round(v, 4) for v in some[:5]] == [0.0, 0.02, 0.042, 0.492, 0.492] and list(some[5:]) == [5, 45, 99]
+
+
+def test_changes_against_the_previous_weekday(spark):
+    import datetime as dt
+
+    from pitscreen.plans import alerts
+    d = lambda n: dt.date(2024, 3, n)  # noqa: E731  the 1st is a Friday
+    rows = [("A", d(1), "BUY"), ("B", d(1), "BUY"), ("A", d(4), "BUY"), ("C", d(4), "WATCH"), ("A", d(6), "BUY")]
+    got = {(r.ticker, r.date.day): r.status for r in alerts.weekday_changes(spark.createDataFrame(rows, "ticker string, date date, signal string")).collect()}
+    assert got == {("A", 1): "NEW", ("B", 1): "NEW", ("A", 4): "CONTINUING", ("B", 4): "DROPPED", ("A", 6): "NEW"}

@@ -79,13 +79,13 @@ def in_universe(signals: DataFrame, universe: DataFrame) -> DataFrame:
     return keyed.join(members, ["_month", "ticker"], "left_semi").drop("_month")
 
 
-def size_sweep(ranked: DataFrame, sizes: Sequence[int | None]) -> DataFrame:
-    """One ranked universe masked at several sizes (`None` is the full universe), as (size, ...) rows."""
-    labels = F.array(*[F.struct(F.lit("full" if s is None else str(s)).alias("size"),
-                                F.lit(s).cast("bigint").alias("cap")) for s in sizes])
-    grid = ranked.withColumn("_g", F.explode(labels))
-    return grid.where(F.col("_g.cap").isNull() | (F.col("cap_rank") <= F.col("_g.cap"))).withColumn(
-        "size", F.col("_g.size")).drop("_g")
+def size_sweep(caps: DataFrame, sizes: Sequence[int], by: Sequence[str] = ("as_of",)) -> DataFrame:
+    """The universe at several sizes and in full, as (size, ...) rows. Only the largest size is ranked, so the
+    rank limit still runs before the shuffle; the full universe needs no rank."""
+    labels = F.array(*[F.struct(F.lit(str(s)).alias("size"), F.lit(s).cast("bigint").alias("cap")) for s in sizes])
+    ranked = top_by_cap(caps, max(sizes), by).withColumn("_g", F.explode(labels)).where(F.col("cap_rank") <= F.col("_g.cap"))
+    everyone = caps.where(F.col("mcap") > 0).withColumn("size", F.lit("full"))
+    return ranked.withColumn("size", F.col("_g.size")).select(everyone.columns).unionByName(everyone)
 
 
 def membership_sanity(membership: DataFrame, sample: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators.windows import bar_index, has_history
 from ..plans import event_study as es
 from ..sources import star
 from .base import query
-from .ctes import SAMPLED, W, busday
+from .ctes import SAMPLED, W, asof, busday, gate
 
 KEEP = ["ticker", "date"]
 
@@ -107,18 +107,30 @@ def _(spark, sf):
     return ev.near_local_low(star.bars(spark, sf)).select(*KEEP, "near_min")
 
 
-@query("evt_13_case_windows", f"""
-SELECT c.ticker, c.case_date, max(s.composite_score) AS max_window_score, min(s.date) FILTER (WHERE s.composite_score >= CAST(0.6 AS DOUBLE)) AS first_buy,
-       arg_max(s.fwd_63, s.date) FILTER (WHERE s.date <= c.case_date) AS fwd_63,
-       date_diff('day', c.case_date, min(s.date) FILTER (WHERE s.composite_score >= CAST(0.6 AS DOUBLE))) AS offset_days
-FROM (SELECT ticker, arg_min(date, (close, date)) AS case_date FROM bars GROUP BY 1) c
-JOIN (SELECT *, coalesce(lead(close, 63) OVER ({W}) / close - 1, CAST('-inf' AS DOUBLE)) AS fwd_63 FROM scored_all) s ON s.ticker = c.ticker AND abs(date_diff('day', c.case_date, s.date)) <= 20 GROUP BY 1, 2""".replace("coalesce(lead(close, 63) OVER (PARTITION BY ticker ORDER BY date) / close - 1, CAST('-inf' AS DOUBLE))", "coalesce(lead(close, 63) OVER (PARTITION BY ticker ORDER BY date) / close - 1, -9)"),
-       d="max_window_score fwd_63", i="offset_days")
-def _(spark, sf):
+CASES = "(SELECT ticker, arg_min(date, (close, date)) AS as_of FROM bars GROUP BY 1)"
+CASE_WINDOWS = f"""
+SELECT *, date_diff('day', case_date, first_buy) AS offset_days, CASE WHEN case_score IS NULL THEN 'INSUFFICIENT_DATA' WHEN NOT coalesce(gate, FALSE) THEN 'SKIP' WHEN case_score >= CAST(0.6 AS DOUBLE) THEN 'BUY' ELSE 'WATCH' END AS case_signal FROM (
+ SELECT c.ticker, c.as_of AS case_date, g.gate, max(s.composite_score) AS max_window_score, min(s.date) FILTER (WHERE coalesce(g.gate, FALSE) AND s.composite_score >= CAST(0.6 AS DOUBLE)) AS first_buy,
+  arg_max_null(s.drawdown_52w, s.date) FILTER (WHERE s.date <= c.as_of) AS case_drawdown, arg_max_null(s.composite_score, s.date) FILTER (WHERE s.date <= c.as_of) AS case_score, arg_max_null(s.fwd_63, s.date) FILTER (WHERE s.date <= c.as_of) AS fwd_63
+ FROM {CASES} c LEFT JOIN (SELECT ticker, {gate()} AS gate FROM ({asof(CASES)})) g ON g.ticker = c.ticker
+ JOIN (SELECT *, lead(close, 63) OVER ({W}) / close - 1 AS fwd_63 FROM scored_all) s ON s.ticker = c.ticker AND abs(date_diff('day', c.as_of, s.date)) <= 20 GROUP BY 1, 2, 3)"""
+
+
+def _cases(spark, sf):
     b = star.bars(spark, sf)
-    cases = b.groupBy("ticker").agg(F.min_by("date", F.struct("close", "date")).alias("case_date"))
-    out = ev.case_windows(cases, ind.recovery_scores(b))
-    return out.withColumn("fwd_63", F.coalesce("fwd_63", F.lit(-9.0)))
+    lows = b.groupBy("ticker").agg(F.min_by("date", F.struct("close", "date")).alias("date"))
+    cases = es.entry_gates(lows, star.facts(spark, sf)).withColumnRenamed("date", "case_date")
+    return ev.case_windows(cases, ind.recovery_scores(b))
+
+
+@query("evt_13_case_windows", CASE_WINDOWS, d="max_window_score case_drawdown case_score fwd_63", i="offset_days")
+def _(spark, sf):
+    return _cases(spark, sf)
+
+
+@query("agg_02_case_criterion", f"SELECT count(*) AS cases, count(first_buy) AS with_buy, count(first_buy) >= 3 AS pass_cases FROM ({CASE_WINDOWS})", i="cases with_buy")
+def _(spark, sf):
+    return ev.cases_pass(_cases(spark, sf))
 
 
 @query("evt_14_best_candidates", f"""

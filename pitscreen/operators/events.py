@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.guards import holds
+from ..functions.tiers import recovery_signal
+from .asof import interval_join
 from .windows import KEY, TS, ahead, bar_index, by_bar
 
 HOLD_BARS = 252
@@ -229,14 +231,27 @@ def window_return(requests: DataFrame, bars: DataFrame, start: Column, end: Colu
 
 
 def case_windows(cases: DataFrame, scored: DataFrame, days: int = 20, buy: float = 0.60) -> DataFrame:
-    """cases(ticker, case_date) + best composite and first BUY date within +-days calendar days, offset, 63-bar return."""
-    base = scored.select("ticker", "date", "composite_score", forward_return(63).alias("fwd_63"), "close")
-    joined = cases.join(base, "ticker").where(F.abs(F.datediff("date", "case_date")) <= days)
-    out = joined.groupBy("ticker", "case_date").agg(
-        F.max("composite_score").alias("max_window_score"),
-        F.min(F.when(F.col("composite_score") >= buy, F.col("date"))).alias("first_buy"),
-        F.max_by("fwd_63", F.when(F.col("date") <= F.col("case_date"), F.col("date"))).alias("fwd_63"))
-    return out.withColumn("offset_days", F.datediff("first_buy", "case_date").cast("bigint"))
+    """cases(ticker, case_date, gate) + best composite and first BUY date within +-days calendar days, its offset,
+    and of the last bar up to the case date: drawdown, composite, signal and 63-bar return.
+
+    A bar is a BUY only where the gate of the case is true. The window is an interval join, so a case meets the
+    bars of two time blocks of its ticker, not the ticker's whole history.
+    """
+    base = scored.select("ticker", "date", "composite_score", "drawdown_52w", forward_return(63).alias("fwd_63"))
+    keyed = cases.withColumn("_until", F.date_add("case_date", days))
+    joined = interval_join(keyed, base, ["ticker"], "_until", "date", 2 * days)
+    is_buy = holds(F.col("gate")) & (F.col("composite_score") >= buy)
+    on_day = F.when(F.col("date") <= F.col("case_date"), F.col("date"))
+    out = joined.groupBy("ticker", "case_date", "gate").agg(
+        F.max("composite_score").alias("max_window_score"), F.min(F.when(is_buy, F.col("date"))).alias("first_buy"),
+        *[F.max_by(c, on_day).alias(n) for c, n in (("drawdown_52w", "case_drawdown"), ("composite_score", "case_score"), ("fwd_63", "fwd_63"))])
+    return out.withColumns({"offset_days": F.datediff("first_buy", "case_date").cast("bigint"),
+                            "case_signal": recovery_signal(F.col("case_score"), F.col("gate"), below="WATCH")})
+
+
+def cases_pass(windows: DataFrame, need: int = 3) -> DataFrame:
+    """One row: how many cases had a BUY in their window, and whether that is enough."""
+    return windows.agg(F.count(F.lit(1)).alias("cases"), F.count("first_buy").alias("with_buy")).withColumn("pass_cases", F.col("with_buy") >= need)
 
 
 def best_per_ticker(candidates: DataFrame, top: int = 20) -> DataFrame:

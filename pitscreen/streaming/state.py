@@ -1,9 +1,11 @@
 """Incremental versions of the daily jobs, keyed by ticker.
 
 State per ticker is a handful of values. A micro-batch normally brings one row
-per ticker; a replay brings at most its calendar-bounded history. Watermark on
-the bar date defines late data: rows behind it are dropped and corrected by a
-batch re-run.
+per ticker; a replay brings at most its calendar-bounded history. Bars of a ticker
+come in order of their dates, so late data is defined per ticker: a row dated at or
+before the last one taken in is late, is ignored, and is corrected by a batch re-run.
+Tickers do not wait for each other, and no watermark is kept for these three jobs.
+First deliveries have no such order and use a watermark.
 """
 from __future__ import annotations
 

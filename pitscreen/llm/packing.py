@@ -21,63 +21,37 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pitscreen.llm.common import as_long, stored, utf8
+from pitscreen.llm.common import as_long, buffers, chunks, stored, utf8
+from pitscreen.llm.word_bpe import WordBpe
 
 WINDOW = 2048
 END_ID = 1
 PARTS = 1024
-CACHE_WORDS = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class WordIds:
-    """Token ids of texts as little-endian 32-bit integers, word by word.
-
-    The tokenizer's own splitter never joins characters across ASCII white space, so a text's ids
-    are those of its words in turn; words are kept, up to a bound, as bytes.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {}
-        for word, found in zip(words, self.encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            fresh = sorted({w for w in words if w not in self.known})
-            if len(self.known) + len(fresh) > CACHE_WORDS:
-                fresh = sorted(set(words))
-            self.learn(fresh)
-            return b"".join(map(self.known.__getitem__, words))
-
-
-_WORD_IDS: dict[str, WordIds] = {}
+_TOKENIZERS: dict[str, WordBpe] = {}
 
 
 def _cut(path: str, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _WORD_IDS:
-            _WORD_IDS[path] = WordIds(path)
-        tokens = _WORD_IDS[path]
-        end = np.array([end_id], "<u4").tobytes()
+        if path not in _TOKENIZERS:
+            _TOKENIZERS[path] = WordBpe(path)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = tokens.ids(text.as_py()) + end
-                total = len(ids) // 4
-                for at in range(0, total, window):
-                    piece = ids[4 * at:4 * (at + window)]
-                    rows.append((doc_id, at, len(piece) // 4, zlib.crc32(piece), total))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            data, offsets = buffers(batch.column(1))
+            doc_ids = batch.column(0).to_pylist()
+            for a, b in chunks(offsets):
+                span = offsets[a:b + 1]
+                ids, number = _TOKENIZERS[path].texts(data[span[0]:span[-1]], span - span[0])
+                ids = np.insert(ids, np.cumsum(number), end_id).astype("<u4")
+                rows: list[tuple] = []
+                low = 0
+                for doc_id, total in zip(doc_ids[a:b], (number + 1).tolist()):
+                    for at in range(0, total, window):
+                        length = min(window, total - at)
+                        rows.append((doc_id, at, length, zlib.crc32(ids[low + at:low + at + length]), total))
+                    low += total
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
     return run
 
 

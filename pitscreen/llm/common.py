@@ -42,12 +42,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts hold about `limit` bytes; a longer text is a range of its own."""
+def chunks(offsets: np.ndarray, limit: int = 1 << 19, most: int = 1024) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most `most` rows whose texts hold about `limit` bytes; a longer text is a range of its own."""
     rows = len(offsets) - 1
     at = 0
     while at < rows:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        to = min(to, at + most)
         yield at, to
         at = to
 

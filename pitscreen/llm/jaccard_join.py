@@ -224,6 +224,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denomin
     levels = spark.sparkContext.broadcast(shingle_levels(docs, size, bits))
     schema = "doc_id long, n long, s1 long, s2 long, ph long, bits array<long>, prefix array<long>"
     rows = stored(docs.mapInArrow(_describe(size, numerator, denominator, levels, bits), schema), "sets")
+    levels.destroy()  # what follows reads `rows`
     known = rows.filter("n > 0 and doc_id is not null")
 
     classes = stored(known.groupBy("n", "ph", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits")), "classes")

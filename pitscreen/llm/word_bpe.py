@@ -12,6 +12,7 @@ which also gives the ids of the punctuation; tests hold both ways against it.
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 
@@ -35,6 +36,7 @@ class WordBpe:
     """Ids of texts by the vocabulary and merges of a tokenizer file."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread keeps memory
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:

@@ -5,10 +5,11 @@ Inner products become distances: with the largest norm M of all vectors, x turns
 inner product. A Gaussian projection to DIMENSIONS coordinates keeps distances up to a
 chi-square factor: projected^2 / true^2 is chi-square with DIMENSIONS degrees of
 freedom. Vectors are dealt into shards of bounded size by the hash of their ids. In a
-shard a kd-tree over the projections gives the leaves in order of their distance from
-the projected query; the members of each next leaf are verified with exact inner
-products, until the chi-square test says that a point at least as near as the current
-k-th would have been met with probability `certainty`. The best of all shards meet.
+shard a kd-tree over the projections gives the leaves nearest to the projected query;
+their members give a first k-th distance and rule out leaves by their boxes. Members of
+the others are verified with exact inner products by rising projected distance, until
+the chi-square test says that a point at least as near as the current k-th would have
+been met with probability `certainty`. The best of all shards meet.
 
 Query blocks visit all shards, so work is queries times shards; nothing is broadcast
 but the projection itself and no pair of vectors becomes a row before it is a result.
@@ -26,10 +27,11 @@ from pitscreen.llm.common import as_long, stored
 
 DIMENSIONS = 12
 LEAF = 48
+STEP = 128             # members verified before the first test; twice as many before each next one
 SHARD = 20_000
 BLOCK = 256
 LANES = 64
-CERTAINTY = 0.97
+CERTAINTY = 0.95
 SEED = 20240229
 
 
@@ -62,54 +64,80 @@ def lift(x: np.ndarray, most: float) -> np.ndarray:
 
 
 class Tree:
-    """A kd-tree over projected points, as its leaves: members and bounding boxes."""
+    """A kd-tree over projected points: members by leaf, and the leaves' bounding boxes.
+
+    `order` puts the members of each leaf side by side; `points` is in that order.
+    """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        groups = [np.arange(len(points))]
-        self.leaves: list[np.ndarray] = []
+        groups, leaves = [np.arange(len(points))], []
         while groups:
             group = groups.pop()
             if len(group) <= leaf:
-                self.leaves.append(group)
+                leaves.append(group)
                 continue
             spread = points[group].max(axis=0) - points[group].min(axis=0)
             axis = int(spread.argmax())
-            if spread[axis] == 0:   # one point many times: any cut will do
-                groups += [group[:len(group) // 2], group[len(group) // 2:]]
-                continue
-            order = group[np.argpartition(points[group, axis], len(group) // 2)]
-            groups += [order[:len(order) // 2], order[len(order) // 2:]]
-        self.low = np.stack([points[g].min(axis=0) for g in self.leaves])
-        self.high = np.stack([points[g].max(axis=0) for g in self.leaves])
-
-    def distances(self, query: np.ndarray) -> np.ndarray:
-        """Squared distances of a projected query from the boxes."""
+            half = len(group) // 2
+            if spread[axis]:        # else one point many times: any cut will do
+                group = group[np.argpartition(points[group, axis], half)]
+            groups += [group[:half], group[half:]]
+        self.order = np.concatenate(leaves)
+        self.points = points[self.order]
+        self.norms = np.einsum("ij,ij->i", self.points, self.points)
+        self.sizes = np.array([len(g) for g in leaves])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.low = np.stack([points[g].min(axis=0) for g in leaves])
+        self.high = np.stack([points[g].max(axis=0) for g in leaves])
+
+    def boxes(self, query: np.ndarray) -> np.ndarray:
+        """Squared distances of a projected query from the leaves' boxes."""
         out = np.maximum(0.0, np.maximum(self.low - query, query - self.high))
-        return (out * out).sum(axis=1)
+        return np.einsum("ij,ij->i", out, out)
+
+    def within(self, query: np.ndarray, leaves: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Members (by their place in the order) of the marked leaves within a squared projected distance, nearest first."""
+        apart = self.norms + query @ query - 2.0 * (self.points @ query)
+        members = np.flatnonzero(np.repeat(leaves, self.sizes) & (apart <= reach))
+        members = members[np.argsort(apart[members], kind="stable")]
+        return members, apart[members]
 
 
 def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, most: float, query_id: int, query: np.ndarray, projected: np.ndarray, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and inner products of the k best members found, best first, ties to the smaller id."""
-    away = tree.distances(projected)
-    order = np.argsort(away, kind="stable")
+    """Ids and inner products of the k best members found, best first, ties to the smaller id.
+
+    `ids` and `vectors` are in the tree's order. The nearest leaves give a first k-th distance; then the members of
+    all leaves that can pass the test are verified by rising projected distance until the next one fails it.
+    """
     norm = float(query @ query) + most
-    found_ids, found = np.zeros(0, np.int64), np.zeros(0)
-    at, step = 0, max(1, (2 * k) // LEAF + 1)
-    while at < len(order):
-        if len(found) >= k:
-            kth = max(0.0, norm - 2.0 * found[-1])     # squared lifted distance of the k-th best so far
-            if away[order[at]] > ratio * kth + 1e-9 * norm:
-                break
-        members = np.concatenate([tree.leaves[i] for i in order[at:at + step]])
-        at += step
-        step = min(2 * step, 32)
+    best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+    slack = 1e-9 * norm
+
+    def verify(members: np.ndarray) -> None:
+        nonlocal best_ids, best
+        if len(best) >= k:
+            members = members[np.einsum("ij,j->i", vectors[members], query) >= best[-1] - slack]
         score = (vectors[members] * query).sum(axis=1)   # row by row: equal vectors get equal scores
         new = ids[members]
         other = new != query_id
-        found_ids, found = np.concatenate([found_ids, new[other]]), np.concatenate([found, score[other]])
-        best = np.lexsort((found_ids, -found))[:k]
-        found_ids, found = found_ids[best], found[best]
-    return found_ids, found
+        best_ids, best = np.concatenate([best_ids, new[other]]), np.concatenate([best, score[other]])
+        top = np.lexsort((best_ids, -best))[:k]
+        best_ids, best = best_ids[top], best[top]
+
+    def reach() -> float:   # the squared projected distance beyond which the test holds
+        return ratio * max(0.0, norm - 2.0 * best[-1]) + slack if len(best) >= k else np.inf
+
+    away = tree.boxes(projected)
+    near = np.argsort(away, kind="stable")[:max(2, 2 * k // LEAF + 1)]
+    seen = np.zeros(len(away), bool)
+    seen[near] = True
+    verify(np.concatenate([np.arange(tree.first[i], tree.first[i] + tree.sizes[i]) for i in near]))
+    members, apart = tree.within(projected, ~seen & (away <= reach()), reach())
+    at, step = 0, STEP
+    while at < len(members) and apart[at] <= reach():
+        verify(members[at:at + step])
+        at, step = at + step, 2 * step
+    return best_ids, best
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -131,6 +159,7 @@ def _shard_search(most: float, width: int, k: int, certainty: float):
                 state["members"] = np.concatenate(state["ids"])
                 state["vectors"] = np.concatenate(state["rows"])
                 state["tree"] = Tree(lift(state["vectors"], most) @ matrix)
+                state["members"], state["vectors"] = state["members"][state["tree"].order], state["vectors"][state["tree"].order]
             projected = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1) @ matrix
             out = [search(state["tree"], state["members"], state["vectors"], most, int(i), q, p, k, ratio) for i, q, p in zip(query_ids, queries, projected)]
             return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, [len(x) for x, _ in out])), pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], names=["query_id", "vec_id", "score"])

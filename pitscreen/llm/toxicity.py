@@ -128,7 +128,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for toxic, row in zip(batch.column(0).to_pylist(), batch.column(1)):
             counts[int(toxic == 1)][row.values.to_numpy()] += 1
-    some = np.flatnonzero(counts[1] + counts[0] > 1)
+    some = np.flatnonzero(counts[1] + counts[0])   # single ones too: a feature may be alone in each of many partitions
     if len(some):
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[1][some]), pa.array(counts[0][some])], names=["feature", "toxic", "other"])
 

@@ -295,6 +295,19 @@ def test_toxicity_finds_held_out_rows(spark):
     assert all(same[i] == r.score for i, r in got.items())   # labels of held-out rows play no part
 
 
+def test_toxicity_does_not_depend_on_the_partitions(spark, monkeypatch):
+    rng = random.Random(9)      # each invented word stands in a few toxic rows, so it is alone in most of 200 partitions
+    texts = [(i, prose(rng, 12) + (f" {'qwzxkvbj'[i // 6 % 8]}uvrak" if i % 6 == 0 else "")) for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i, _ in texts], "doc_id long, quality int, toxic int")
+    stored, fitted = toxicity.stored, []
+    for n in (1, 200):
+        monkeypatch.setattr(toxicity, "stored", lambda df, name, n=n: stored(df, name).repartition(n))
+        keys, weights, bias = toxicity.fit(docs, labels)
+        fitted.append((keys.tolist(), weights.tolist(), bias))
+    assert fitted[0] == fitted[1] and len(fitted[0][0]) >= len(toxicity._fixed_features()) + 8   # the invented words are learned
+
+
 def test_label_model_sees_accuracy_and_copies():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.2

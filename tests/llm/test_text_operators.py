@@ -267,6 +267,27 @@ def test_automaton_with_failure_links():
             assert automaton.pieces(bytes(word)) == count
 
 
+def test_every_word_is_spelled(spark):
+    entries = set(token_counts.vocabulary(tokenizer_path()))
+    longest = max(map(len, entries))
+
+    def spelled(word):                 # the last piece closes the word, the ones before are the longest that leave a rest
+        symbols, at, n = (*word, token_counts.END), 0, 0
+        while at < len(symbols):
+            at = next(j for j in range(min(len(symbols), at + longest), at, -1) if j != len(symbols) - 1 and symbols[at:j] in entries)
+            n += 1
+        return n
+    inner = sorted(e for e in entries if e[-1] != token_counts.END and (*e, token_counts.END) not in entries)
+    rng = random.Random(4)
+    words = [bytes(e) for e in inner] + [b"".join(bytes(rng.choice(inner)) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    words += [bytes(rng.randrange(256) for _ in range(rng.randrange(1, 30))) for _ in range(1000)] + [w.encode() for w in ("für", "thre", "https://example.com/a/b?x=thre", "这是一个没有空格的句子")]
+    automaton = token_counts.Automaton(sorted(entries))
+    assert len(inner) > 6000 and [automaton.pieces(w) for w in words] == [spelled(w) for w in words]
+    text = "für thre https://example.com/a/b?x=thre"
+    got = token_counts.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer_path()).collect()
+    assert [tuple(r) for r in got] == [(1, 3, sum(spelled(w.encode()) for w in text.split()))] and got[0].n_tokens > 10
+
+
 def toxic_corpus(spark, n=900):
     rng = random.Random(8)
     bad = ["idiot", "grommel", "gromvox", "gromtar", "pathetic,"]

@@ -27,6 +27,19 @@ def test_odd_pages(page, want):
     assert text_of(page).replace("a\nb", "a\nb") == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<article><p>a</p><section id="related-work"><h2 id="related">r</h2><p id="notice">b</p></section><section id="search-algorithms"><p>c</p></section></article>', "a\nr\nb\nc"),
+    ('<article><h2 id="form-of-the-poem">h</h2><section id="search"><p>s</p></section><p class="social-history">p</p></article>', "h\ns\np"),
+    ('<div class="layout has-sidebar"><article><p>a</p></article></div>', "a"), ('<div class="sidebar"><article><p>a</p></article></div>', "a"),
+    ('<form id="aspnet"><nav>n</nav><article><p>a</p><form>f</form></article></form>', "a"), ('<form><nav>n</nav><div>t<p>u</p></div></form>', "t\nu"),
+    ('<div id="search"><main><p>m</p></main></div>', "m"), ('<article><p>a</p></article><div class="related"><article><p>r</p></article></div>', "a"),
+    ('<article><p>a</p><section id="comments"><p>c</p></section><div class="share-buttons">s</div><div class="comment-list">l</div></article>', "a"),
+    ('<div hidden class="sidebar"><article><p>x</p></article></div><p>v</p>', "v"), ('<div>t</div><div id="comments"><article class="comment-body"><p>c</p></article></div>', "t"),
+    ('<p>b</p><form><p>f</p></form>', "b"), ('<main><div class="sidebar"><article><p>a</p></article><p>s</p></div></main>', "a")])
+def test_everyday_words_in_names_drop_no_text(page, want):
+    assert text_of(page) == want
+
+
 def test_host_suffix_array_removes_repeated_runs(spark):
     common = "This site uses many words on each of its pages to say nothing at all"
     pages = [(i, f"https://h.example/{i}", f"<div>{common}</div><div>Unique {i} body text that stands only on page {i} of this host, number {i * 7}</div>", "c", "c") for i in range(6)]

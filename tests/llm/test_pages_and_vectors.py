@@ -54,6 +54,20 @@ def test_host_suffix_array_removes_repeated_runs(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_near_mirrors_and_shared_passages_stay(spark):
+    words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    mirrors = [words("m", 40) + f" edit{i} " + words("n", 40) for i in range(4)]
+    passage, footer = words("quote", 50), words("foot", 12)
+    own = [words(f"u{i}x", 60) + (" " + passage if i < 3 else "") for i in range(8)]
+    pages = [(i, f"https://a.example/{i}", f"<article><div>{t}</div></article>") for i, t in enumerate(mirrors)]
+    pages += [(10 + i, f"https://b.example/{i}", f"<div>{t}</div><div>{footer}</div>") for i, t in enumerate(own)]
+    pages += [(20 + i, f"https://c.example/{i}", f"<table><tr><td>x{i}</td></tr></table><div>{passage}</div>") for i in range(2)]
+    for n in (1, 5):
+        text = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(n)).collect()}
+        assert [text[i] for i in range(4)] == mirrors and [text[10 + i] for i in range(8)] == own
+        assert [text[20 + i] for i in range(2)] == [f"x{i}\n{passage}" for i in range(2)]
+
+
 def brute(ids, x, query, k):
     score = (x * query[1]).sum(axis=1)
     other = ids != query[0]

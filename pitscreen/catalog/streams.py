@@ -35,13 +35,20 @@ def _(spark, sf):
     return runner.run_to_files(_halves(rows, overlap=20), state.signal_changes, "changes")
 
 
+#: Deliveries in which the bars of every tenth ticker stop early; its positions still fall due.
+STOPPED = "(SELECT * FROM scored WHERE NOT (CAST(ticker AS BIGINT) % 10 = 3 AND date > DATE '1998-01-01'))"
+DUE = f"""(SELECT e.ticker, e.date AS entry_date, e.close AS entry_price, d.alert, d.held,
+  (SELECT min(x) FROM (SELECT CAST(unnest(generate_series(e.date + CAST(d.held * 7 // 5 - 3 AS INTEGER), e.date + CAST(d.held * 7 // 5 + 6 AS INTEGER), INTERVAL 1 DAY)) AS DATE) AS x)
+   WHERE isodow(x) <= 5 AND {busday('e.date', 'x')} >= d.held) AS due
+  FROM (SELECT c.* FROM crossed c JOIN {STOPPED} USING (ticker, date)) e, (VALUES ('REMINDER', 222), ('EXIT', 252)) d(alert, held))"""
+
+
 @query("str_02_position_lifecycle", f"""
-SELECT ticker, entry_date, date, alert, days_held, close / entry_price - 1 AS ret FROM (
- SELECT *, row_number() OVER (PARTITION BY ticker, entry_date, alert ORDER BY date) AS r FROM (
-  SELECT c.ticker, c.date AS entry_date, c.close AS entry_price, b.date, b.close, {busday('c.date', 'b.date')} AS days_held, CASE WHEN {busday('c.date', 'b.date')} >= 252 THEN 'EXIT' ELSE 'REMINDER' END AS alert
-  FROM crossed c JOIN bars b ON b.ticker = c.ticker AND b.date > c.date WHERE {busday('c.date', 'b.date')} >= 222)) WHERE r = 1""", d="ret", i="days_held")
+SELECT d.ticker, d.entry_date, d.due AS date, d.alert, d.held AS days_held, b.close / d.entry_price - 1 AS ret
+FROM {DUE} d ASOF JOIN {STOPPED} b ON b.ticker = d.ticker AND b.date <= d.due WHERE d.due <= (SELECT max(date) - 5 FROM {STOPPED})""", d="ret", i="days_held")
 def _(spark, sf):
     rows = ev.crossings(_scored(spark, sf), F.col("composite_score") >= 0.60).select("ticker", "date", "close", F.col("crossed").alias("opened"))
+    rows = rows.where(~((F.col("ticker").cast("bigint") % 10 == 3) & (F.col("date") > "1998-01-01")))
     return runner.run_to_files(_halves(rows, overlap=20), state.position_lifecycle, "life")
 
 
@@ -58,6 +65,22 @@ def _(spark, sf):
     return runner.run_to_files([first.unionByName(first), second], lambda s: state.first_deliveries(s, ["accession"], delay="60 days"), "unique")
 
 
+#: The second delivery fetches the last 90 days again at changed prices; 60 days before the first one's end, days are final.
+FIRST_END = f"(SELECT max(date) FROM bars WHERE date <= DATE '{CUT}')"
+
+
+@query("str_04_latest_deliveries", f"""
+SELECT ticker, date, CASE WHEN date > {FIRST_END} - 60 THEN close * CAST(1.5 AS DOUBLE) ELSE close END AS close, CASE WHEN date > {FIRST_END} - 60 THEN 2 ELSE 1 END AS fetched FROM bars""",
+       d="close", i="fetched")
+def _(spark, sf):
+    bars = star.bars(spark, sf).select("ticker", "date", "close", F.trunc("date", "month").alias("month"))
+    first, second = _halves(bars, overlap=90)
+    first, second = first.withColumn("fetched", F.lit(1).cast("long")), second.withColumn("fetched", F.lit(2).cast("long")).withColumn("close", F.col("close") * 1.5)
+    path = scratch_path(spark, "latest")
+    runner.run_to_table([first, second, second, first], lambda s: state.latest_deliveries(s, "60 days"), path, "latest", ["ticker", "date"], "month")
+    return spark.read.schema(first.schema).parquet(path).select("ticker", "date", "close", "fetched")
+
+
 @query("str_05_daily_sink", "SELECT CAST(date_trunc('month', date) AS DATE) AS as_of, count(*) AS n, sum(composite_score) AS total FROM scored WHERE composite_score IS NOT NULL GROUP BY 1", d="total", i="n")
 def _(spark, sf):
     rows = _scored(spark, sf).where(F.col("composite_score").isNotNull()).select("ticker", "date", "composite_score", F.trunc("date", "month").alias("as_of"))

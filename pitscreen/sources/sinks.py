@@ -1,8 +1,12 @@
 """Daily outputs: partitioned by day and safe to rewrite."""
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
+
 IMMUTABLE_AFTER_DAYS = 120
 
 
@@ -12,6 +16,30 @@ def write_daily(df: DataFrame, path: str, by: str = "as_of") -> None:
     (df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def merge_by_key(rows: DataFrame, path: str, keys: Sequence[str], by: str) -> None:
+    """Replace or add rows of a table partitioned by `by`, which the keys determine. `rows` holds one row per key.
+
+    Stored rows of the touched partitions without a new version are kept by an anti-join; those partitions are put
+    together beside the table first and then replaced, so a merge that fails can simply be run again.
+    """
+    spark = rows.sparkSession
+    if rows.isEmpty():
+        return
+    if _exists(spark, path):
+        stored = spark.read.schema(rows.schema).parquet(path)
+        touched = rows.select(by).distinct()
+        kept = stored.join(touched, by, "left_semi").join(rows.select(*keys), list(keys), "left_anti")
+        beside = scratch_path(spark, "merge")
+        rows.unionByName(kept.select(*rows.columns)).write.parquet(beside)
+        rows = spark.read.schema(rows.schema).parquet(beside)
+    write_daily(rows, path, by)
+
+
 def append_missing_caps(requests: DataFrame, existing: DataFrame, today: Column, compute) -> DataFrame:
     """Grid rows still to compute: old dates are final once stored, recent ones are recomputed.
     `compute` maps requests(ticker, as_of) to the same rows with their cap."""

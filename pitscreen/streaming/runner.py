@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..session import scratch_path
-from ..sources.sinks import write_daily
+from ..sources.sinks import merge_by_key, write_daily
+from .state import ROCKSDB
 
 Transform = Callable[[DataFrame], DataFrame]
 
 
 def _resume(deliveries: Sequence[DataFrame], name: str, start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Runs the stream once per delivery. Keyed state lives in RocksDB, the store that timers and state variables need."""
     spark = deliveries[0].sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     inbox, state = scratch_path(spark, f"{name}-in"), scratch_path(spark, f"{name}-state")
     for delivery in deliveries:
         delivery.write.mode("append").parquet(inbox)
@@ -38,3 +41,9 @@ def run_to_files(deliveries: Sequence[DataFrame], transform: Transform, name: st
 def run_daily_sink(deliveries: Sequence[DataFrame], path: str, name: str, by: str = "as_of") -> None:
     """Write every micro-batch by replacing its days: running a delivery twice changes nothing."""
     _resume(deliveries, name, lambda s: s.writeStream.foreachBatch(lambda batch, _id: write_daily(batch, path, by)))
+
+
+def run_to_table(deliveries: Sequence[DataFrame], transform: Transform, path: str, name: str, keys: Sequence[str], by: str) -> None:
+    """Merge every micro-batch of the transformed stream into the table at `path` by key; only touched partitions are rewritten."""
+    _resume(deliveries, name, lambda s: transform(s).writeStream.outputMode("update").foreachBatch(
+        lambda batch, _id: merge_by_key(batch, path, keys, by)))

@@ -1,15 +1,16 @@
 """Incremental versions of the daily jobs, keyed by ticker.
 
 State per ticker is a handful of values. A micro-batch normally brings one row
-per ticker; a replay brings at most its calendar-bounded history. Bars of a ticker
-come in order of their dates, so late data is defined per ticker: a row dated at or
-before the last one taken in is late, is ignored, and is corrected by a batch re-run.
-Tickers do not wait for each other, and no watermark is kept for these three jobs.
-First deliveries have no such order and use a watermark.
+per ticker; a replay brings at most its calendar-bounded history. Signal changes
+and thinned crossings act on rows only: bars of a ticker come in order of their
+dates, a row dated at or before the last one taken in is late and ignored, and
+tickers do not wait for each other. The life of positions runs on event time:
+a timer per reminder and exit fires when the watermark passes its day, whether
+or not the ticker still trades. Deliveries use the watermark as well.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,16 +23,24 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 CHANGE_SCHEMA = "ticker string, date date, status string"
 LIFE_SCHEMA = "ticker string, entry_date date, date date, alert string, days_held bigint, ret double"
 ENTRY_SCHEMA = "ticker string, date date, pos bigint"
+DAY_MS = 86_400_000
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values("date", kind="stable")
+def _ordered(rows: Iterator[pd.DataFrame], after=None) -> pd.DataFrame:
+    """Rows by date, the first of a date only, those at or before `after` left out."""
+    df = pd.concat(list(rows)).sort_values("date", kind="stable").drop_duplicates("date")
+    return df if after is None else df[df["date"] > after]
+
+
+def _days(values: Sequence) -> np.ndarray:
+    return np.array(list(values), "datetime64[D]")
 
 
 class _Keyed(StatefulProcessor):
     schema = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("s", self.schema)
 
     def close(self) -> None:
@@ -44,47 +53,71 @@ class SignalChanges(_Keyed):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last_signal, last_date = self.state.get() if self.state.exists() else (None, None)
-        out = []
-        for row in _ordered(rows).itertuples():
-            if last_date is not None and row.date <= last_date:
-                continue
-            now, before = row.signal == "BUY", last_signal == "BUY"
-            if now or before:
-                out.append((key[0], row.date, "CONTINUING" if now and before else "NEW" if now else "DROPPED"))
-            last_signal, last_date = row.signal, row.date
-        if last_date is not None:
-            self.state.update((last_signal, last_date))
-        yield pd.DataFrame(out, columns=["ticker", "date", "status"])
+        df = _ordered(rows, last_date)
+        now = (df["signal"] == "BUY").to_numpy()
+        before = np.concatenate([[last_signal == "BUY"], now[:-1]]) if len(df) else now
+        status = np.select([now & before, now, before], ["CONTINUING", "NEW", "DROPPED"], "")
+        if len(df):
+            self.state.update((df["signal"].iloc[-1], df["date"].iloc[-1]))
+        out = pd.DataFrame({"ticker": key[0], "date": df["date"].to_numpy(), "status": status})
+        yield out[out["status"] != ""]
+
+
+def due_days(entries: np.ndarray, held: int) -> np.ndarray:
+    """The first weekday on which each position has been held for `held` weekdays."""
+    return np.busday_offset(entries, held, roll="forward")
 
 
 class PositionLifecycle(_Keyed):
-    """Input rows (ticker, date, close, opened). One reminder from 222 weekdays on, an exit at 252;
-    the flag survives days without a row."""
-    schema = "entries array<date>, prices array<double>, reminded array<boolean>, date date"
+    """Input rows (ticker, date, close, opened). A reminder on the weekday a position has been held for 222 weekdays, an
+    exit at 252, each from a timer: it fires when the watermark reaches the day, at the last close up to that day. The
+    row that opens a position has a close, so there is always one; a null close is no price.
+
+    State: open positions, and the closes that a timer may still ask for: all after the watermark, and one before the
+    earliest day due. Rows may come in any order within the watermark's delay; of rows for one day the first counts.
+    """
+    schema = "entries array<date>, prices array<double>, days array<date>, closes array<double>"
+
+    def _load(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        entries, prices, days, closes = self.state.get() if self.state.exists() else ([], [], [], [])
+        return _days(entries), np.array(prices, float), _days(days), np.array(closes, float)
+
+    def _store(self, entries, prices, days, closes, watermark: np.datetime64) -> None:
+        due = np.concatenate([due_days(entries, held) for held in (REMIND_FROM, EXIT_DAYS)])
+        ahead = due[due > watermark]
+        start = max(0, int(np.searchsorted(days, min(watermark, ahead.min()) if len(ahead) else watermark, side="right")) - 1)
+        self.state.update((entries.tolist(), prices.tolist(), days[start:].tolist(), closes[start:].tolist()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        book, last = [], None
-        if self.state.exists():
-            entries, prices, reminded, last = self.state.get()
-            book = [list(p) for p in zip(entries, prices, reminded)]
+        entries, prices, days, closes = self._load()
+        df = _ordered(rows)
+        fresh = df[~np.isin(_days(df["date"]), days)]
+        opened = fresh[fresh["opened"].fillna(False).astype(bool) & fresh["close"].notna()]
+        for held in (REMIND_FROM, EXIT_DAYS):
+            for day in due_days(_days(opened["date"]), held).astype("int64").tolist():
+                self.handle.registerTimer(day * DAY_MS)
+        priced = fresh[fresh["close"].notna()]
+        days, closes = np.concatenate([days, _days(priced["date"])]), np.concatenate([closes, priced["close"].to_numpy(float)])
+        order = np.argsort(days, kind="stable")
+        entries, prices = np.concatenate([entries, _days(opened["date"])]), np.concatenate([prices, opened["close"].to_numpy(float)])
+        # expired timers of this batch run after its rows: they still need what lies before the new watermark
+        due = np.concatenate([due_days(entries, held) for held in (REMIND_FROM, EXIT_DAYS)])
+        self._store(entries, prices, days[order], closes[order], due.min() if len(due) else np.datetime64(timerValues.getCurrentWatermarkInMs() // DAY_MS, "D"))
+        yield pd.DataFrame(columns=["ticker", "entry_date", "date", "alert", "days_held", "ret"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        entries, prices, days, closes = self._load()
+        day = np.datetime64(expiredTimerInfo.getExpiryTimeInMs() // DAY_MS, "D")
+        known = closes[: int(np.searchsorted(days, day, side="right"))]
         out = []
-        for row in _ordered(rows).itertuples():
-            if last is not None and row.date <= last:
-                continue
-            held = np.busday_count([p[0] for p in book], row.date) if book else []
-            keep = []
-            for p, days in zip(book, held):
-                alert = "EXIT" if days >= EXIT_DAYS else "REMINDER" if days >= REMIND_FROM and not p[2] else None
-                if alert:
-                    out.append((key[0], p[0], row.date, alert, int(days), row.close / p[1] - 1))
-                if alert != "EXIT":
-                    keep.append([p[0], p[1], bool(p[2] or alert)])
-            book, last = keep, row.date
-            if row.opened:
-                book.append([row.date, row.close, False])
-        if last is not None:
-            self.state.update(([p[0] for p in book], [float(p[1]) for p in book], [p[2] for p in book], last))
-        yield pd.DataFrame(out, columns=["ticker", "entry_date", "date", "alert", "days_held", "ret"])
+        for held, alert in ((REMIND_FROM, "REMINDER"), (EXIT_DAYS, "EXIT")):
+            hit = due_days(entries, held) == day
+            price = np.full(int(hit.sum()), known[-1]) if len(known) else prices[hit]
+            out.append(pd.DataFrame({"ticker": key[0], "entry_date": entries[hit].tolist(), "date": day.item(), "alert": alert,
+                                     "days_held": np.full(len(price), held, np.int64), "ret": price / prices[hit] - 1}))
+        stay = due_days(entries, EXIT_DAYS) != day
+        self._store(entries[stay], prices[stay], days, closes, min(day, np.datetime64(timerValues.getCurrentWatermarkInMs() // DAY_MS, "D")))
+        yield pd.concat(out)
 
 
 class ThinnedCrossings(_Keyed):
@@ -96,24 +129,50 @@ class ThinnedCrossings(_Keyed):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         was, pos, kept, last = self.state.get() if self.state.exists() else (False, 0, None, None)
-        out = []
-        for row in _ordered(rows).itertuples():
-            if last is not None and row.date <= last:
-                continue
-            pos, last, now = pos + 1, row.date, bool(row.in_buy)
-            if now and not was and (kept is None or pos - kept >= self.gap):
-                kept = pos
-                out.append((key[0], row.date, pos))
-            was = now
-        if last is not None:
-            self.state.update((was, pos, kept, last))
-        yield pd.DataFrame(out, columns=["ticker", "date", "pos"])
-
-
-def _stateful(df: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        df = _ordered(rows, last)
+        now = df["in_buy"].fillna(False).to_numpy(bool)
+        crossed = np.flatnonzero(now & ~np.concatenate([[was], now[:-1]])) if len(df) else np.zeros(0, int)
+        places, taken, at = crossed + pos + 1, [], 0
+        while at < len(places):                      # one step per kept crossing
+            at = at if kept is None else int(np.searchsorted(places, kept + self.gap))
+            if at < len(places):
+                kept = int(places[at])
+                taken.append(at)
+                at += 1
+        if len(df):
+            self.state.update((bool(now[-1]), pos + len(df), kept, df["date"].iloc[-1]))
+        yield pd.DataFrame({"ticker": key[0], "date": df["date"].to_numpy()[crossed[taken]], "pos": places[taken]})
+
+
+class LatestDeliveries(_Keyed):
+    """Rows that are newer than what was delivered for their day before. Input rows (ticker, date, fetched, ...).
+
+    State: the last `fetched` of each day after the watermark; earlier days are final, the engine drops their rows.
+    """
+    schema = "days array<date>, fetched array<bigint>"
+
+    def __init__(self, columns: list[str]) -> None:
+        self.columns = columns
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        days, seen = self.state.get() if self.state.exists() else ([], [])
+        known = pd.Series(seen, index=list(days), dtype="int64")
+        df = pd.concat(list(rows)).sort_values(["date", "fetched"], kind="stable").drop_duplicates("date", keep="last")
+        newer = df[df["fetched"].to_numpy() > known.reindex(df["date"]).fillna(np.iinfo(np.int64).min).to_numpy()]
+        known = pd.concat([known.drop(newer["date"], errors="ignore"), newer.set_index("date")["fetched"]])
+        open_days = _days(known.index) > np.datetime64(timerValues.getCurrentWatermarkInMs() // DAY_MS, "D")
+        known = known[open_days]
+        self.state.update((list(known.index), [int(v) for v in known]))
+        yield newer[self.columns]
+
+
+def _stateful(df: DataFrame, processor: StatefulProcessor, schema, time_mode: str = "None", output_mode: str = "Append") -> DataFrame:
     return df.groupBy("ticker").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+        statefulProcessor=processor, outputStructType=schema, outputMode=output_mode, timeMode=time_mode)
+
+
+def _timed(stream: DataFrame, day: str, delay: str) -> DataFrame:
+    return stream.withColumn("_ts", F.col(day).cast("timestamp")).withWatermark("_ts", delay)
 
 
 def signal_changes(stream: DataFrame) -> DataFrame:
@@ -121,9 +180,9 @@ def signal_changes(stream: DataFrame) -> DataFrame:
     return _stateful(stream.select("ticker", "date", "signal"), SignalChanges(), CHANGE_SCHEMA)
 
 
-def position_lifecycle(stream: DataFrame) -> DataFrame:
-    """stream(ticker, date, close, opened) -> reminders and exits."""
-    return _stateful(stream.select("ticker", "date", "close", "opened"), PositionLifecycle(), LIFE_SCHEMA)
+def position_lifecycle(stream: DataFrame, delay: str = "5 days") -> DataFrame:
+    """stream(ticker, date, close, opened) -> reminders and exits that fell due `delay` before the latest row of any ticker."""
+    return _stateful(_timed(stream.select("ticker", "date", "close", "opened"), "date", delay), PositionLifecycle(), LIFE_SCHEMA, "EventTime")
 
 
 def thinned_crossings(stream: DataFrame, gap: int = 252) -> DataFrame:
@@ -133,5 +192,14 @@ def thinned_crossings(stream: DataFrame, gap: int = 252) -> DataFrame:
 
 def first_deliveries(stream: DataFrame, keys: list[str], day: str = "date", delay: str = "10 days") -> DataFrame:
     """One row per key: later deliveries inside the watermark are dropped (the first one wins)."""
-    timed = stream.withColumn("_ts", F.col(day).cast("timestamp")).withWatermark("_ts", delay)
-    return timed.dropDuplicatesWithinWatermark(keys).drop("_ts")
+    return _timed(stream, day, delay).dropDuplicatesWithinWatermark(keys).drop("_ts")
+
+
+def latest_deliveries(stream: DataFrame, delay: str = "60 days") -> DataFrame:
+    """stream(ticker, date, fetched, ...) -> each row that replaces what was delivered before for its (ticker, date).
+
+    Of several rows the one with the greatest `fetched` wins, an equal one is a replay and gives nothing. Rows dated
+    `delay` or more before the latest row of earlier batches are late and dropped: their days are final. To be merged
+    by key, see `sinks.merge_by_key`.
+    """
+    return _stateful(_timed(stream, "date", delay), LatestDeliveries(stream.columns), stream.schema, "EventTime", "Update")

@@ -269,11 +269,11 @@ def _(spark, sf):
 
 RANK_SQL = f"""WITH m AS ({METRIC_SQL.replace('CAST(0.223 AS DOUBLE)', 'CAST(-0.15 AS DOUBLE)')})
 SELECT role, rank, family, variant, mean, ux, spread, pct_hit20 FROM (
- SELECT 'top_ux' AS role, row_number() OVER (ORDER BY ux DESC, variant) AS rank, * FROM m WHERE eligible
- UNION ALL SELECT 'best_of_family', row_number() OVER (PARTITION BY family ORDER BY ux DESC, variant), * FROM m WHERE eligible
- UNION ALL SELECT 'max_return', row_number() OVER (ORDER BY mean DESC, variant), * FROM m
- UNION ALL SELECT 'safest', row_number() OVER (ORDER BY pct_hit20, variant), * FROM m WHERE eligible
- UNION ALL SELECT 'ineligible', row_number() OVER (ORDER BY spread DESC, variant), * FROM m WHERE NOT eligible)
+ SELECT 'top_ux' AS role, row_number() OVER (ORDER BY round(ux, 9) DESC, variant) AS rank, * FROM m WHERE eligible
+ UNION ALL SELECT 'best_of_family', row_number() OVER (PARTITION BY family ORDER BY round(ux, 9) DESC, variant), * FROM m WHERE eligible
+ UNION ALL SELECT 'max_return', row_number() OVER (ORDER BY round(mean, 9) DESC, variant), * FROM m
+ UNION ALL SELECT 'safest', row_number() OVER (ORDER BY round(pct_hit20, 9), variant), * FROM m WHERE eligible
+ UNION ALL SELECT 'ineligible', row_number() OVER (ORDER BY round(spread, 9) DESC, variant), * FROM m WHERE NOT eligible)
 WHERE (role = 'top_ux' AND rank <= 5) OR (role IN ('best_of_family', 'max_return', 'safest') AND rank = 1) OR role = 'ineligible'"""
 
 
@@ -283,14 +283,25 @@ def _(spark, sf):
     return exits.rank_variants(metrics)
 
 
-TRIG_SQL = f"""SELECT ticker, entry_date, coalesce(arg_min(reason, day) FILTER (WHERE reason IS NOT NULL), 'open') AS reason,
+#: Paths of up to 756 bars, not necessarily full: they reach beyond 504 weekdays also where bars fall on every calendar day.
+FAR = """(SELECT e.ticker, e.date AS entry_date, b.pos - e.pos AS day, b.date, b.close / e.close AS ratio, b.composite_score,
+  greatest(1, max(b.close / e.close) OVER (PARTITION BY e.ticker, e.date ORDER BY b.pos)) AS top
+  FROM crossed e JOIN scored b ON b.ticker = e.ticker AND b.pos BETWEEN e.pos + 1 AND e.pos + 756)"""
+HELD = busday("entry_date", "date")
+MODES = {"price": f"""CASE WHEN ratio - 1 >= CAST(0.3 AS DOUBLE) THEN 'take_profit' WHEN ratio - 1 <= CAST(-0.4 AS DOUBLE) THEN 'stop_loss'
+  WHEN ratio / top - 1 <= CAST(-0.5 AS DOUBLE) THEN 'trailing_stop' WHEN {HELD} >= 252 THEN '252d' END""",
+         "threshold_or_252d": f"CASE WHEN {HELD} >= 252 THEN '252d' WHEN composite_score < CAST(0.35 AS DOUBLE) THEN 'threshold' END",
+         "threshold_only": f"CASE WHEN {HELD} >= 504 THEN '504d_cap' WHEN composite_score < CAST(0.05 AS DOUBLE) THEN 'threshold' END"}
+TRIG_SQL = " UNION ALL ".join(f"""SELECT ticker, entry_date, '{mode}' AS mode, coalesce(arg_min(reason, day) FILTER (WHERE reason IS NOT NULL), 'open') AS reason,
  coalesce(min(day) FILTER (WHERE reason IS NOT NULL), max(day)) AS day, coalesce(arg_min(ratio, day) FILTER (WHERE reason IS NOT NULL), arg_max(ratio, day)) - 1 AS ret
-FROM (SELECT *, CASE WHEN ratio - 1 >= CAST(0.3 AS DOUBLE) THEN 'take_profit' WHEN ratio - 1 <= CAST(-0.4 AS DOUBLE) THEN 'stop_loss'
-  WHEN ratio / greatest(1, run_max) - 1 <= CAST(-0.5 AS DOUBLE) THEN 'trailing_stop' WHEN {busday('entry_date', 'date')} >= 252 THEN '252d' END AS reason FROM paths) GROUP BY 1, 2"""
+FROM (SELECT *, {rules} AS reason FROM {FAR}) GROUP BY 1, 2""" for mode, rules in MODES.items())
 
 
 def _triggered(spark, sf):
-    return exits.triggered_exits(_paths(spark, sf), take_profit=0.30, stop_loss=0.40, trailing=0.50)
+    arrays = es.crossing_paths(star.bars(spark, sf), horizon=3 * ev.HOLD_BARS, full_only=False)
+    # a low threshold, so that some trades reach the cap of the mode without a hold
+    modes = exits.exit_modes() | {"threshold_only": exits.exit_modes(score_below=0.05)["threshold_only"]}
+    return exits.folded_exits(arrays, modes)
 
 
 @query("ext_09_triggers", TRIG_SQL, d="ret", i="day")
@@ -298,6 +309,6 @@ def _(spark, sf):
     return _triggered(spark, sf)
 
 
-@query("ext_10_reason_shares", f"SELECT reason, count(*) AS n, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM ({TRIG_SQL}) GROUP BY 1", d="share", i="n")
+@query("ext_10_reason_shares", f"SELECT mode, reason, count(*) AS n, count(*) / CAST(sum(count(*)) OVER (PARTITION BY mode) AS DOUBLE) AS share FROM ({TRIG_SQL}) GROUP BY 1, 2", d="share", i="n")
 def _(spark, sf):
-    return exits.reason_shares(_triggered(spark, sf))
+    return exits.reason_shares(_triggered(spark, sf), ["mode"])

@@ -7,7 +7,7 @@ with partial aggregation, so a hot key is bounded by its distinct dates.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -43,6 +43,30 @@ def _asof(left, right, on, left_time, right_time, values, strict, per_column, fo
     return out.select("_row.*", *[F.col("_hit")[v].alias(v) for v in values])
 
 
+def asof_probes(left: DataFrame, right: DataFrame, on: Sequence[str], right_time: str, values: Sequence[str],
+                probes: Mapping[str, tuple[Column, str]]) -> DataFrame:
+    """Several as-of lookups of each left row in one pass over the right side.
+
+    `probes` maps a name to (time, side); side is "before" (last right row before the time), "upto" (last one at or
+    before it) or "from" (first one at or after it). Each name becomes a struct of `values`, null without a match. All
+    probes of all rows are united with the right rows once: one exchange, one sort each way, however many probes.
+    Left rows are told apart by their content, so equal rows come back as one.
+    """
+    sides = {"before": 0, "upto": 2, "from": 3}
+    row = F.struct(*left.columns)
+    wanted = F.array(*[F.struct(F.lit(name).alias("_name"), time.alias("_t"), F.lit(sides[side]).alias("_tag")) for name, (time, side) in probes.items()])
+    probe = left.select(*on, row.alias("_row"), F.explode(wanted).alias("_p")).select(*on, "_row", "_p.*")
+    build = right.select(*on, F.col(right_time).alias("_t"), F.lit(1).alias("_tag"), F.struct(*values).alias("_val"))
+    both = probe.unionByName(build, allowMissingColumns=True)
+    upto_now = lambda *order: Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last("_val", ignorenulls=True)
+    found = both.withColumns({"_past": last.over(upto_now("_t", "_tag")), "_next": last.over(upto_now(F.desc("_t"), "_tag"))})
+    hit = F.when(F.col("_tag") == sides["from"], F.col("_next")).otherwise(F.col("_past"))
+    met = found.where(F.col("_name").isNotNull()).groupBy(*on, "_row").agg(
+        *[F.first(F.when(F.col("_name") == name, hit), ignorenulls=True).alias(name) for name in probes])
+    return met.select("_row.*", *probes)
+
+
 def within_days(value: Column, seen: Column, at: Column, days: int) -> Column:
     """A value as of `seen` that is void once older than `days` calendar days."""
     return F.when(F.datediff(at, seen) <= days, value)

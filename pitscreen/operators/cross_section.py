@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .events import window_return
+from .events import window_returns
 from .fundamentals import SNAPSHOT_COLUMNS, snapshots_asof
-from .ranking import average_ranks, running_totals
+from .ranking import average_ranks, bin_of
 
 # Factor directions and composite weights.
 FACTORS = {"revenue_growth_yoy": 1, "debt_to_equity": -1, "roe": 1, "net_margin": 1, "momentum_12m": 1,
@@ -28,21 +28,23 @@ def snapshot_panel(requests: DataFrame, facts: DataFrame, bars: DataFrame, as_of
     without fundamentals or without a forward return are left out."""
     snaps = snapshots_asof(requests, facts, as_of=as_of).where(F.col("statement_date").isNotNull())
     day = F.col(as_of)
-    for name, start, end in (("forward_return_12m", F.date_add(day, 2), F.date_add(day, 365)),
-                             ("momentum_12m", F.date_sub(day, 365), F.date_sub(day, 2)),
-                             ("momentum_6m", F.date_sub(day, 182), F.date_sub(day, 2))):
-        snaps = window_return(snaps, bars, start, end, name)
+    snaps = window_returns(snaps, bars, {
+        "forward_return_12m": (F.date_add(day, 2), F.date_add(day, 365)), "momentum_12m": (F.date_sub(day, 365), F.date_sub(day, 2)),
+        "momentum_6m": (F.date_sub(day, 182), F.date_sub(day, 2))})
     cols = ["ticker", as_of, *SNAPSHOT_COLUMNS, "momentum_12m", "momentum_6m", "forward_return_12m"]
     return snaps.where(F.col("forward_return_12m").isNotNull()).select(*cols)
 
 
 def add_factor_momentum(panel: DataFrame, as_of: str = "snapshot_date") -> DataFrame:
     """Factor value minus the same ticker's value at the snapshot one year earlier."""
-    prior = panel.select("ticker", F.add_months(as_of, 12).alias(as_of),
-                         F.col("revenue_growth_yoy").alias("_g"), F.col("net_margin").alias("_m"))
-    return panel.join(prior, ["ticker", as_of], "left").withColumns({
-        "revenue_growth_acceleration": F.col("revenue_growth_yoy") - F.col("_g"),
-        "margin_improvement": F.col("net_margin") - F.col("_m")}).drop("_g", "_m")
+    ago = F.datediff(as_of, F.lit("1970-01-01").cast("date"))
+    # a year is 365 or 366 days, so the frame holds two rows of the ticker at most
+    year = Window.partitionBy("ticker").orderBy(ago).rangeBetween(-366, -365)
+    held = F.collect_list(F.struct(F.col(as_of).alias("_d"), F.col("revenue_growth_yoy").alias("_g"), F.col("net_margin").alias("_m"))).over(year)
+    prior = F.try_element_at(F.filter("_held", lambda x: F.add_months(x["_d"], 12) == F.col(as_of)), F.lit(-1))
+    return panel.withColumn("_held", held).withColumn("_prior", prior).withColumns({
+        "revenue_growth_acceleration": F.col("revenue_growth_yoy") - F.col("_prior._g"),
+        "margin_improvement": F.col("net_margin") - F.col("_prior._m")}).drop("_held", "_prior")
 
 
 def decile_spreads(long: DataFrame, keys: Sequence[str], value: str, outcome: str, min_rows: int = MIN_ROWS,
@@ -50,18 +52,31 @@ def decile_spreads(long: DataFrame, keys: Sequence[str], value: str, outcome: st
     """Mean outcome of the highest and lowest share of `value` within each group, and their difference.
 
     Rows collapse to one per distinct value first, so a group or a tie of any
-    size is split over tasks. Tied rows across a cut share its places evenly,
+    size is split over tasks. A histogram then tells which bins lie wholly
+    within a cut; only the bins that a cut goes through are sorted. Tied rows across a cut share its places evenly,
     where a sort-based ranking would pick among them arbitrarily.
     """
     rows = long.where(F.col(value).isNotNull() & F.col(outcome).isNotNull())
     values = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.sum(outcome).alias("_s"))
-    ranked = running_totals(values, keys, "_v", ["_c"]).withColumnRenamed("_c_total", "n")
-    k = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
-    below = F.col("_c_upto") - F.col("_c")
-    low = F.least(F.col("_c"), F.greatest(F.lit(0), k - below))
-    high = F.least(F.col("_c"), F.greatest(F.lit(0), k - (F.col("n") - F.col("_c_upto"))))
-    mean = lambda taken: F.sum(F.col("_s") * taken / F.col("_c")) / F.max(k)
-    out = ranked.groupBy(*keys).agg(F.max("n").alias("n"), mean(high).alias("top_mean"), mean(low).alias("bottom_mean"))
+    binned = values.withColumn("_bin", bin_of(F.col("_v")))
+    of_key, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"), F.sum("_s").alias("_bs"))
+    bins = bins.withColumns({"n": F.sum("_bc").over(of_key), "_upto": F.sum("_bc").over(upto), "_turn": F.row_number().over(of_key.orderBy("_bin"))})
+    bins = bins.withColumns({"_k": F.greatest(F.lit(1), F.ceil(F.col("n") * share)), "_below": F.col("_upto") - F.col("_bc"), "_above": F.col("n") - F.col("_upto")})
+    whole = {"_low": F.col("_upto") <= F.col("_k"), "_high": F.col("_above") + F.col("_bc") <= F.col("_k")}
+    bins = bins.withColumns({name: F.sum(F.when(cond, F.col("_bs"))).over(of_key) for name, cond in whole.items()})
+    cut = lambda before: (before < F.col("_k")) & (before + F.col("_bc") > F.col("_k"))
+    bins = bins.withColumns({"_cut_low": cut(F.col("_below")), "_cut_high": cut(F.col("_above"))})
+    # only the bins that a cut goes through are opened; the first bin of a group carries what lies beyond
+    opened = bins.where(F.col("_cut_low") | F.col("_cut_high") | (F.col("_turn") == 1)).drop("_bs", "_upto")
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = opened.join(binned, [*keys, "_bin"]).withColumn("_in", F.sum("_c").over(inside))
+    taken = lambda before: F.least(F.col("_c"), F.greatest(F.lit(0), F.col("_k") - before))
+    part = lambda cut, before: F.coalesce(F.sum(F.when(F.col(cut), F.col("_s") * taken(before) / F.col("_c"))), F.lit(0.0))
+    low = part("_cut_low", F.col("_below") + F.col("_in") - F.col("_c"))
+    high = part("_cut_high", F.col("_above") + F.col("_bc") - F.col("_in"))
+    out = ranked.groupBy(*keys).agg(F.max("n").alias("n"), ((F.coalesce(F.max("_high"), F.lit(0.0)) + high) / F.max("_k")).alias("top_mean"),
+                                    ((F.coalesce(F.max("_low"), F.lit(0.0)) + low) / F.max("_k")).alias("bottom_mean"))
     enough = F.col("n") >= min_rows
     out = out.withColumns({c: F.when(enough, F.col(c)) for c in ("top_mean", "bottom_mean")})
     return out.withColumn("spread", F.col("top_mean") - F.col("bottom_mean"))

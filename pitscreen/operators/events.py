@@ -1,13 +1,13 @@
 """Event-study outcomes per bar or per signal."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.guards import holds
 from ..functions.tiers import recovery_signal
-from .asof import interval_join
+from .asof import asof_probes, interval_join
 from .windows import KEY, TS, ahead, bar_index, by_bar
 
 HOLD_BARS = 252
@@ -217,17 +217,25 @@ def cohort_index(bars: DataFrame, trades: DataFrame) -> DataFrame:
         "index", F.exp(F.sum(F.log1p("mean_return")).over(run))).drop("_all")
 
 
+def window_returns(requests: DataFrame, bars: DataFrame, windows: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """First-to-last close return of the bars in [start, end) for each named window of a request; NULL with fewer than
+    two bars. The edge bars of all windows come from one pass over the bars, which are never paired with requests.
+    Equal requests come back as one."""
+    edges = bars.select("ticker", "date", "close")
+    probes = {}
+    for name, (start, end) in windows.items():
+        probes |= {f"_first_{name}": (start, "from"), f"_last_{name}": (end, "before")}
+    met = asof_probes(requests, edges.withColumn("_day", F.col("date")), ["ticker"], "date", ["_day", "close"], probes)
+    returns = {}
+    for name in windows:
+        first, last = F.col(f"_first_{name}"), F.col(f"_last_{name}")
+        returns[name] = F.when(last["_day"] > first["_day"], F.try_divide(last["close"] - first["close"], first["close"]))
+    return met.withColumns(returns).drop(*probes)
+
+
 def window_return(requests: DataFrame, bars: DataFrame, start: Column, end: Column, name: str) -> DataFrame:
-    """First-to-last close return of the bars in [start, end) per request; NULL with fewer than two bars.
-    Two as-of joins find the edge bars, the window's bars are never paired with the request."""
-    from .asof import asof_backward, asof_forward
-    edges = bars.select("ticker", "date", F.struct(bar_index().alias("pos"), "close").alias("edge"))
-    keyed = requests.withColumns({"_start": start, "_end": end})
-    first = asof_forward(keyed, edges.withColumnRenamed("edge", "_first"), ["ticker"], "_start", "date", ["_first"])
-    both = asof_backward(first, edges.withColumnRenamed("edge", "_last"), ["ticker"], "_end", "date", ["_last"], strict=True)
-    enough = F.col("_last.pos") > F.col("_first.pos")
-    return both.withColumn(name, F.when(enough, F.try_divide(
-        F.col("_last.close") - F.col("_first.close"), F.col("_first.close")))).drop("_start", "_end", "_first", "_last")
+    """`window_returns` of one window."""
+    return window_returns(requests, bars, {name: (start, end)})
 
 
 def case_windows(cases: DataFrame, scored: DataFrame, days: int = 20, buy: float = 0.60) -> DataFrame:

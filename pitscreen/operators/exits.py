@@ -1,18 +1,19 @@
 """Exit rules over the price path that follows each entry.
 
-A path is an array of at most `horizon` bars, cut from the ticker's own
-calendar-bounded price series, so no raw bar is shuffled per entry. Rule grids
+A path is an array of at most `horizon` bars, put together from the blocks of
+the ticker's series that it runs through. Rule grids
 run on the arrays where they are; the long form (one row per day) serves
 path-level statistics and stays in the partitioning by ticker.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.guards import holds
 from .events import HOLD_BARS
-from .ranking import exact_quantiles
+from .ranking import quantile_summary
 from .windows import KEY, TS, bar_index
 
 # The exit-rule grid (name, family and parameters of each variant).
@@ -26,16 +27,23 @@ RANDOM_MEAN = 0.223
 HOLD_MEAN = 0.344
 
 
-def path_arrays(entries: DataFrame, bars: DataFrame, horizon: int = HOLD_BARS, full_only: bool = True) -> DataFrame:
-    """entries(ticker, date, pos) to (ticker, entry_date, entry_price, entry_atr, ahead[d, c, a]); `bars` may carry atr_14."""
-    atr = F.col("atr_14") if "atr_14" in bars.columns else F.lit(None).cast("double")
-    series = bars.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(TS).alias("d"), F.col("close").alias("c"), atr.alias("a")))).alias("_bars"))
+def path_arrays(entries: DataFrame, bars: DataFrame, horizon: int = HOLD_BARS, full_only: bool = True, block: int = HOLD_BARS) -> DataFrame:
+    """entries(ticker, date, pos) to (ticker, entry_date, entry_price, entry_atr, ahead[d, c, a, s]).
+
+    `bars` may carry pos, atr_14 and composite_score. A ticker's history is cut into blocks of `block` bars; an entry
+    meets the blocks its path runs through, so no row holds more than horizon + 2 * block bars, however long the history.
+    """
+    extra = lambda name: F.col(name) if name in bars.columns else F.lit(None).cast("double")
+    placed = bars if "pos" in bars.columns else bars.withColumn("pos", bar_index())
+    bar = F.struct(F.col("pos").cast("int").alias("p"), F.col(TS).alias("d"), F.col("close").alias("c"), extra("atr_14").alias("a"), extra("composite_score").alias("s"))
+    blocks = placed.groupBy(KEY, F.floor(F.col("pos") / block).alias("_block")).agg(F.array_sort(F.collect_list(bar)).alias("_bars"))
     entered = entries.select(KEY, F.col(TS).alias("entry_date"), F.col("pos").cast("int").alias("_pos"))
-    cut = entered.join(series, KEY).select(
-        KEY, "entry_date", F.element_at("_bars", F.col("_pos"))["c"].alias("entry_price"),
-        F.element_at("_bars", F.col("_pos"))["a"].alias("entry_atr"),
-        F.slice("_bars", F.col("_pos") + 1, horizon).alias("ahead"))
+    entered = entered.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_pos") / block), F.floor((F.col("_pos") + horizon) / block))))
+    met = entered.join(blocks, [KEY, "_block"]).withColumn("_bars", F.filter("_bars", lambda b: (b["p"] >= F.col("_pos")) & (b["p"] <= F.col("_pos") + horizon)))
+    path = met.groupBy(KEY, "entry_date").agg(F.array_sort(F.flatten(F.collect_list("_bars"))).alias("_path"))
+    first = F.col("_path")[0]
+    ahead = F.transform(F.slice("_path", 2, horizon), lambda b: F.struct(b["d"].alias("d"), b["c"].alias("c"), b["a"].alias("a"), b["s"].alias("s")))
+    cut = path.select(KEY, "entry_date", first["c"].alias("entry_price"), first["a"].alias("entry_atr"), ahead.alias("ahead"))
     return cut.where((F.col("entry_price") > 0) & (F.size("ahead") >= (horizon if full_only else 1)))
 
 
@@ -122,16 +130,14 @@ def exit_outcomes(arrays: DataFrame, horizon: int = HOLD_BARS) -> DataFrame:
 
 def variant_metrics(outcomes: DataFrame, random_mean: float = RANDOM_MEAN, hold_mean: float = HOLD_MEAN) -> DataFrame:
     """Summary of every variant against a random baseline and buy-and-hold."""
-    outcomes = outcomes.select("family", "variant", "ret", "worst", "hold")
-    r = F.col("ret")
-    share = lambda cond: F.avg(cond.cast("double"))
-    base = outcomes.groupBy("family", "variant").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"),
-        share(r > 0).alias("pct_pos"), share(F.col("worst") <= 0.80).alias("pct_hit20"),
-        share(r < 0).alias("pct_exit_loss"), F.avg("hold").alias("avg_hold"))
-    cuts = exact_quantiles(outcomes, ["variant"], "ret", {"p10": 0.10, "median": 0.50, "p90": 0.90})
-    out = base.join(cuts, "variant").withColumns({
-        "spread": F.col("mean") - random_mean, "capture": F.col("mean") / hold_mean})
+    r, one = F.col("ret"), lambda cond: cond.cast("double")
+    sums = {"n": F.lit(1).cast("long"), "_r": r, "_r2": r * r, "_pos": one(r > 0), "_hit": one(F.col("worst") <= 0.80), "_loss": one(r < 0), "_hold": F.col("hold").cast("double")}
+    probs = {"p10": 0.10, "median": 0.50, "p90": 0.90}
+    found = quantile_summary(outcomes, ["family", "variant"], "ret", probs, sums)
+    mean = lambda name: F.col(name) / F.col("n")
+    out = found.select("family", "variant", "n", mean("_r").alias("mean"), F.sqrt(F.greatest(F.lit(0.0), mean("_r2") - mean("_r") * mean("_r"))).alias("std"), mean("_pos").alias("pct_pos"),
+                       mean("_hit").alias("pct_hit20"), mean("_loss").alias("pct_exit_loss"), mean("_hold").alias("avg_hold"), *probs)
+    out = out.withColumns({"spread": F.col("mean") - random_mean, "capture": F.col("mean") / hold_mean})
     return out.withColumns({
         "ux": F.col("capture") * (1 - F.col("pct_hit20")) * (1 - F.col("pct_exit_loss")),
         "eligible": F.col("spread") >= SPREAD_FLOOR})
@@ -154,17 +160,19 @@ def route_means(outcomes: DataFrame) -> DataFrame:
 
 def rank_variants(metrics: DataFrame, top: int = 5) -> DataFrame:
     """Ranked picks: top eligible by ux, best per family, highest mean, safest, and the ineligible by spread.
-    `metrics` has one row per variant of the rule grid, so these windows are tiny by construction."""
+    `metrics` has one row per variant of the rule grid, so these windows are tiny by construction. Figures that agree in
+    nine digits tie and go by name: variants that leave on the same days differ by rounding alone."""
+    tied = lambda c: F.round(c, 9)
     ok = metrics.where("eligible")
     pick = lambda df, role, order, part=(): (
         df.withColumn("_g", F.lit(1)).withColumn("rank", F.row_number().over(
             Window.partitionBy("_g", *part).orderBy(*order, "variant")).cast("bigint"))
         .select(F.lit(role).alias("role"), "rank", "family", "variant", "mean", "ux", "spread", "pct_hit20"))
-    parts = [pick(ok, "top_ux", [F.desc("ux")]).where(F.col("rank") <= top),
-             pick(ok, "best_of_family", [F.desc("ux")], ("family",)).where(F.col("rank") == 1),
-             pick(metrics, "max_return", [F.desc("mean")]).where(F.col("rank") == 1),
-             pick(ok, "safest", [F.asc("pct_hit20")]).where(F.col("rank") == 1),
-             pick(metrics.where(~F.col("eligible")), "ineligible", [F.desc("spread")])]
+    parts = [pick(ok, "top_ux", [tied("ux").desc()]).where(F.col("rank") <= top),
+             pick(ok, "best_of_family", [tied("ux").desc()], ("family",)).where(F.col("rank") == 1),
+             pick(metrics, "max_return", [tied("mean").desc()]).where(F.col("rank") == 1),
+             pick(ok, "safest", [tied("pct_hit20").asc()]).where(F.col("rank") == 1),
+             pick(metrics.where(~F.col("eligible")), "ineligible", [tied("spread").desc()])]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -228,7 +236,64 @@ def triggered_exits(paths: DataFrame, take_profit: float = 0.0, stop_loss: float
                       (place["ratio"] - 1).alias("ret"))
 
 
-def reason_shares(exits: DataFrame) -> DataFrame:
-    counts = exits.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(1))
-    total = F.sum("n").over(Window.partitionBy("_all"))  # one row per reason
-    return counts.select("reason", "n", (F.col("n") / total).alias("share"))
+def _prices(take_profit: float, stop_loss: float, trailing: float) -> list[tuple]:
+    rules = [("take_profit", lambda x, top, held, score: x - 1 >= take_profit)] if take_profit else []
+    rules += [("stop_loss", lambda x, top, held, score: x - 1 <= -stop_loss)] if stop_loss else []
+    return rules + ([("trailing_stop", lambda x, top, held, score: x / top - 1 <= -trailing)] if trailing else [])
+
+
+def _held(days: int, label: str) -> list[tuple]:
+    return [(label, lambda x, top, held, score: held >= days)]
+
+
+def _decayed(below: float) -> list[tuple]:
+    return [("threshold", lambda x, top, held, score: holds(score < below))]
+
+
+def exit_modes(take_profit: float = 0.30, stop_loss: float = 0.40, trailing: float = 0.50, score_below: float = 0.35) -> dict[str, list[tuple]]:
+    """The rules of each mode, the first that fires on a day first: price triggers with a 252-weekday hold, the score
+    falling below `score_below` or 252 weekdays, the score alone with a cap of 504 weekdays."""
+    return {"price": _prices(take_profit, stop_loss, trailing) + _held(252, "252d"),
+            "threshold_or_252d": _held(252, "252d") + _decayed(score_below),
+            "threshold_only": _held(504, "504d_cap") + _decayed(score_below)}
+
+
+def folded_exits(arrays: DataFrame, modes: Mapping[str, list[tuple]] | None = None) -> DataFrame:
+    """(ticker, entry_date, mode, reason, day, ret): the first trigger of each path under each mode, `open` without one.
+
+    One fold over the path carries the running peak and the score of the day; nothing is exploded or shuffled.
+    """
+    from ..functions.scalars import business_days
+    start = F.struct(F.lit(0).cast("bigint").alias("day"), F.lit(1.0).alias("top"), F.lit(1.0).alias("x"), F.lit(None).cast("string").alias("why"))
+
+    def follow(rules: list[tuple]) -> Callable[[Column, Column], Column]:
+        def step(acc: Column, bar: Column) -> Column:
+            x = bar["c"] / F.col("entry_price")
+            top = F.greatest(acc["top"], x)
+            held = business_days(F.col("entry_date"), bar["d"])
+            why = F.coalesce(*[F.when(rule(x, top, held, bar["s"]), F.lit(label)) for label, rule in rules])
+            moved = F.struct((acc["day"] + 1).alias("day"), top.alias("top"), x.alias("x"), why.alias("why"))
+            return F.when(acc["why"].isNull(), moved).otherwise(acc)
+        return step
+
+    parts = [F.struct(F.lit(mode).alias("mode"), F.aggregate("ahead", start, follow(rules)).alias("end")) for mode, rules in (modes or exit_modes()).items()]
+    out = arrays.select(KEY, "entry_date", F.explode(F.array(*parts)).alias("_m"))
+    end = F.col("_m.end")
+    return out.select(KEY, "entry_date", "_m.mode", F.coalesce(end["why"], F.lit("open")).alias("reason"), end["day"].alias("day"), (end["x"] - 1).alias("ret"))
+
+
+def ruled_returns(arrays: DataFrame, holds: Sequence[int], emergency: float = 0.40) -> DataFrame:
+    """(ticker, entry_date, hold, rule, ret) of full paths: rule A leaves after `hold` bars, rule B also on the first
+    close at or below 1 - emergency."""
+    ratios = F.transform("ahead", lambda b: b["c"] / F.col("entry_price"))
+    base = arrays.select(KEY, "entry_date", ratios.alias("_r")).withColumn("_stop", _first_day(F.col("_r"), at_most=1 - emergency))
+    rules = [F.struct(F.lit(h).cast("bigint").alias("hold"), F.lit(rule).alias("rule"), day.cast("int").alias("_day")) for h in holds
+             for rule, day in (("A", F.lit(h)), ("B", F.least(F.lit(h), F.coalesce("_stop", F.lit(h)))))]
+    out = base.withColumn("_x", F.explode(F.array(*rules)))
+    return out.select(KEY, "entry_date", "_x.hold", "_x.rule", (F.element_at("_r", F.col("_x._day")) - 1).alias("ret"))
+
+
+def reason_shares(exits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    counts = exits.groupBy(*by, "reason").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(1))
+    total = F.sum("n").over(Window.partitionBy("_all", *by))  # one row per reason
+    return counts.select(*by, "reason", "n", (F.col("n") / total).alias("share"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import tiers
 from ..functions.guards import holds
 from .events import hash_sample
-from .ranking import exact_quantiles
+from .ranking import exact_quantiles, quantile_summary
 
 # Drawdown bands of the sensitivity study.
 DIP_BANDS = [(0.10, 0.20), (0.20, 0.30), (0.30, 0.40), (0.40, 0.50), (0.30, 0.50), (0.20, 0.50), (0.20, 0.40),
@@ -43,11 +43,24 @@ def bucket_stats(buckets: DataFrame, horizons: Sequence[int], main: int, by: Seq
         share(main_col > 0).alias("pct_positive"), F.avg("max_dd").alias("mean_max_dd"))
 
 
+def _mean(total: str, count: str) -> Column:
+    return F.try_divide(F.col(total), F.col(count))
+
+
+def _counted(name: str, value: Column) -> dict[str, Column]:
+    """Sum and number of the known values, from which a mean follows."""
+    return {f"_s_{name}": value.cast("double"), f"_n_{name}": value.isNotNull().cast("long")}
+
+
 def bucket_report(buckets: DataFrame, horizons: Sequence[int], main: int) -> DataFrame:
-    """`bucket_stats` plus the exact median of the main horizon."""
-    buckets = buckets.select("bucket", "max_dd", *[f"fwd_{h}" for h in horizons])
-    med = exact_quantiles(buckets, ["bucket"], f"fwd_{main}", {"median": 0.5})
-    return bucket_stats(buckets, horizons, main).join(med, "bucket", "left")
+    """`bucket_stats` plus the exact median of the main horizon, from one aggregate over the rows."""
+    ret = F.col(f"fwd_{main}")
+    sums = {"n": F.lit(1).cast("long"), **_counted("pos", (ret > 0).cast("double")), **_counted("dd", F.col("max_dd"))}
+    for h in horizons:
+        sums |= _counted(str(h), F.col(f"fwd_{h}"))
+    out = quantile_summary(buckets, ["bucket"], f"fwd_{main}", {"median": 0.5}, sums)
+    return out.select("bucket", "n", *[_mean(f"_s_{h}", f"_n_{h}").alias(f"mean_{h}") for h in horizons],
+                      _mean("_s_pos", "_n_pos").alias("pct_positive"), _mean("_s_dd", "_n_dd").alias("mean_max_dd"), "median")
 
 
 def spread_criteria(stats: DataFrame, main: int, min_spread: float = 0.03, min_gap: float = 0.05) -> DataFrame:
@@ -131,14 +144,16 @@ def band_entries(rows: DataFrame, bands: Sequence[tuple[float, float]] = DIP_BAN
 def band_sensitivity(entries: DataFrame, outcome: str, mae: str, random_mean: float = RANDOM_MEAN, baseline_spread: float = BASELINE_SPREAD,
                      min_n: int = 200) -> DataFrame:
     """Outcome table per drawdown band; bands with fewer than `min_n` entries keep only their count."""
-    entries = entries.select("band", outcome, mae, "regime")
     r = F.col(outcome)
-    base = entries.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), share(r > 0).alias("pct_pos"),
-        share(r < 0).alias("pct_loss"), share(F.col(mae) <= -0.20).alias("pct_hit20"),
-        F.avg(F.when(F.col("regime") == "bull", r)).alias("bull"), F.avg(F.when(F.col("regime") == "bear", r)).alias("bear"))
-    cuts = exact_quantiles(entries, ["band"], outcome, {"p10": 0.10, "median": 0.50, "p90": 0.90})
-    df = base.join(cuts, "band", "left").withColumn("spread", F.col("mean") - random_mean)
+    parts = {"mean": r, "pct_pos": (r > 0).cast("double"), "pct_loss": (r < 0).cast("double"), "pct_hit20": (F.col(mae) <= -0.20).cast("double"),
+             "bull": F.when(F.col("regime") == "bull", r), "bear": F.when(F.col("regime") == "bear", r)}
+    sums = {"n": F.lit(1).cast("long")}
+    for name, c in parts.items():
+        sums |= _counted(name, c)
+    cuts = ("p10", "median", "p90")
+    df = quantile_summary(entries, ["band"], outcome, dict(zip(cuts, (0.10, 0.50, 0.90))), sums)
+    df = df.select("band", "n", *[_mean(f"_s_{name}", f"_n_{name}").alias(name) for name in parts], *cuts)
+    df = df.withColumn("spread", F.col("mean") - random_mean)
     df = df.withColumn("ux", F.col("spread") / baseline_spread * (1 - F.col("pct_hit20")) * (1 - F.col("pct_loss")))
     few = (F.col("n") < min_n) | F.col("mean").isNull()
     hidden = [c for c in df.columns if c not in ("band", "n")]

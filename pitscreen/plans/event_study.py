@@ -75,7 +75,7 @@ def crossing_paths(bars: DataFrame, threshold: float = tiers.RECOVERY_BUY, horiz
                    full_only: bool = True) -> DataFrame:
     """Forward path array of every score crossing. Scores are stored once; entries and price series are both read from them."""
     rows = indicators.recovery_scores(has_history(bars, 252)).withColumn("pos", bar_index())
-    rows = events.crossings(rows, F.col("composite_score") >= threshold).select("ticker", "date", "close", "atr_14", "pos", "crossed")
+    rows = events.crossings(rows, F.col("composite_score") >= threshold).select("ticker", "date", "close", "atr_14", "composite_score", "pos", "crossed")
     rows = clustered(rows)
     return exits.path_arrays(rows.where("crossed"), rows, horizon, full_only)
 

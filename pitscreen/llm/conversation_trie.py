@@ -107,7 +107,7 @@ def walk(first: np.ndarray, turn: list[tuple[int, int]]) -> Iterator[tuple[int,
             bits ^= child
 
 
-def _shards(take: Callable[[dict, np.ndarray], pa.RecordBatch]):
+def _shards(take: Callable[[dict, np.ndarray], pa.RecordBatch], most: int):
     """A mapInArrow function over rows sorted by (conv_id, depth) that hands whole shards to `take`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, rows, convs, last = [], 0, 0, None
@@ -123,7 +123,7 @@ def _shards(take: Callable[[dict, np.ndarray], pa.RecordBatch]):
             starts = np.flatnonzero(np.diff(ids, prepend=ids[:1] if len(ids) and ids[0] == last else ~ids[:1]) != 0).tolist()
             at = 0
             for start in starts:
-                if convs >= SHARD or rows + start - at >= SHARD_TURNS:
+                if convs >= most or rows + start - at >= SHARD_TURNS:
                     if start > at:
                         waiting.append({k: v[at:start] for k, v in columns.items()})
                     if waiting:
@@ -204,19 +204,20 @@ def _digest_rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sha, pa.string())], names=["k1", "k2", "ends_sha256"])
 
 
-def trie(sequences: DataFrame) -> DataFrame:
+def trie(sequences: DataFrame, shard: int = SHARD) -> DataFrame:
     """Nodes of the trie over (conv_id, depth, t1, t2, chars), as `rebuilt` gives them.
 
     Columns: conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens (over the subtree:
     members but one, times the characters of the node's turn), ends_sha256. An empty table has no node, not even a root.
     Each (conv_id, depth) is there once and depths are without gaps. A conversation is held by one task, as 40 bytes a turn.
-    The end list of a node is streamed through one task for its digest, 2,048 ids a row, since that has to be one hash.
+    The end list of a node is streamed through one task for its digest, 2,048 ids a row, since that has to be one hash. `shard`
+    bounds the conversations of a shard.
     """
     keys = ["k1", "k2"]
     sequences = stored(sequences, "sequences")
     # ranges of whole conversations: end lists of two shards do not interleave
     placed = sequences.repartitionByRange("conv_id").sortWithinPartitions("conv_id", "depth")
-    local = stored(placed.mapInArrow(_shards(_local_nodes), "k1 long, k2 long, p1 long, p2 long, depth long, n long, conv_id long, chars long, end long, ends string"), "local-nodes")
+    local = stored(placed.mapInArrow(_shards(_local_nodes, shard), "k1 long, k2 long, p1 long, p2 long, depth long, n long, conv_id long, chars long, end long, ends string"), "local-nodes")
     nodes = stored(local.groupBy(*keys).agg(F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("depth").alias("depth"), F.sum("n").alias("n_convs"),
                                             F.min("conv_id").alias("conv_id"), F.count("ends").alias("parts"), F.min("ends").alias("one")), "nodes")
     below = nodes.filter("depth > 0").groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.count("*").alias("n_children"))
@@ -226,7 +227,7 @@ def trie(sequences: DataFrame) -> DataFrame:
     owners = owners.select("conv_id", "own", (F.col("under") == 0).cast("long").alias("leaf"))
     marked = (sequences.join(owners, "conv_id", "left").withColumn("own", F.coalesce("own", F.lit(1 << 62))).withColumn("leaf", F.coalesce("leaf", F.lit(0)).cast("long")))
     marked = stored(marked, "marked").repartitionByRange("conv_id").sortWithinPartitions("conv_id", "depth")
-    sums = marked.mapInArrow(_shards(_member_sums), "k1 long, k2 long, saved long, leaves long").groupBy(*keys).agg(F.sum("saved").alias("saved_tokens"), F.sum("leaves").alias("n_leaves"))
+    sums = marked.mapInArrow(_shards(_member_sums, shard), "k1 long, k2 long, saved long, leaves long").groupBy(*keys).agg(F.sum("saved").alias("saved_tokens"), F.sum("leaves").alias("n_leaves"))
 
     several = local.filter("ends is not null").join(nodes.filter("parts > 1").select(*keys), keys, "left_semi").select(*keys, "ends", "end")
     many = (several.repartition(*keys).sortWithinPartitions(*keys, "end").select(*keys, "ends")

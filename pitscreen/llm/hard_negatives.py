@@ -250,18 +250,19 @@ def _visits(find: Callable[[Shared, pa.Table], dict], names: list[str]):
     return run
 
 
-def _met(candidates: DataFrame, anchors: DataFrame, shards: int, parts: int, find, names: list[str]) -> DataFrame:
+def _met(candidates: DataFrame, anchors: DataFrame, shards: int, together: int, several: int, find, names: list[str]) -> DataFrame:
     """Rows of `find` over every shard of candidates and every block of anchors."""
+    parts = -(-several // together)
     extra = F.lit(None).cast("array<long>")
     left = candidates.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).alias("block"), extra.alias("positive_scores"))
     right = anchors.select("row", "vec_id", "label", "vector", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-                           (F.col("block") / BLOCKS).cast("int").alias("part"), "block", "positive_scores" if "positive_scores" in anchors.columns else extra.alias("positive_scores"))
+                           F.floor(F.col("block") / together).cast("int").alias("part"), "block", "positive_scores" if "positive_scores" in anchors.columns else extra.alias("positive_scores"))
     both = left.select(*right.columns).unionByName(right).repartition("shard", "part").sortWithinPartitions("shard", "part", "block", "vec_id")
     return both.mapInArrow(_visits(find, names), ", ".join(f"{c} long" for c in names))
 
 
-def blocks(anchors: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> tuple[DataFrame, int]:
-    """Anchors with the block of at most about BLOCK members they belong to, and the number of blocks.
+def blocks(anchors: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, size: int = BLOCK) -> tuple[DataFrame, int]:
+    """Anchors with the block of about `size` members at most that they belong to, and the number of blocks.
 
     The centres are fitted on the `sample` anchors with the smallest digests; blocks of one cluster are dealt by digest.
     """
@@ -280,35 +281,35 @@ def blocks(anchors: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -
     sizes = {r["cluster"]: r["count"] for r in assigned.groupBy("cluster").count().collect()}   # at most `clusters` rows
     block, first = F.lit(0).cast("long"), 0
     for cluster, count in sorted(sizes.items()):
-        several = -(-count // BLOCK)
+        several = -(-count // size)
         block = F.when(F.col("cluster") == cluster, F.lit(first) + F.pmod(F.xxhash64(F.lit(7), "row"), F.lit(several))).otherwise(block)
         first += several
     return assigned.withColumn("block", block.cast("int")), max(1, first)
 
 
-def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> DataFrame:
+def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90,
+         shard: int = SHARD, block: int = BLOCK, together: int = BLOCKS) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) over `rows` as `quantized` gives them.
 
     Anchors are the rows that satisfy `anchor`. An anchor's positives are its first `positives` other rows of its label;
     for each of them, negatives are the first `negatives` rows of other labels whose score s satisfies
     low * positive <= 100 * s <= high * positive. Higher scores come first, ties by smaller id. Vectors of different widths
     meet as if filled with zeros; zero vectors score 0; anchors without positives or without negatives have no rows; an
-    empty table gives an empty result.
+    empty table gives an empty result. A task meets about `shard` candidates and `together` blocks of `block` anchors.
     """
     rows = stored(rows, "vectors")
     count = rows.count()
-    shards = max(1, -(-count // SHARD))
+    shards = max(1, -(-count // shard))
     candidates = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(shards)).cast("int"))
-    anchors, several = blocks(rows.filter(anchor))
-    parts = -(-several // BLOCKS)
+    anchors, several = blocks(rows.filter(anchor), size=block)
 
-    found = _met(candidates, anchors, shards, parts, lambda s, b: _positives(s, b, positives), ["row", "positive_id", "positive_score"])
+    found = _met(candidates, anchors, shards, together, several, lambda s, b: _positives(s, b, positives), ["row", "positive_id", "positive_score"])
     order = Window.partitionBy("row").orderBy(F.desc("positive_score"), "positive_id")
     top = stored(found.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < positives), "positives")
     known = top.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "positive_score"))), lambda s: s["positive_score"]).alias("positive_scores"))
     ready = stored(anchors.join(known, "row"), "ready")
 
-    met = _met(candidates, ready, shards, parts, lambda s, b: _negatives(s, b, negatives, low, high), ["row", "place", "negative_id", "negative_score"])
+    met = _met(candidates, ready, shards, together, several, lambda s, b: _negatives(s, b, negatives, low, high), ["row", "place", "negative_id", "negative_score"])
     order = Window.partitionBy("row", "place").orderBy(F.desc("negative_score"), "negative_id")
     kept = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
     named = top.join(anchors.select("row", F.col("vec_id").alias("anchor_id")), "row")

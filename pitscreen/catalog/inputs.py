@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars, tiers
-from ..operators import asof, events, fundamentals as fnd, studies, universe as uni, veto
+from ..operators import asof, curve, events, fundamentals as fnd, studies, universe as uni, veto
 from ..operators.windows import has_history
-from ..plans import event_study
+from ..plans import alerts, event_study
 from ..session import scratch_path
 from ..sources import bars as src_bars, facts as src_facts, filings as src_filings, membership as src_members, sinks, star
 from .base import query
@@ -17,7 +17,9 @@ from .ctes import W, asof as asof_sql, busday, caps, gate, shares
 
 @query("src_01_bar_scan", "SELECT * FROM bars WHERE date >= DATE '1996-01-01' AND date < DATE '1998-01-01'", d="open high low close volume")
 def _(spark, sf):
-    return star.bars(spark, sf, start="1996-01-01", end="1998-01-01")
+    path = scratch_path(spark, "bars")
+    star.bars(spark, sf).write.parquet(path)
+    return src_bars.scan_bars(spark, path, start="1996-01-01", end="1998-01-01")
 
 
 @query("src_02_adjusted_bars", """
@@ -100,7 +102,13 @@ def _(spark, sf):
     blocks = f.groupBy("ticker", F.floor(F.col("accession").cast("bigint") / 10_000).alias("m")).agg(F.array_sort(F.collect_list(one)).alias("x"))
     blocks = blocks.select("ticker", F.col("x.form").alias("form"), F.col("x.d").alias("filingDate"), F.col("x.i").alias("items"),
                            F.col("x.accession").alias("accessionNumber"), F.array(F.lit("main.htm")).alias("primaryDocument"))
-    rows = src_filings.filing_rows(blocks)
+    # Shards as JSON files, the recent one read last; it repeats the filings of the first block.
+    path = scratch_path(spark, "submissions")
+    blocks.write.json(f"{path}/older")
+    blocks.where(F.col("accessionNumber")[0] < "000000010000").write.json(f"{path}/recent")
+    fields = "ticker string, " + ", ".join(f"{c} array<string>" for c in src_filings.FIELDS)
+    read = lambda part: spark.read.schema(fields).json(f"{path}/{part}")
+    rows = src_filings.merge_shards(read("recent"), read("older"))
     return rows.select("ticker", "form", "filing_date", F.array_join("items", "|").alias("items"), "accession")
 
 
@@ -110,7 +118,10 @@ def _(spark, sf):
     # One quoted line per month and block of 400 symbols, as in an index-membership file.
     lines = m.groupBy("date", "block").agg(F.array_join(F.collect_list("ticker"), ", ").alias("t")).select(
         F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(',"'), "t", F.lit('"')).alias("value"))
-    return src_members.exploded(src_members.membership_lines(lines))
+    path = scratch_path(spark, "membership")
+    bad = lines.limit(0).unionByName(spark.createDataFrame([("date,tickers",), ("not a date,\"1,2\"",), ("1997-01-01,\"\"",), ("",)], "value string"))
+    lines.unionByName(bad).write.text(path)
+    return src_members.exploded(src_members.read_membership(spark, path))
 
 
 @query("src_09_constituents_by_add_date", """
@@ -118,18 +129,41 @@ SELECT ticker AS symbol FROM (SELECT ticker, min(date) AS d FROM members GROUP B
 def _(spark, sf):
     first = star.membership(spark, sf).groupBy("ticker").agg(F.min("date").alias("d"))
     text = F.when(F.col("ticker").cast("bigint") % 9 == 0, "unknown").otherwise(F.col("d").cast("string"))
-    return src_members.members_by_add_date(first.select(F.col("ticker").alias("symbol"), text.alias("date_added")), F.lit("1995-01-15").cast("date"))
+    path = scratch_path(spark, "constituents")
+    rows = first.select(F.concat_ws(",", "ticker", F.lit("sector"), text).alias("value"))
+    header, broken = F.lit("Symbol,Sector,Date added"), F.lit("lonely")
+    first.select(header.alias("value")).limit(1).unionByName(rows).unionByName(first.select(broken.alias("value")).limit(1)).coalesce(1).write.text(path)
+    return src_members.members_by_add_date(src_members.read_constituents(spark, path), F.lit("1995-01-15").cast("date"))
 
 
 @query("src_10_rates", "SELECT date, rate FROM rates", d="rate")
 def _(spark, sf):
     raw = star.rates(spark, sf).select("date", (F.col("rate") * 100).cast("string").alias("percent"))
-    return src_members.rate_rows(raw)
+    path = scratch_path(spark, "rates")
+    lines = raw.select(F.concat_ws(",", F.col("date").cast("string"), "percent").alias("value"))
+    extra = lambda text: raw.select(F.lit(text).alias("value")).limit(1)
+    extra("DATE,RATE").unionByName(lines).unionByName(extra("1999-01-01,.")).unionByName(extra("1999-01-02,1.0,surplus")).coalesce(1).write.text(path)
+    return src_members.read_rates(spark, path)
 
 
 @query("src_11_concept_pruning", "SELECT concept, count(*) AS n FROM facts WHERE concept <> 'Assets' GROUP BY 1", i="n")
 def _(spark, sf):
-    return src_facts.prune_concepts(star.facts(spark, sf)).groupBy("concept").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "facts")
+    src_facts.write_by_concept(star.facts(spark, sf), path)
+    kept = src_facts.prune_concepts(spark.read.parquet(path))
+    return kept.groupBy("concept").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_11_concept_folders", """
+SELECT concept, count(*) AS n, sum(val) AS total FROM facts WHERE concept IN ('Revenues', 'NetIncomeLoss') GROUP BY 1
+UNION ALL SELECT concept, count(*), sum(val) FROM facts WHERE concept IN (SELECT concept FROM facts GROUP BY 1 ORDER BY count(*) DESC, concept LIMIT 1) GROUP BY 1""", d="total", i="n", digits=2)
+def _(spark, sf):
+    path = scratch_path(spark, "facts")
+    src_facts.write_by_concept(star.facts(spark, sf), path)
+    named = src_facts.read_concepts(spark, path, ["Revenues", "NetIncomeLoss"])
+    commonest = spark.read.parquet(path).groupBy("concept").count().orderBy(F.desc("count"), "concept").limit(1)
+    totals = lambda df: df.groupBy("concept").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("total"))
+    return totals(named).unionByName(totals(src_facts.read_concepts(spark, path, commonest)))
 
 
 @query("src_12_history_filter", "SELECT ticker, count(*) AS n FROM bars GROUP BY 1 HAVING count(*) >= 520", i="n")
@@ -157,28 +191,43 @@ def _(spark, sf):
 # ---------------------------------------------------------------- sinks
 
 
-@query("snk_01_daily_snapshot", "SELECT date AS as_of, count(*) AS n, sum(close) AS total FROM bars WHERE date >= DATE '2001-06-01' GROUP BY 1", d="total", i="n")
+@query("snk_01_daily_snapshot", "SELECT date AS as_of, count(*) AS n, sum(close) AS total FROM bars GROUP BY 1", d="total", i="n")
 def _(spark, sf):
     path = scratch_path(spark, "snapshot")
-    rows = star.bars(spark, sf, start="2001-06-01").select("ticker", "close", F.col("date").alias("as_of"))
-    sinks.write_daily(rows.where(F.col("as_of") < "2001-09-01").withColumn("close", F.lit(0.0)), path)
-    sinks.write_daily(rows, path)
-    sinks.write_daily(rows.where(F.col("as_of") >= "2001-10-01"), path)
+    rows = star.bars(spark, sf).select("ticker", "close", F.col("date").alias("as_of"))
+    # Two spans taken from the data overlap: what the first wrote wrongly, the second replaces; other days stay.
+    span = lambda share: F.expr(f"date_add(first, cast(floor(datediff(last, first) * {share}) as int))")
+    ends = rows.agg(F.min("as_of").alias("first"), F.max("as_of").alias("last")).select(span(0.4).alias("a"), span(0.7).alias("b")).first()
+    wrong = F.when(F.col("as_of") >= ends["a"], 0.0).otherwise(F.col("close"))
+    sinks.write_daily(rows.where(F.col("as_of") <= ends["b"]).withColumn("close", wrong), path, tasks=16)
+    sinks.write_daily(rows.where(F.col("as_of") >= ends["a"]), path, tasks=16)
     return spark.read.parquet(path).groupBy("as_of").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("total"))
 
 
-@query("snk_02_daily_outputs", """
-SELECT status, count(*) AS n FROM (
- SELECT CASE WHEN p.ticker IS NULL THEN 'NEW' ELSE 'CONTINUING' END AS status FROM (SELECT ticker, month FROM (SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS month, composite_score FROM scored) WHERE composite_score >= CAST(0.6 AS DOUBLE) GROUP BY 1, 2) n
- LEFT JOIN (SELECT ticker, month FROM (SELECT ticker, CAST(date_trunc('month', date) + INTERVAL 1 MONTH AS DATE) AS month, composite_score FROM scored) WHERE composite_score >= CAST(0.6 AS DOUBLE) GROUP BY 1, 2) p USING (ticker, month)) GROUP BY 1""", i="n")
+RUN_DIFF = """SELECT date, 'NEW' AS status FROM (SELECT DISTINCT ticker, date FROM scored WHERE composite_score >= CAST(0.6 AS DOUBLE)) s
+ WHERE NOT EXISTS (SELECT 1 FROM scored p WHERE p.ticker = s.ticker AND p.composite_score >= CAST(0.6 AS DOUBLE) AND p.date = s.date - CASE isodow(s.date) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END)"""
+
+
+@query("snk_02_daily_outputs", f"""
+SELECT 'alerts' AS output, date AS as_of, count(*) AS n FROM ({RUN_DIFF}) GROUP BY 2
+UNION ALL SELECT 'exits', due, count(*) FROM (SELECT (SELECT min(b.date) FROM bars b WHERE b.ticker = c.ticker AND b.date > c.date AND {busday('c.date', 'b.date')} >= 252) AS due FROM crossed c) WHERE due IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'state', date, count(*) FROM scored WHERE composite_score >= CAST(0.6 AS DOUBLE) GROUP BY 2""", i="n")
 def _(spark, sf):
-    path = scratch_path(spark, "state")
-    scored = event_study.indicators.recovery_scores(has_history(star.bars(spark, sf), 252)).where(F.col("composite_score") >= 0.60)
-    sinks.write_daily(scored.select("ticker", F.trunc("date", "month").alias("as_of")).distinct(), path)
-    state = spark.read.parquet(path)
-    before = state.select("ticker", F.add_months("as_of", 1).alias("as_of"), F.lit(True).alias("_b"))
-    joined = state.join(before, ["ticker", "as_of"], "left")
-    return joined.groupBy(F.when(F.col("_b"), "CONTINUING").otherwise("NEW").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    """A backfill of all daily runs, its second half run again: every run writes alerts, exits and state of its days."""
+    path = scratch_path(spark, "runs")
+    rows = event_study.indicators.recovery_scores(has_history(star.bars(spark, sf), 252)).select("ticker", "date", "close", "composite_score")
+    rows = events.crossings(rows, F.col("composite_score") >= 0.60)
+    state = rows.where(F.col("composite_score") >= 0.60).select("ticker", F.col("date").alias("as_of"), "composite_score")
+    history = state.select("ticker", F.col("as_of").alias("date"), F.lit("BUY").alias("signal"))
+    fresh = alerts.weekday_changes(history).where(F.col("status") == "NEW").select("ticker", F.col("date").alias("as_of"), "status")
+    due = events.first_bar_after(rows.where("crossed").select("ticker", F.col("date").alias("entry_date"), F.col("close").alias("entry_price")), star.bars(spark, sf), 252)
+    exits = due.select("ticker", "entry_date", F.col("date").alias("as_of"), (F.col("close") / F.col("entry_price") - 1).alias("ret"))
+    half = F.col("as_of") > "1998-06-30"
+    sinks.write_run(path, tasks=16, alerts=fresh, exits=exits, state=state)
+    sinks.write_run(path, tasks=16, alerts=fresh.where(half), exits=exits.where(half), state=state.where(half))
+    counts = [spark.read.parquet(f"{path}/{name}").groupBy("as_of").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("output"), "as_of", "n")
+              for name in ("alerts", "exits", "state")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 def _month_requests(spark, sf):
@@ -192,12 +241,12 @@ def _month_caps(spark, sf):
 
 @query("snk_03_cap_grid_refresh", "SELECT ticker, as_of, CASE WHEN as_of < DATE '1999-01-01' THEN -1.0 ELSE mcap END AS mcap FROM caps_month", d="mcap", digits=None)
 def _(spark, sf):
-    req = _month_requests(spark, sf).select("ticker", "as_of")
-    stored = req.withColumn("mcap", F.lit(-1.0))
-    # Stored rows stay final before the cut-off; everything later is recomputed.
+    path, req = scratch_path(spark, "grid"), _month_requests(spark, sf).select("ticker", "as_of")
+    # The first refresh stores -1 for everything; rows then final stay, the second one computes all later ones.
     today = F.date_add(F.lit("1999-01-01").cast("date"), 120)
-    compute = lambda r: uni.market_caps(r, star.bars(spark, sf), star.facts(spark, sf))
-    return sinks.refresh_cap_grid(req, stored, today, compute)
+    sinks.refresh_stored_grid(spark, path, req, today, lambda r: r.withColumn("mcap", F.lit(-1.0)))
+    sinks.refresh_stored_grid(spark, path, req, today, lambda r: uni.market_caps(r, star.bars(spark, sf), star.facts(spark, sf)))
+    return spark.read.parquet(path).select("ticker", "as_of", "mcap")
 
 
 @query("snk_04_recent_alerts", "SELECT ticker, date AS as_of FROM crossed WHERE date > DATE '2001-03-01' AND date <= DATE '2001-03-31'")
@@ -350,14 +399,11 @@ def _(spark, sf):
 
 
 @query("uni_01_membership_asof", """
-SELECT d.date, count(*) AS members FROM bench d JOIN members m ON m.date = (SELECT max(date) FROM members WHERE date <= d.date) GROUP BY 1""", i="members")
+SELECT d.date, s.members FROM bench d ASOF LEFT JOIN (SELECT date + 45 AS date, count(DISTINCT ticker) AS members FROM members GROUP BY 1) s ON s.date <= d.date""", i="members")
 def _(spark, sf):
-    days = star.benchmark(star.bars(spark, sf)).select("date")
-    spans = uni.membership_intervals(star.membership(spark, sf))
-    sizes = spans.groupBy("since", "until").agg(F.count_distinct("ticker").alias("members"))
-    # Both sides have at most one row per calendar day.
-    found = asof.asof_backward(days.withColumn("_all", F.lit(1)), sizes.withColumn("_all", F.lit(1)), ["_all"], "date", "since", ["members"])
-    return found.where(F.col("members").isNotNull()).select("date", "members")
+    # Snapshots become known 45 days late, so that some days precede the first one.
+    late = star.membership(spark, sf).withColumn("date", F.date_add("date", 45))
+    return uni.members_per_day(late, star.benchmark(star.bars(spark, sf)).select("date"))
 
 
 @query("uni_02_first_trading_days", "SELECT month, as_of AS date FROM month_first")
@@ -400,10 +446,13 @@ def _(spark, sf):
 
 
 @query("uni_09_size_sweep", """
-SELECT s.size, count(*) AS rows_kept, count(DISTINCT ticker) AS tickers FROM ranked r JOIN (VALUES ('10', 10), ('20', 20), ('50', 50), ('full', 1000000000)) s(size, cap) ON r.cap_rank <= s.cap GROUP BY 1""",
+SELECT s.size, count(*) AS rows_kept, count(DISTINCT ticker) AS tickers FROM ranked r JOIN (VALUES ('10', 10), ('20', 20), ('50', 50), ('full', 1000000000)) s(size, cap) ON r.cap_rank <= s.cap GROUP BY 1
+UNION ALL SELECT 'fixed', count(*), count(DISTINCT ticker) FROM caps_month WHERE ticker IN (SELECT ticker FROM members GROUP BY 1 HAVING min(date) <= DATE '1992-06-01' AND CAST(ticker AS BIGINT) % 3 = 0) HAVING count(*) > 0""",
        i="rows_kept tickers")
 def _(spark, sf):
-    return uni.size_sweep(_month_caps(spark, sf), [10, 20, 50]).groupBy("size").agg(
+    m = star.membership(spark, sf)
+    fixed = m.groupBy("ticker").agg(F.min("date").alias("d")).where((F.col("d") <= "1992-06-01") & (F.col("ticker").cast("bigint") % 3 == 0))
+    return uni.size_sweep(_month_caps(spark, sf), [10, 20, 50], fixed=fixed).groupBy("size").agg(
         F.count(F.lit(1)).alias("rows_kept"), F.count_distinct("ticker").alias("tickers"))
 
 
@@ -521,12 +570,12 @@ def _(spark, sf):
 
 
 @query("joi_14_wide_alignment", """
-SELECT date, max(CASE WHEN ticker = '1' THEN close END) AS s1, max(CASE WHEN ticker = '2' THEN close END) AS s2, count(*) AS n FROM bars GROUP BY 1""", d="s1 s2", i="n")
+SELECT g.ticker, g.date, b.close, b.date <> g.date AS filled FROM (
+ SELECT s.ticker, d.date FROM (SELECT ticker, min(date) AS a, max(date) AS z FROM bars GROUP BY 1) s JOIN bench d ON d.date BETWEEN s.a AND s.z) g
+ASOF JOIN bars b ON b.ticker = g.ticker AND b.date <= g.date""", d="close")
 def _(spark, sf):
     b = star.bars(spark, sf)
-    wide = b.groupBy("date").pivot("ticker", ["1", "2"]).agg(F.max("close"))
-    n = b.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(wide.select("date", F.col("1").alias("s1"), F.col("2").alias("s2")), "date")
+    return curve.aligned(b, star.benchmark(b))
 
 
 # ---------------------------------------------------------------- vetoes
@@ -581,14 +630,17 @@ def _(spark, sf):
 ROWS_SIGNAL = "CASE WHEN composite_score >= CAST(0.6 AS DOUBLE) THEN 'BUY' ELSE 'WAIT' END"
 
 
-@query("vet_06_veto_buys", f"""
-SELECT signal, count(*) AS n FROM (SELECT s.ticker, s.date, CASE WHEN s.composite_score >= CAST(0.6 AS DOUBLE) AND EXISTS (
-  SELECT 1 FROM distress d WHERE d.ticker = s.ticker AND d.filing_date BETWEEN s.date - 90 AND s.date) THEN 'VETO' ELSE {ROWS_SIGNAL.replace('composite', 's.composite')} END AS signal
-  FROM scored s WHERE s.composite_score IS NOT NULL) GROUP BY 1""", i="n")
+@query("vet_06_veto_buys", f'''
+SELECT signal, count(*) AS n FROM (SELECT s.ticker, s.date, CASE WHEN s.composite_score >= CAST(0.6 AS DOUBLE) AND (EXISTS (
+  SELECT 1 FROM distress d WHERE d.ticker = s.ticker AND d.filing_date BETWEEN s.date - 90 AND s.date) OR coalesce(contains(lower(x.text), 'the') AND contains(lower(x.text), 'and'), FALSE)) THEN 'VETO' ELSE {ROWS_SIGNAL.replace('composite', 's.composite')} END AS signal
+  FROM scored s LEFT JOIN (SELECT s.ticker, s.date, r.doc_id FROM scored s JOIN filings r ON r.ticker = s.ticker AND r.form IN ('10-K', '10-Q') AND r.filing_date <= s.date
+   QUALIFY row_number() OVER (PARTITION BY s.ticker, s.date ORDER BY r.filing_date DESC, r.accession) = 1) q ON q.ticker = s.ticker AND q.date = s.date
+  LEFT JOIN documents x ON x.doc_id = q.doc_id WHERE s.composite_score IS NOT NULL) GROUP BY 1''', i="n")
 def _(spark, sf):
     rows = event_study.indicators.recovery_scores(has_history(star.bars(spark, sf), 252)).where(F.col("composite_score").isNotNull())
     rows = rows.select("ticker", "date", F.when(F.col("composite_score") >= 0.60, "BUY").otherwise("WAIT").alias("signal"))
-    return veto.veto_buys(rows, star.filings(spark, sf)).groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
+    flags = veto.flag_documents(star.table(spark, sf, "documents"), ("the", "and"))
+    return veto.veto_buys(rows, star.filings(spark, sf), flags=flags).groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("udf_02_pluggable_veto", f"""
@@ -612,8 +664,6 @@ def _(spark, sf):
 SELECT b.item IS NOT NULL AS blocked, count(t.trade_return) AS n, avg(t.trade_return) AS mean_return FROM ({BEST}) b JOIN trades t ON t.ticker = b.ticker AND t.date = b.date GROUP BY 1""",
        d="mean_return", i="n")
 def _(spark, sf):
-    b = star.bars(spark, sf)
-    signals = veto.veto(_signals(spark, sf), star.filings(spark, sf)).select("ticker", "date", "blocked")
-    trades = events.fixed_hold_trades(has_history(b, 252), 63).select("ticker", "date", "trade_return")
-    return trades.join(signals, ["ticker", "date"]).groupBy("blocked").agg(
+    trades = event_study.crossing_trades(star.bars(spark, sf), 63).select("ticker", "date", "trade_return")
+    return veto.veto(trades, star.filings(spark, sf)).groupBy("blocked").agg(
         F.count("trade_return").alias("n"), F.avg("trade_return").alias("mean_return"))

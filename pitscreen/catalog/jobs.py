@@ -8,6 +8,7 @@ from ..operators import events as ev, indicators as ind, universe as uni, veto
 from ..operators.fundamentals import snapshots_asof
 from ..operators.windows import has_history
 from ..plans import alerts, event_study as es, positions as pos, screener
+from ..session import scratch_path
 from ..sources import bars as src_bars, star
 from .base import query
 from .inputs import LABEL
@@ -182,8 +183,9 @@ WITH s AS ({SCREEN}), x AS (SELECT {HELD} AS h, ticker FROM {POS}), c AS (SELECT
  (SELECT count(*) FROM x WHERE h >= 252) AS exits, (SELECT count(*) FROM x WHERE h >= 222 AND h < 252 AND CAST(ticker AS BIGINT) % 5 <> 0) AS reminders, (SELECT count(*) FROM x) AS positions, (SELECT count(*) FROM c WHERE status = 'NEW') AS new, (SELECT count(*) FROM c WHERE status = 'CONTINUING') AS continuing, (SELECT count(*) FROM c WHERE status = 'DROPPED') AS dropped""",
        i="scanned buys vetoed exits reminders positions new continuing dropped")
 def _(spark, sf):
-    changes = alerts.weekday_changes(_history(spark, sf)).where(F.col("date") == _day(AS_OF))
-    return pos.run_summary(_screen(spark, sf), changes, pos.exit_check(_positions(spark, sf), _day(AS_OF)))
+    changes = alerts.weekday_changes(_history(spark, sf)).where(F.col("date") == _day(AS_OF)).withColumnRenamed("date", "as_of")
+    checked = pos.exit_check(_positions(spark, sf), _day(AS_OF)).withColumn("as_of", _day(AS_OF))
+    return pos.observed_run(scratch_path(spark, "run"), _screen(spark, sf), changes, checked)
 
 
 # ---------------------------------------------------------------- orderings, set operations

@@ -195,8 +195,7 @@ SELECT date, mean_return, positions, sum(ln(1 + mean_return)) OVER (ORDER BY dat
     ON p.ticker = b.ticker AND b.date > p.d0 AND b.date <= p.d1 WHERE b.r IS NOT NULL GROUP BY 1)""", d="mean_return log_index", i="positions")
 def _(spark, sf):
     b = star.bars(spark, sf)
-    trades = ev.fixed_hold_trades(has_history(b, 252), 63, "same_close").select("ticker", "date", "entry_date", "exit_date")
-    taken = trades.join(_entries(spark, sf).select("ticker", "date"), ["ticker", "date"], "left_semi")
+    taken = es.crossing_trades(b, 63).select("ticker", F.col("same_close_entry_date").alias("entry_date"), F.col("same_close_exit_date").alias("exit_date"))
     index = ev.cohort_index(b, taken)
     return index.select("date", "mean_return", "positions", F.log("index").alias("log_index"))
 

@@ -13,7 +13,6 @@ from ..sources import star
 from .base import query
 from .ctes import CTES, W, asof as asof_sql
 from .inputs import _month_caps, _month_requests
-from .outcomes import _paths
 
 HZ = (21, 63)
 
@@ -255,10 +254,7 @@ def _(spark, sf):
 
 
 def _trades(spark, sf):
-    b = star.bars(spark, sf)
-    trades = ev.fixed_hold_trades(has_history(b, 252), 63).select("ticker", "date", "entry_date", "entry_price", "exit_date", "exit_price", "status", "bars_held", "trade_return")
-    entries = es.score_crossings(b).select("ticker", "date", "composite_score")
-    return trades.join(entries, ["ticker", "date"])
+    return es.crossing_trades(star.bars(spark, sf), 63)
 
 
 T = "(SELECT t.*, c.composite_score AS score FROM crossed c JOIN trades t ON t.ticker = c.ticker AND t.date = c.date)"
@@ -288,31 +284,40 @@ def _(spark, sf):
     return st.trade_stats(st.over_thresholds(_trades(spark, sf), [0.60, 0.65, 0.70, 0.75]), ["threshold"])
 
 
-GRID_SQL = f"""SELECT th.threshold, h.hold, avg(lead_ret) AS metric, avg(CAST(lead_ret > 0 AS INT)) AS win_rate FROM (
- SELECT c.composite_score AS score, x.hold, x.r AS lead_ret FROM crossed c JOIN (SELECT ticker, date, 21 AS hold, fwd_21 AS r FROM outcomes UNION ALL SELECT ticker, date, 63, fwd_63 FROM outcomes) x ON x.ticker = c.ticker AND x.date = c.date WHERE x.r IS NOT NULL) h
- JOIN (VALUES (CAST(0.60 AS DOUBLE)), (CAST(0.65 AS DOUBLE)), (CAST(0.70 AS DOUBLE))) th(threshold) ON h.score >= th.threshold GROUP BY 1, 2"""
+P63 = """(SELECT e.ticker, e.date AS entry_date, e.composite_score AS score, b.pos - e.pos AS day, b.close / e.close AS ratio
+ FROM crossed e JOIN scored b ON b.ticker = e.ticker AND b.pos BETWEEN e.pos + 1 AND e.pos + 63 WHERE e.pos + 63 <= e.n_bars)"""
+GRID_SQL = f"""SELECT th.threshold, g.hold, g.rule, avg(p.ratio - 1) AS metric, avg(CAST(p.ratio > 1 AS INT)) AS win_rate, count(*) AS n FROM (
+ SELECT e.*, h.hold, r.rule, CASE WHEN r.rule = 'A' THEN h.hold ELSE least(h.hold, coalesce(e.stop, h.hold)) END AS last FROM (
+  SELECT ticker, entry_date, max(score) AS score, min(day) FILTER (WHERE ratio <= CAST(0.6 AS DOUBLE)) AS stop FROM {P63} GROUP BY 1, 2) e, (VALUES (21), (63)) h(hold), (VALUES ('A'), ('B')) r(rule)) g
+ JOIN {P63} p ON p.ticker = g.ticker AND p.entry_date = g.entry_date AND p.day = g.last
+ JOIN (VALUES (CAST(0.60 AS DOUBLE)), (CAST(0.65 AS DOUBLE)), (CAST(0.70 AS DOUBLE))) th(threshold) ON g.score >= th.threshold GROUP BY 1, 2, 3"""
 
 
 def _grid(spark, sf):
-    b = star.bars(spark, sf)
-    entries = es.score_crossings(b).select("ticker", "date", "composite_score")
-    rows = ev.forward_returns(has_history(b, 252), HZ).join(entries, ["ticker", "date"])
-    rows = rows.withColumn("_h", F.explode(F.array(*[F.struct(F.lit(h).alias("hold"), F.col(f"fwd_{h}").alias("r")) for h in HZ])))
-    rows = st.over_thresholds(rows.select("composite_score", "_h.*").where(F.col("r").isNotNull()), [0.60, 0.65, 0.70])
-    return rows.groupBy("threshold", "hold").agg(F.avg("r").alias("metric"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"))
+    """Mean return and share of winners per entry threshold, holding period and exit rule."""
+    arrays = es.crossing_paths(star.bars(spark, sf), horizon=max(HZ))
+    rows = st.over_thresholds(exits.ruled_returns(arrays, HZ), [0.60, 0.65, 0.70], "entry_score")
+    return rows.groupBy("threshold", "hold", "rule").agg(F.avg("ret").alias("metric"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.count(F.lit(1)).alias("n"))
 
 
 @query("agg_23_grid_rollups", f"""
-SELECT 'threshold' AS dimension, CASE WHEN threshold = CAST(0.6 AS DOUBLE) THEN '0.6' WHEN threshold = CAST(0.65 AS DOUBLE) THEN '0.65' ELSE '0.7' END AS level, count(*) AS variants, avg(metric) AS avg_metric, max(metric) AS best_metric FROM ({GRID_SQL}) GROUP BY ALL
-UNION ALL SELECT 'hold', CAST(hold AS VARCHAR), count(*), avg(metric), max(metric) FROM ({GRID_SQL}) GROUP BY ALL""", d="avg_metric best_metric", i="variants")
+WITH g AS ({GRID_SQL}) SELECT 'threshold' AS dimension, CASE WHEN threshold = CAST(0.6 AS DOUBLE) THEN '0.6' WHEN threshold = CAST(0.65 AS DOUBLE) THEN '0.65' ELSE '0.7' END AS level, count(*) AS variants, avg(metric) AS avg_metric, max(metric) AS best_metric FROM g GROUP BY ALL
+UNION ALL SELECT 'hold', CAST(hold AS VARCHAR), count(*), avg(metric), max(metric) FROM g GROUP BY ALL
+UNION ALL SELECT 'rule', rule, count(*), avg(metric), max(metric) FROM g GROUP BY ALL""", d="avg_metric best_metric", i="variants")
 def _(spark, sf):
-    return st.grid_rollup(_grid(spark, sf), ["threshold", "hold"], "metric")
+    return st.grid_rollup(_grid(spark, sf), ["threshold", "hold", "rule"], "metric")
 
 
 @query("agg_23_grid_candidates", f"""
-WITH g AS ({GRID_SQL}) SELECT g.*, g.metric > b.metric AND g.win_rate > b.win_rate AS candidate FROM g, (SELECT * FROM g WHERE threshold = CAST(0.6 AS DOUBLE) AND hold = 63) b""", d="threshold metric win_rate", i="hold")
+WITH g AS ({GRID_SQL}) SELECT g.*, g.metric > b.metric AND g.win_rate > b.win_rate AS candidate FROM g, (SELECT * FROM g WHERE threshold = CAST(0.6 AS DOUBLE) AND hold = 63 AND rule = 'A') b""", d="threshold metric win_rate", i="hold n")
+def _(spark, sf):
+    baseline = (F.col("threshold") == 0.60) & (F.col("hold") == 63) & (F.col("rule") == "A")
+    return st.grid_candidates(_grid(spark, sf), baseline, ["metric", "win_rate"])
+
+
+@query("agg_23_grid_top", f"WITH g AS ({GRID_SQL}) SELECT * FROM g ORDER BY round(metric, 9) DESC, threshold, hold, rule LIMIT 5", d="threshold metric win_rate", i="hold n")
 def _(spark, sf):
-    return st.grid_candidates(_grid(spark, sf), (F.col("threshold") == 0.60) & (F.col("hold") == 63), ["metric", "win_rate"])
+    return _grid(spark, sf).orderBy(F.round("metric", 9).desc(), "threshold", "hold", "rule").limit(5)
 
 
 @query("agg_24_rate_by_year", "SELECT year(b.date) AS year, avg(r.rate) AS mean_rate FROM bench b ASOF LEFT JOIN rates r ON r.date <= b.date GROUP BY 1", d="mean_rate", i="year")
@@ -327,15 +332,12 @@ SELECT *, a + (b - a) + (c - a) AS additive, d - (a + (b - a) + (c - a)) AS inte
         avg(same_close_return) FILTER (WHERE score >= CAST(0.6 AS DOUBLE)) AS c, avg(same_close_return) FILTER (WHERE score >= CAST(0.7 AS DOUBLE)) AS d FROM {T})""".replace(" AS a,", ' AS "A",').replace(" AS b,", ' AS "B",').replace(" AS c,", ' AS "C",').replace(" AS d FROM", ' AS "D" FROM'),
        d="A B C D additive interaction")
 def _(spark, sf):
-    b = star.bars(spark, sf)
-    entries = es.score_crossings(b).select("ticker", "date", "composite_score")
-    legs = [(F.lit("A"), F.lit("B"), "next_open"), (F.lit("C"), F.lit("D"), "same_close")]
-    parts = []
-    for low, high, fill in legs:
-        t = ev.fixed_hold_trades(has_history(b, 252), 63, fill).select("ticker", "date", "trade_return").join(entries, ["ticker", "date"])
-        cell = F.array_compact(F.array(low, F.when(F.col("composite_score") >= 0.70, high)))
-        parts.append(t.withColumn("cell", F.explode(cell)).groupBy("cell").agg(F.avg("trade_return").alias("v")))
-    return st.interaction(parts[0].unionByName(parts[1]), "cell", "v")
+    high = F.col("composite_score") >= 0.70
+    cell = lambda name, value, keep: F.when(keep, F.struct(F.lit(name).alias("cell"), F.col(value).alias("v")))
+    every = F.lit(True)
+    cells = F.array_compact(F.array(cell("A", "trade_return", every), cell("B", "trade_return", high), cell("C", "same_close_trade_return", every), cell("D", "same_close_trade_return", high)))
+    rows = _trades(spark, sf).select(F.explode(cells).alias("_c")).select("_c.*")
+    return st.interaction(rows.groupBy("cell").agg(F.avg("v").alias("v")), "cell", "v")
 
 
 @query("agg_26_regime_days", "SELECT count(*) FILTER (WHERE above_ma) AS days_above, count(*) FILTER (WHERE NOT above_ma) AS days_below FROM regimes", i="days_above days_below")
@@ -343,12 +345,14 @@ def _(spark, sf):
     return st.regime_days(ev.level_regime(star.benchmark(star.bars(spark, sf))))
 
 
-@query("agg_26_blocked_per_year", "SELECT year(c.date) AS year, count(*) AS signals, count(*) FILTER (WHERE NOT r.above_ma) AS blocked FROM crossed c JOIN regimes r USING (date) GROUP BY 1", i="year signals blocked")
+@query("agg_26_blocked_per_year", """
+SELECT d.year, d.days_below, coalesce(s.signals, 0) AS signals, coalesce(s.blocked, 0) AS blocked FROM (SELECT year(date) AS year, count(*) FILTER (WHERE NOT above_ma) AS days_below FROM regimes GROUP BY 1) d
+LEFT JOIN (SELECT year(c.date) AS year, count(*) AS signals, count(*) FILTER (WHERE NOT r.above_ma) AS blocked FROM crossed c JOIN regimes r USING (date)
+ WHERE EXISTS (SELECT 1 FROM ranked u WHERE cap_rank <= 50 AND u.ticker = c.ticker AND date_trunc('month', u.as_of) = date_trunc('month', c.date)) GROUP BY 1) s ON s.year = d.year""", i="year days_below signals blocked")
 def _(spark, sf):
     b = star.bars(spark, sf)
-    cal = ev.level_regime(star.benchmark(b))
-    signals = es.score_crossings(b).select("ticker", "date")
-    return st.blocked_per_year(signals.join(F.broadcast(cal.select("date", "above_ma")), "date"))  # one row per calendar day
+    signals = uni.in_universe(es.score_crossings(b).select("ticker", "date"), uni.top_by_cap(_month_caps(spark, sf), 50))
+    return st.blocked_per_year(signals, ev.level_regime(star.benchmark(b)))
 
 
 MOMENTS = """SELECT count(r) AS n, avg(r) / stddev_pop(r) AS sr, avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5) AS skew, avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2) AS kurt FROM (
@@ -386,12 +390,12 @@ def _(spark, sf):
     return curve.deflated_sharpe(moments, trials, benchmark_sr=0.01)
 
 
-@query("udf_05_sharpe_z", f"""SELECT sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z FROM ({MOMENTS})""", d="z")
+@query("udf_05_sharpe_z", f"""WITH z AS (SELECT {PSR_Z.format('0')} AS z FROM ({MOMENTS})) SELECT z, {_phi('z / 10')} AS p, z / 10 AS back FROM z""", d="z p back")
 def _(spark, sf):
     m = curve.sharpe_moments(_bench(spark, sf).withColumnRenamed("close", "value"))
     z = stats.sharpe_z(F.col("sr"), F.lit(0.0), F.col("n"), F.col("skew"), F.col("kurt"))
-    # The round trip through both distribution functions must return the statistic.
-    return m.select((stats.normal_quantile(stats.normal_cdf(z / 10)) * 10).alias("z"))
+    # A tenth of the statistic stays off the flat ends of the distribution function.
+    return m.select(z.alias("z"), stats.normal_cdf(z / 10).alias("p"), stats.normal_quantile(stats.normal_cdf(z / 10)).alias("back"))
 
 
 @query("agg_28_timing_cost", """
@@ -443,22 +447,25 @@ def _(spark, sf):
 SELECT count(*) AS n, avg(g) AS mean_gap, avg(same_close_return) AS same_close_mean, avg(trade_return) AS next_open_mean, avg(trade_return - same_close_return) AS mean_delta, avg(CAST(g > 0 AS INT)) AS pct_gap_up FROM (
  SELECT *, entry_price / close - 1 AS g FROM {T} WHERE entry_price IS NOT NULL)""", d="mean_gap same_close_mean next_open_mean mean_delta pct_gap_up", i="n")
 def _(spark, sf):
-    b = has_history(star.bars(spark, sf), 252)
-    same = ev.fixed_hold_trades(b, 63, "same_close").withColumnsRenamed({"entry_price": "same_close_price", "trade_return": "same_close_return"})
-    keep = same.select("ticker", "date", "open", "close", "same_close_price", "same_close_return")
-    both = ev.fixed_hold_trades(keep, 63).withColumnsRenamed({"entry_price": "next_open_price", "trade_return": "next_open_return"})
-    rows = both.join(es.score_crossings(star.bars(spark, sf)).select("ticker", "date"), ["ticker", "date"], "left_semi")
+    rows = _trades(spark, sf).withColumnsRenamed({"same_close_entry_price": "same_close_price", "same_close_trade_return": "same_close_return",
+                                                  "entry_price": "next_open_price", "trade_return": "next_open_return"})
     return st.fill_comparison(rows.where(F.col("next_open_price").isNotNull()))
 
 
-@query("agg_32_oos_audit", """
-SELECT status, count(*) AS n, avg(same_close_return) AS mean_return, avg(CAST(same_close_return > 0 AS INT)) AS win_rate FROM (
- SELECT t.*, CASE WHEN n_bars - t.pos >= 63 THEN 'CLOSED' ELSE 'OPEN' END AS st FROM trades t JOIN gkept k ON k.ticker = t.ticker AND k.pos = t.pos WHERE t.date >= DATE '1999-01-01') GROUP BY ALL""".replace("SELECT status,", "SELECT st AS status,"),
-       d="mean_return win_rate", i="n")
+AUDIT = """
+SELECT t.ticker, t.date, t.same_close_return AS r, CASE WHEN n_bars - t.pos >= 63 THEN 'CLOSED' ELSE 'OPEN' END AS status
+FROM trades t JOIN gkept k ON k.ticker = t.ticker AND k.pos = t.pos WHERE t.date >= DATE '1999-01-01' AND t.same_close_return IS NOT NULL"""
+
+
+@query("agg_32_oos_audit", f"""
+WITH a AS ({AUDIT}), g AS (SELECT status, count(*) AS n, avg(r) AS mean_return, quantile_cont(r, CAST(0.5 AS DOUBLE)) AS median_return, avg(CAST(r > 0 AS INT)) AS win_rate,
+ max(struct_pack(r := r, t := ticker, d := date)) AS b, min(struct_pack(r := r, t := ticker, d := date)) AS w FROM a GROUP BY 1)
+SELECT status, n, mean_return, median_return, win_rate, b.t AS best_ticker, b.d AS best_date, b.r AS best_return, w.t AS worst_ticker, w.d AS worst_date, w.r AS worst_return,
+ 0.223 AS random_baseline, 0.492 AS high_baseline, mean_return - CAST(0.223 AS DOUBLE) AS vs_random, mean_return - CAST(0.492 AS DOUBLE) AS vs_high,
+ CASE WHEN coalesce((SELECT n FROM g WHERE status = 'CLOSED'), 0) < 5 THEN 'TOO FEW' WHEN (SELECT mean_return FROM g WHERE status = 'CLOSED') > CAST(0.223 AS DOUBLE) THEN 'SUPPORTS' ELSE 'CONTRADICTS' END AS verdict FROM g""",
+       d="mean_return median_return win_rate best_return worst_return random_baseline high_baseline vs_random vs_high", i="n")
 def _(spark, sf):
-    t = es.audit_trades(star.bars(spark, sf), star.facts(spark, sf), "1999-01-01", 63)
-    return t.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.avg("trade_return").alias("mean_return"),
-                                   F.avg((F.col("trade_return") > 0).cast("double")).alias("win_rate"))
+    return es.audit_report(es.audit_trades(star.bars(spark, sf), star.facts(spark, sf), "1999-01-01", 63))
 
 
 @query("agg_33_market_context", """
@@ -505,31 +512,42 @@ def _(spark, sf):
     return st.robustness_verdict(st.per_year(one, star.bars(spark, sf), "alt_n", "alt_per_year").drop("alt_n"))
 
 
-@query("agg_37_exit_styles", """
-SELECT avg(c.f252) AS fixed_252, avg(c.f126) AS fixed_126, avg(a.ret) AS atr_trail, count(*) AS n FROM (
- SELECT ticker, entry_date, max(ratio) FILTER (WHERE day = 252) - 1 AS f252, max(ratio) FILTER (WHERE day = 126) - 1 AS f126 FROM paths GROUP BY 1, 2) c
-JOIN (SELECT ticker, entry_date, coalesce(arg_min(ratio, day) FILTER (WHERE close < stop), arg_max(ratio, day)) - 1 AS ret FROM (SELECT *, coalesce(last_value(lvl IGNORE NULLS) OVER (PARTITION BY ticker, entry_date ORDER BY day), entry_price - 3 * entry_atr) AS stop FROM (
-  SELECT *, CASE WHEN close > greatest(entry_price, coalesce(max(close) OVER (PARTITION BY ticker, entry_date ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), entry_price)) AND atr IS NOT NULL THEN close - 3 * atr END AS lvl FROM paths)) GROUP BY 1, 2) a
- ON a.ticker = c.ticker AND a.entry_date = c.entry_date""", d="fixed_252 fixed_126 atr_trail", i="n")
-def _(spark, sf):
-    paths = _paths(spark, sf)
-    fixed = paths.groupBy("ticker", "entry_date").agg(*[F.max(F.when(F.col("day") == h, F.col("ratio") - 1)).alias(f"f{h}") for h in (126, 252)])
-    both = fixed.join(exits.atr_trailing_exit(paths), ["ticker", "entry_date"])
-    return both.agg(F.avg("f252").alias("fixed_252"), F.avg("f126").alias("fixed_126"), F.avg("atr_ret").alias("atr_trail"), F.count(F.lit(1)).alias("n"))
+EPATHS = """(SELECT e.ticker, e.date AS entry_date, b.pos - e.pos AS day, b.close, b.close / e.close AS ratio, e.close AS entry_price, b.atr_14 AS atr, e.atr_14 AS entry_atr
+ FROM entry_all e JOIN entry_all b ON b.ticker = e.ticker AND b.pos BETWEEN e.pos + 1 AND e.pos + 252 WHERE e.n_bars >= 200 AND e.composite_score >= CAST(0.65 AS DOUBLE) AND e.pos + 252 <= e.n_bars)"""
 
 
-@query("agg_38_spread_deltas", f"SELECT a.*, high_mean - low_mean AS spread, high_mean - low_mean - (SELECT high_mean - low_mean FROM ({ABL}) WHERE disabled = 'none') AS delta FROM ({ABL}) a",
-       d="high_mean low_mean spread delta", i="high_n low_n")
+@query("agg_37_exit_styles", f"""
+WITH p AS {EPATHS} SELECT avg(c.f252) AS fixed_252, avg(c.f126) AS fixed_126, avg(a.ret) AS atr_trail, count(*) AS n FROM (
+ SELECT ticker, entry_date, max(ratio) FILTER (WHERE day = 252) - 1 AS f252, max(ratio) FILTER (WHERE day = 126) - 1 AS f126 FROM p GROUP BY 1, 2) c
+JOIN (SELECT ticker, entry_date, coalesce(arg_min(ratio, day) FILTER (WHERE close < stop), arg_max(ratio, day)) - 1 AS ret FROM (SELECT *, coalesce(last_value(lvl IGNORE NULLS) OVER (PARTITION BY ticker, entry_date ORDER BY day), entry_price - 3 * entry_atr) AS stop FROM (
+  SELECT *, CASE WHEN close > greatest(entry_price, coalesce(max(close) OVER (PARTITION BY ticker, entry_date ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), entry_price)) AND atr IS NOT NULL THEN close - 3 * atr END AS lvl FROM p)) GROUP BY 1, 2) a
+ ON a.ticker = c.ticker AND a.entry_date = c.entry_date""", d="fixed_252 fixed_126 atr_trail", i="n")
 def _(spark, sf):
-    return st.spread_deltas(st.ablation(_study(spark, sf, False), tiers.RECOVERY_WEIGHTS, "fwd_63", 0.60, 0.35))
+    return exits.exit_styles(es.entry_paths(star.bars(spark, sf)))
 
 
-@query("agg_03_entry_ablation", """
+def _entry_ablation_sql(h: int) -> str:
+    return f"""
 SELECT d.disabled, avg(f) FILTER (WHERE c >= CAST(0.65 AS DOUBLE)) AS high_mean, avg(f) FILTER (WHERE c < CAST(0.35 AS DOUBLE)) AS low_mean, count(*) FILTER (WHERE c >= CAST(0.65 AS DOUBLE)) AS high_n, count(*) FILTER (WHERE c < CAST(0.35 AS DOUBLE)) AS low_n FROM (
  SELECT d.disabled, f, CAST(0.3 AS DOUBLE) * CASE WHEN d.disabled = 'trend' THEN 0.5 ELSE trend_score END + CAST(0.3 AS DOUBLE) * CASE WHEN d.disabled = 'momentum' THEN 0.5 ELSE momentum_score END
    + CAST(0.2 AS DOUBLE) * CASE WHEN d.disabled = 'volume' THEN 0.5 ELSE volume_score END + CAST(0.2 AS DOUBLE) * CASE WHEN d.disabled = 'rsi' THEN 0.5 ELSE rsi_score END AS c
- FROM (SELECT *, lead(close, 63) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS f FROM entry_all), (VALUES ('none'), ('trend'), ('momentum'), ('volume'), ('rsi')) d(disabled) WHERE f IS NOT NULL AND n_bars >= 200) d GROUP BY d.disabled""",
-       d="high_mean low_mean", i="high_n low_n")
+ FROM (SELECT *, lead(close, {h}) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS f FROM entry_all), (VALUES ('none'), ('trend'), ('momentum'), ('volume'), ('rsi')) d(disabled) WHERE f IS NOT NULL AND n_bars >= 200) d GROUP BY d.disabled"""
+
+
+def _entry_ablation(spark, sf, h):
+    rows = ev.forward_returns(ind.entry_scores(has_history(star.bars(spark, sf), 200)), [h])
+    return st.ablation(rows, tiers.ENTRY_WEIGHTS, f"fwd_{h}", 0.65, 0.35, use_gate=False)
+
+
+@query("agg_03_entry_ablation", _entry_ablation_sql(63), d="high_mean low_mean", i="high_n low_n")
+def _(spark, sf):
+    return _entry_ablation(spark, sf, 63)
+
+
+ABL_252 = _entry_ablation_sql(252)
+
+
+@query("agg_38_spread_deltas", f"WITH a AS ({ABL_252}) SELECT a.*, high_mean - low_mean AS spread, high_mean - low_mean - (SELECT high_mean - low_mean FROM a WHERE disabled = 'none') AS delta FROM a",
+       d="high_mean low_mean spread delta", i="high_n low_n")
 def _(spark, sf):
-    rows = ev.forward_returns(ind.entry_scores(has_history(star.bars(spark, sf), 200)), [63])
-    return st.ablation(rows, tiers.ENTRY_WEIGHTS, "fwd_63", 0.65, 0.35, use_gate=False)
+    return st.spread_deltas(_entry_ablation(spark, sf, 252))

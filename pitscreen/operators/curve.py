@@ -88,6 +88,21 @@ def forward_fill(calendar: DataFrame, sparse: DataFrame, value: str) -> DataFram
     return asof_backward(probe, build, ["_all"], "date", "_d", [value]).drop("_all")
 
 
+def aligned(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(ticker, date, close, filled): each instrument on every calendar date between its first and its last bar.
+
+    A missing date takes the close before it, never a later one. Dates are numbered; a bar is repeated as often as the
+    calendar has dates up to the instrument's next bar, so calendar and instruments are never crossed. `calendar` holds
+    the date of every bar.
+    """
+    days = calendar.select("date").distinct()
+    numbered = days.withColumn("_at", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")))  # one row per calendar day
+    placed = bars.select("ticker", "date", "close").join(F.broadcast(numbered), "date")
+    upto = F.coalesce(F.lead("_at").over(Window.partitionBy("ticker").orderBy("date")) - 1, F.col("_at"))
+    runs = placed.withColumn("_upto", upto).select("ticker", "close", F.col("_at").alias("_from"), F.explode(F.sequence("_at", "_upto")).alias("_at"))
+    return runs.join(F.broadcast(numbered), "_at").select("ticker", "date", "close", (F.col("_at") > F.col("_from")).alias("filled"))
+
+
 def money_market_index(calendar: DataFrame, rates: DataFrame) -> DataFrame:
     """Growth of idle cash over calendar gaps: product of (1 + rate)^(gap / 365)."""
     w = Window.partitionBy("_all").orderBy("date")

@@ -12,6 +12,7 @@ from .windows import KEY, TS, ahead, bar_index, by_bar
 
 HOLD_BARS = 252
 HORIZONS = (21, 63, 126, 252)
+TRADE = ("entry_date", "entry_price", "exit_date", "exit_price", "status", "bars_held", "trade_return")
 
 
 def forward_return(h: int, price: str = "close", key: str = KEY, ts: str = TS) -> Column:
@@ -238,6 +239,19 @@ def window_return(requests: DataFrame, bars: DataFrame, start: Column, end: Colu
     return window_returns(requests, bars, {name: (start, end)})
 
 
+def first_bar_after(positions: DataFrame, bars: DataFrame, held: int) -> DataFrame:
+    """positions(ticker, entry_date, ...) with date and close of the first bar on which they have been held for `held`
+    weekdays; positions that never get there are left out."""
+    from ..functions.scalars import business_days
+    # the first weekday held long enough lies within a week of this day, and no bar before it can qualify
+    early = F.date_add("entry_date", held * 7 // 5 - 3)
+    due = F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.date_add(early, i)),
+                               lambda d: business_days(F.col("entry_date"), d) >= held))
+    closes = bars.select("ticker", F.col("date").alias("_date"), F.col("date"), "close")
+    met = asof_probes(positions, closes, ["ticker"], "_date", ["date", "close"], {"_due": (due, "from")})
+    return met.where(F.col("_due").isNotNull()).select(*positions.columns, "_due.date", "_due.close")
+
+
 def case_windows(cases: DataFrame, scored: DataFrame, days: int = 20, buy: float = 0.60) -> DataFrame:
     """cases(ticker, case_date, gate) + best composite and first BUY date within +-days calendar days, its offset,
     and of the last bar up to the case date: drawdown, composite, signal and 63-bar return.

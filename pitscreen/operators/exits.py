@@ -28,7 +28,7 @@ HOLD_MEAN = 0.344
 
 
 def path_arrays(entries: DataFrame, bars: DataFrame, horizon: int = HOLD_BARS, full_only: bool = True, block: int = HOLD_BARS) -> DataFrame:
-    """entries(ticker, date, pos) to (ticker, entry_date, entry_price, entry_atr, ahead[d, c, a, s]).
+    """entries(ticker, date, pos) to (ticker, entry_date, entry_price, entry_atr, entry_score, ahead[d, c, a, s]).
 
     `bars` may carry pos, atr_14 and composite_score. A ticker's history is cut into blocks of `block` bars; an entry
     meets the blocks its path runs through, so no row holds more than horizon + 2 * block bars, however long the history.
@@ -43,7 +43,7 @@ def path_arrays(entries: DataFrame, bars: DataFrame, horizon: int = HOLD_BARS, f
     path = met.groupBy(KEY, "entry_date").agg(F.array_sort(F.flatten(F.collect_list("_bars"))).alias("_path"))
     first = F.col("_path")[0]
     ahead = F.transform(F.slice("_path", 2, horizon), lambda b: F.struct(b["d"].alias("d"), b["c"].alias("c"), b["a"].alias("a"), b["s"].alias("s")))
-    cut = path.select(KEY, "entry_date", first["c"].alias("entry_price"), first["a"].alias("entry_atr"), ahead.alias("ahead"))
+    cut = path.select(KEY, "entry_date", first["c"].alias("entry_price"), first["a"].alias("entry_atr"), first["s"].alias("entry_score"), ahead.alias("ahead"))
     return cut.where((F.col("entry_price") > 0) & (F.size("ahead") >= (horizon if full_only else 1)))
 
 
@@ -208,6 +208,26 @@ def atr_trailing_exit(paths: DataFrame, multiple: float = 3.0) -> DataFrame:
                       F.col("_x").isNotNull().alias("stopped"))
 
 
+def exit_styles(arrays: DataFrame, long: int = HOLD_BARS, short: int = HOLD_BARS // 2, multiple: float = 3.0) -> DataFrame:
+    """One row: mean return of full paths held for `long` and `short` bars, and left by the ATR trailing stop."""
+    at = lambda h: F.avg(F.element_at("ahead", h)["c"] / F.col("entry_price") - 1)
+    fixed = arrays.agg(at(long).alias(f"fixed_{long}"), at(short).alias(f"fixed_{short}"), F.count(F.lit(1)).alias("n"), F.avg(_atr_fold(multiple)).alias("atr_trail"))
+    return fixed
+
+
+def _atr_fold(multiple: float) -> Column:
+    """Return of a path left at the first close below (running high - multiple x ATR), or at its end: one fold."""
+    start = F.struct(F.col("entry_price").alias("top"), (F.col("entry_price") - multiple * F.col("entry_atr")).alias("stop"), F.col("entry_price").alias("x"), F.lit(False).alias("out"))
+
+    def step(acc: Column, bar: Column) -> Column:
+        close = bar["c"]
+        stop = F.when((close > acc["top"]) & bar["a"].isNotNull(), close - multiple * bar["a"]).otherwise(acc["stop"])
+        moved = F.struct(F.greatest(acc["top"], close).alias("top"), stop.alias("stop"), close.alias("x"), holds(close < stop).alias("out"))
+        return F.when(acc["out"], acc).otherwise(moved)
+
+    return F.aggregate("ahead", start, step, lambda acc: acc["x"]) / F.col("entry_price") - 1
+
+
 def triggered_exits(paths: DataFrame, take_profit: float = 0.0, stop_loss: float = 0.0, trailing: float = 0.0,
                     hold_days: int = HOLD_BARS, score_below: float | None = None) -> DataFrame:
     """First trigger of each independent trade; on one day take-profit beats stop, trailing, time and score decay.
@@ -283,14 +303,14 @@ def folded_exits(arrays: DataFrame, modes: Mapping[str, list[tuple]] | None = No
 
 
 def ruled_returns(arrays: DataFrame, holds: Sequence[int], emergency: float = 0.40) -> DataFrame:
-    """(ticker, entry_date, hold, rule, ret) of full paths: rule A leaves after `hold` bars, rule B also on the first
+    """(ticker, entry_date, entry_score, hold, rule, ret) of full paths: rule A leaves after `hold` bars, rule B also on the first
     close at or below 1 - emergency."""
     ratios = F.transform("ahead", lambda b: b["c"] / F.col("entry_price"))
-    base = arrays.select(KEY, "entry_date", ratios.alias("_r")).withColumn("_stop", _first_day(F.col("_r"), at_most=1 - emergency))
+    base = arrays.select(KEY, "entry_date", "entry_score", ratios.alias("_r")).withColumn("_stop", _first_day(F.col("_r"), at_most=1 - emergency))
     rules = [F.struct(F.lit(h).cast("bigint").alias("hold"), F.lit(rule).alias("rule"), day.cast("int").alias("_day")) for h in holds
              for rule, day in (("A", F.lit(h)), ("B", F.least(F.lit(h), F.coalesce("_stop", F.lit(h)))))]
     out = base.withColumn("_x", F.explode(F.array(*rules)))
-    return out.select(KEY, "entry_date", "_x.hold", "_x.rule", (F.element_at("_r", F.col("_x._day")) - 1).alias("ret"))
+    return out.select(KEY, "entry_date", "entry_score", "_x.hold", "_x.rule", (F.element_at("_r", F.col("_x._day")) - 1).alias("ret"))
 
 
 def reason_shares(exits: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -229,10 +229,15 @@ def regime_days(calendar: DataFrame) -> DataFrame:
     return calendar.agg(F.count_if("above_ma").alias("days_above"), F.count_if(~F.col("above_ma")).alias("days_below"))
 
 
-def blocked_per_year(signals: DataFrame) -> DataFrame:
-    """Signals that fell on below-average days, per year; signals carry `above_ma`."""
-    return signals.groupBy(F.year("date").alias("year")).agg(
-        F.count(F.lit(1)).alias("signals"), F.count_if(~F.col("above_ma")).alias("blocked"))
+def blocked_per_year(signals: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Per calendar year: days below the average, signals, and signals that fell on such days. calendar(date, above_ma)
+    has one row per day, also in years without a signal."""
+    year = F.year("date").alias("year")
+    days = calendar.groupBy(year).agg(F.count_if(~F.col("above_ma")).alias("days_below"))
+    marked = signals.select("date").join(F.broadcast(calendar.select("date", "above_ma")), "date")
+    counts = marked.groupBy(year).agg(F.count(F.lit(1)).alias("signals"), F.count_if(~F.col("above_ma")).alias("blocked"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return days.join(counts, "year", "left").select("year", "days_below", none("signals"), none("blocked"))
 
 
 def fill_comparison(trades: DataFrame) -> DataFrame:

@@ -27,6 +27,15 @@ def members_on(membership: DataFrame, day: Column) -> DataFrame:
     return membership.join(F.broadcast(snapshot), "date").select("ticker").distinct()
 
 
+def members_per_day(membership: DataFrame, days: DataFrame) -> DataFrame:
+    """(date, members) for every day: the size of the last snapshot at or before it. Before the first snapshot the
+    membership is unknown, hence NULL and not zero; `members_on` refuses such a day."""
+    sizes = membership.groupBy("date").agg(F.count_distinct("ticker").alias("members"))
+    # Both sides have at most one row per calendar day.
+    one = lambda df: df.withColumn("_all", F.lit(1))
+    return asof_backward(one(days.select("date").distinct()), one(sizes.withColumnRenamed("date", "_since")), ["_all"], "date", "_since", ["members"]).drop("_all")
+
+
 def first_trading_days(calendar: DataFrame) -> DataFrame:
     """calendar(date) to (month, date): the first trading day of every month."""
     return calendar.groupBy(F.trunc("date", "month").alias("month")).agg(F.min("date").alias("date"))
@@ -79,13 +88,17 @@ def in_universe(signals: DataFrame, universe: DataFrame) -> DataFrame:
     return keyed.join(members, ["_month", "ticker"], "left_semi").drop("_month")
 
 
-def size_sweep(caps: DataFrame, sizes: Sequence[int], by: Sequence[str] = ("as_of",)) -> DataFrame:
+def size_sweep(caps: DataFrame, sizes: Sequence[int], by: Sequence[str] = ("as_of",), fixed: DataFrame | None = None) -> DataFrame:
     """The universe at several sizes and in full, as (size, ...) rows. Only the largest size is ranked, so the
-    rank limit still runs before the shuffle; the full universe needs no rank."""
+    rank limit still runs before the shuffle; the full universe needs no rank. `fixed` (ticker) adds the variant of an
+    unchanging list, whatever its caps."""
     labels = F.array(*[F.struct(F.lit(str(s)).alias("size"), F.lit(s).cast("bigint").alias("cap")) for s in sizes])
     ranked = top_by_cap(caps, max(sizes), by).withColumn("_g", F.explode(labels)).where(F.col("cap_rank") <= F.col("_g.cap"))
     everyone = caps.where(F.col("mcap") > 0).withColumn("size", F.lit("full"))
-    return ranked.withColumn("size", F.col("_g.size")).select(everyone.columns).unionByName(everyone)
+    out = ranked.withColumn("size", F.col("_g.size")).select(everyone.columns).unionByName(everyone)
+    if fixed is None:
+        return out
+    return out.unionByName(caps.join(fixed.select("ticker").distinct(), "ticker", "left_semi").withColumn("size", F.lit("fixed")).select(everyone.columns))
 
 
 def membership_sanity(membership: DataFrame, sample: int = 10) -> DataFrame:

@@ -3,12 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import tiers
 from ..functions.guards import holds
 from ..operators import events, exits, indicators
 from ..operators.fundamentals import snapshots_asof, year_end_requests
+from ..operators.ranking import exact_quantiles
 from ..operators.windows import bar_index, has_history
 from ..session import clustered
 from ..sources.star import benchmark
@@ -80,6 +81,15 @@ def crossing_paths(bars: DataFrame, threshold: float = tiers.RECOVERY_BUY, horiz
     return exits.path_arrays(rows.where("crossed"), rows, horizon, full_only)
 
 
+def entry_paths(bars: DataFrame, threshold: float = tiers.ENTRY_BUY, horizon: int = events.HOLD_BARS, full_only: bool = True) -> DataFrame:
+    """Forward path array of every bar whose entry score is in the buy zone."""
+    rows = indicators.entry_scores(has_history(bars, 200)).withColumn("pos", bar_index())
+    if "atr_14" not in rows.columns:
+        rows = indicators.atr(indicators.true_range(rows).withColumn("tr", F.col("true_range")))
+    rows = clustered(rows.select("ticker", "date", "close", "atr_14", "composite_score", "pos"))
+    return exits.path_arrays(rows.where(F.col("composite_score") >= threshold), rows, horizon, full_only)
+
+
 def high_rows(rows: DataFrame, threshold: float = tiers.RECOVERY_BUY) -> DataFrame:
     return rows.where(holds(F.col("gate")) & (F.col("composite_score") >= threshold))
 
@@ -92,11 +102,48 @@ def entry_study_rows(bars: DataFrame, span: int = events.HOLD_BARS) -> DataFrame
     return events.label_by_date(rows, events.slope_regime(benchmark(bars)), "regime")
 
 
+def crossing_trades(bars: DataFrame, hold: int = events.HOLD_BARS, threshold: float = tiers.RECOVERY_BUY) -> DataFrame:
+    """The trade of every score crossing, filled at the next open, and beside it (same_close_*) at the same close.
+
+    Scores, crossings and outcomes are windows over one partitioning and order, so bars are scanned and sorted once;
+    rows are narrowed to the crossings at the end.
+    """
+    rows = has_history(bars, 252)
+    rows = events.fixed_hold_trades(rows, hold, "same_close").withColumnsRenamed({n: f"same_close_{n}" for n in events.TRADE})
+    rows = indicators.recovery_scores(events.fixed_hold_trades(rows, hold)).withColumn("pos", bar_index())
+    rows = events.crossings(rows, F.col("composite_score") >= threshold).where("crossed")
+    return rows.select("ticker", "date", "pos", "close", "composite_score", "drawdown_52w", *events.TRADE, *[f"same_close_{n}" for n in events.TRADE])
+
+
+#: The published in-sample means that out-of-sample results are held against.
+IN_SAMPLE_RANDOM, IN_SAMPLE_HIGH = 0.223, 0.492
+
+
 def audit_trades(bars: DataFrame, facts: DataFrame, start: str, hold: int = events.HOLD_BARS) -> DataFrame:
-    """Out-of-sample audit: gated crossings, thinned to one per holding period over the whole
-    history, then the trades that start in the audit window."""
-    bars = clustered(bars)
-    entries = events.suppress_within(buy_crossings(bars, facts), hold).select("ticker", "date", "composite_score", "drawdown_52w")
-    trades = events.fixed_hold_trades(bars, hold, "same_close").drop("open", "high", "low", "volume")
-    kept = entries.where(F.col("date") >= F.lit(start).cast("date"))
-    return trades.join(kept, ["ticker", "date"])
+    """Out-of-sample audit: gated crossings, thinned to one per holding period over the whole history, then the trades
+    that start in the audit window. Scores, gate and outcomes ride on one pass over the bars."""
+    rows = events.fixed_hold_trades(has_history(bars, 252), hold, "same_close")
+    rows = indicators.recovery_scores(rows).withColumn("pos", bar_index())
+    rows = with_yearly_gate(rows, yearly_gates(bars, facts))
+    rows = events.crossings(rows, (F.col("composite_score") >= tiers.RECOVERY_BUY) & F.col("gate")).where("crossed")
+    rows = rows.select("ticker", "date", "pos", "composite_score", "drawdown_52w", *events.TRADE)
+    return events.suppress_within(rows, hold).where(F.col("date") >= F.lit(start).cast("date"))
+
+
+def audit_report(trades: DataFrame, enough: int = 5) -> DataFrame:
+    """Per status (CLOSED, OPEN): count, mean, median, share of winners, best and worst trade, the in-sample baselines and
+    the distance to them; on every row the verdict of the closed ones: TOO FEW below `enough`, else SUPPORTS or CONTRADICTS."""
+    r = F.col("trade_return")
+    known = trades.where(r.isNotNull())
+    extreme = lambda pick: pick(F.struct(r.alias("ret"), "ticker", "date"))
+    base = known.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean_return"), F.avg((r > 0).cast("double")).alias("win_rate"),
+                                       extreme(F.max).alias("_b"), extreme(F.min).alias("_w"))
+    out = base.join(exact_quantiles(known, ["status"], "trade_return", {"median_return": 0.5}), "status")
+    side = lambda c, name: [F.col(f"{c}.ticker").alias(f"{name}_ticker"), F.col(f"{c}.date").alias(f"{name}_date"), F.col(f"{c}.ret").alias(f"{name}_return")]
+    out = out.select("status", "n", "mean_return", "median_return", "win_rate", *side("_b", "best"), *side("_w", "worst"))
+    out = out.withColumns({"random_baseline": F.lit(IN_SAMPLE_RANDOM), "high_baseline": F.lit(IN_SAMPLE_HIGH),
+                           "vs_random": F.col("mean_return") - IN_SAMPLE_RANDOM, "vs_high": F.col("mean_return") - IN_SAMPLE_HIGH})
+    both = Window.partitionBy(F.lit(1))  # two rows
+    closed = lambda c: F.max(F.when(F.col("status") == "CLOSED", F.col(c))).over(both)
+    return out.withColumn("verdict", F.when(F.coalesce(closed("n"), F.lit(0)) < enough, "TOO FEW")
+                          .when(closed("mean_return") > IN_SAMPLE_RANDOM, "SUPPORTS").otherwise("CONTRADICTS"))

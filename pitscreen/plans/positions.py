@@ -1,10 +1,11 @@
 """Life of positions: open, remind, exit, close, report."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.scalars import business_days, expected_return, percentile_step, return_zone
 from ..operators.asof import asof_backward
+from ..sources.sinks import write_run
 
 EXIT_DAYS = 252
 REMIND_FROM = 222
@@ -72,15 +73,21 @@ def valuation(holdings: DataFrame) -> DataFrame:
         "alert_up_pct": F.coalesce("alert_up_pct", F.lit(20.0)), "alert_down_pct": F.coalesce("alert_down_pct", F.lit(10.0))})
 
 
-def run_summary(screened: DataFrame, changes: DataFrame, checked: DataFrame) -> DataFrame:
-    """One row of run counters; three one-row aggregates side by side."""
-    from ..operators.studies import side_by_side
-    a = screened.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("signal") == "BUY").alias("buys"),
-                     F.count_if(F.col("signal") == "VETO").alias("vetoed"))
-    b = changes.agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("NEW", "CONTINUING", "DROPPED")])
-    c = checked.agg(F.count_if(F.col("alert") == "EXIT").alias("exits"), F.count_if(F.col("alert") == "REMINDER").alias("reminders"),
-                    F.count(F.lit(1)).alias("positions"))
-    return side_by_side(a, b, c)
+def observed_run(path: str, screened: DataFrame, changes: DataFrame, checked: DataFrame) -> DataFrame:
+    """Write the outputs of a run below `path` and return one row of its counters.
+
+    The counters are observed while the rows pass on their way to the files, so they cost no job and no second scan;
+    they are those of the successful write. The tables need a day column `as_of`.
+    """
+    spark = screened.sparkSession
+    counted = {
+        "screen": (screened, [F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("signal") == "BUY").alias("buys"), F.count_if(F.col("signal") == "VETO").alias("vetoed")]),
+        "changes": (changes, [F.count_if(F.col("status") == s).alias(s.lower()) for s in ("NEW", "CONTINUING", "DROPPED")]),
+        "exits": (checked, [F.count_if(F.col("alert") == "EXIT").alias("exits"), F.count_if(F.col("alert") == "REMINDER").alias("reminders"), F.count(F.lit(1)).alias("positions")])}
+    seen = {name: Observation(name) for name in counted}
+    write_run(path, **{name: rows.observe(seen[name], *counters) for name, (rows, counters) in counted.items()})
+    found = {k: v for o in seen.values() for k, v in o.get.items()}
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} bigint" for k in found))
 
 
 def benchmark_relative(positions: DataFrame, calendar: DataFrame, accrual: DataFrame, end: str = "end_date") -> DataFrame:

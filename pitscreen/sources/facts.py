@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.guards import number
 from ..operators.fundamentals import CONCEPTS, SHARE_CONCEPTS
@@ -63,6 +63,19 @@ def vendor_statements(documents: DataFrame, json: str = "json") -> DataFrame:
     return out.where(F.col("revenue").isNotNull())
 
 
+def write_by_concept(facts: DataFrame, path: str) -> None:
+    """Facts in one folder per concept; rows of a concept are spread over tasks, so a common one is several files."""
+    facts.hint("rebalance", "concept").write.mode("overwrite").partitionBy("concept").parquet(path)
+
+
+def read_concepts(spark: SparkSession, path: str, wanted: Sequence[str] | DataFrame) -> DataFrame:
+    """Stored facts of some concepts: names prune the folders while planning, a table (concept) when the job runs."""
+    stored = spark.read.parquet(path)
+    if isinstance(wanted, DataFrame):
+        return stored.join(wanted.select("concept").distinct(), "concept", "left_semi")
+    return stored.where(F.col("concept").isin(list(wanted)))
+
+
 def first_alias(label: Column, value: Column, names: Sequence[str]) -> Column:
     """Aggregate: the value of the first listed label that is present and not null."""
     place = F.array_position(F.array(*[F.lit(n) for n in names]), label)

@@ -1,7 +1,7 @@
 """Index-membership and rate files."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.guards import number
 from ..functions.scalars import split_list
@@ -32,9 +32,28 @@ def members_by_add_date(constituents: DataFrame, as_of: Column) -> DataFrame:
     return constituents.withColumn("_d", added).where(F.col("_d").isNull() | (F.col("_d") <= as_of)).select("symbol")
 
 
+CORRUPT = "_corrupt"
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file or folder of text columns named by its header; a line with too few or too many fields keeps its text in `_corrupt`."""
+    reader = spark.read.option("header", True)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).schema(schema).csv(path)
+
+
+def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a CSV file that its reader leaves out."""
+    rows = _csv(spark, path)
+    # Spark refuses a query of this column alone, which would parse no field
+    return rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), F.col(rows.columns[0]).alias("first"))
+
+
 def read_constituents(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.option("header", True).csv(path)
-    return df.select(F.col("Symbol").alias("symbol"), F.col("Date added").alias("date_added"))
+    """(symbol, date_added) of a constituents file with the columns `Symbol` and `Date added`, among others."""
+    rows = _csv(spark, path).where(F.col(CORRUPT).isNull() & F.col("Symbol").isNotNull())
+    return rows.select(F.col("Symbol").alias("symbol"), F.col("Date added").alias("date_added"))
 
 
 def rate_rows(raw: DataFrame) -> DataFrame:
@@ -44,6 +63,6 @@ def rate_rows(raw: DataFrame) -> DataFrame:
 
 
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.option("header", True).csv(path)
-    day, value = df.columns[:2]
-    return rate_rows(df.select(F.col(day).alias("date"), F.col(value).alias("percent")))
+    """(date, rate) of a rates file: its first two columns, a date and a percentage."""
+    rows = _csv(spark, path).where(F.col(CORRUPT).isNull())
+    return rate_rows(rows.select(F.col(rows.columns[0]).alias("date"), F.col(rows.columns[1]).alias("percent")))

@@ -10,10 +10,14 @@ from ..session import scratch_path
 IMMUTABLE_AFTER_DAYS = 120
 
 
-def write_daily(df: DataFrame, path: str, by: str = "as_of") -> None:
+def write_daily(df: DataFrame, path: str, by: str = "as_of", tasks: int | None = None) -> None:
     """Replace only the days present in `df`; other days stay as they are.
-    Rows are rebalanced by day first: few files per day, and a large day is split over tasks."""
-    (df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path))
+
+    Rows are rebalanced by day first: few files per day, and a large day is split over tasks. A backfill of many
+    small days gives `tasks`: then each day is one file and that many tasks write them, where rebalancing by size
+    would leave all to a few."""
+    dealt = df.hint("rebalance", by) if tasks is None else df.repartition(tasks, by)
+    (dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -54,6 +58,26 @@ def refresh_cap_grid(requests: DataFrame, existing: DataFrame, today: Column, co
     return keep.select("ticker", "as_of", "mcap").unionByName(fresh.select("ticker", "as_of", "mcap"))
 
 
+def refresh_stored_grid(spark: SparkSession, path: str, requests: DataFrame, today: Column, compute: Callable[[DataFrame], DataFrame]) -> None:
+    """Bring the cap grid stored at `path`, partitioned by month, up to date: what is final and stored stays as it is,
+    everything else that is asked for is computed and replaces its stored version. Months without such rows are not
+    rewritten. `compute` maps requests(ticker, as_of) to the same rows with `mcap`."""
+    schema = "ticker string, as_of date, mcap double, month date"
+    existing = spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    fresh = append_missing_caps(requests.select("ticker", "as_of").distinct(), existing, today, compute)
+    fresh = fresh.select("ticker", "as_of", F.col("mcap").cast("double").alias("mcap"), F.trunc("as_of", "month").alias("month"))
+    beside = scratch_path(spark, "grid")
+    fresh.write.parquet(beside)      # computed once; merging reads it several times
+    merge_by_key(spark.read.schema(schema).parquet(beside), path, ["ticker", "as_of"], "month")
+
+
+def write_run(path: str, by: str = "as_of", tasks: int | None = None, **outputs: DataFrame) -> None:
+    """The outputs of daily runs (alerts, exits, state, ...), each a table of its own below `path`, one partition per day;
+    running a day again replaces that day. For `tasks` see `write_daily`."""
+    for name, rows in outputs.items():
+        write_daily(rows, f"{path}/{name}", by, tasks)
+
+
 def recent_alerts(spark: SparkSession, path: str, today: Column, days: int = 30) -> DataFrame:
     """Stored alerts of the last days, newest first. The filter prunes partitions by day, or by
     month where the store is partitioned by `month`."""

@@ -133,19 +133,21 @@ def crossings(df: DataFrame, in_buy: Column, key: str = KEY, ts: str = TS) -> Da
 def suppress_within(entries: DataFrame, gap: int = HOLD_BARS, position: str = "pos", key: str = KEY) -> DataFrame:
     """Greedy thinning: drop entries fewer than `gap` bars after the last kept one.
 
-    Only the positions of a ticker's entries are gathered (calendar-bounded,
-    usually tens), folded once, and joined back as keys.
+    The entries of a ticker (calendar-bounded, usually tens; pass narrow rows) are gathered and folded once, in one
+    exchange by ticker; nothing is joined back.
     """
-    state = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(None).cast("bigint").alias("last"))
-
-    def step(acc: Column, p: Column) -> Column:
-        take = acc["last"].isNull() | (p - acc["last"] >= gap)
-        return F.struct(F.when(take, F.concat(acc["kept"], F.array(p))).otherwise(acc["kept"]).alias("kept"),
-                        F.when(take, p).otherwise(acc["last"]).alias("last"))
-
-    places = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.col(position).cast("bigint"))).alias("_p"))
-    kept = places.select(key, F.explode(F.aggregate("_p", state, step, lambda acc: acc["kept"])).alias(position))
-    return entries.join(kept, [key, position], "left_semi")
+    row = F.struct(F.col(position).cast("bigint").alias("_p"), F.struct(*entries.columns).alias("_row"))
+    gathered = entries.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_all"))
+    nothing = F.filter("_all", lambda x: F.lit(False))
+
+    def step(acc: Column, x: Column) -> Column:
+        take = acc["last"].isNull() | (x["_p"] - acc["last"] >= gap) | (x["_p"] == acc["last"])   # rows of a kept bar stay together
+        return F.struct(F.when(take, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"),
+                        F.when(take, x["_p"]).otherwise(acc["last"]).alias("last"))
+
+    start = F.struct(nothing.alias("kept"), F.lit(None).cast("bigint").alias("last"))
+    kept = gathered.select(F.explode(F.aggregate("_all", start, step, lambda acc: acc["kept"])).alias("_k"))
+    return kept.select("_k._row.*")
 
 
 def hash_sample(ticker: Column, day: Column, seed: int = 42, one_in: int = 10) -> Column:

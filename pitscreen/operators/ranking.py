@@ -68,24 +68,27 @@ def bin_of(value: Column) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v) * SCALE) * COARSE * 64)
 
 
-def quantile_summary(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], sums: Mapping[str, Column] | None = None) -> DataFrame:
+def quantile_summary(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], sums: Mapping[str, Column] | None = None,
+                     extremes: Mapping[str, tuple[Column, str]] | None = None) -> DataFrame:
     """Per group: the linearly interpolated quantiles of the non-null values, and totals over all its rows.
 
     Selection instead of ranking: one aggregate by distinct value yields the totals and a histogram together; running
     totals over the histogram (a row per bin) tell which bins hold a wanted place, and only those bins are opened and
-    sorted. No value outside them is ranked or joined. `sums` are numbers to be added up per group.
+    sorted. No value outside them is ranked or joined. `sums` are numbers to be added up per group, `extremes` anything
+    with an order, of which "max" or "min" is kept.
     """
-    sums = dict(sums or {})
     if not keys:
-        return quantile_summary(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, sums).drop("_all")
+        return quantile_summary(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, sums, extremes).drop("_all")
     keys = list(keys)
-    values = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    fold = {n: F.sum for n in sums or {}} | {n: getattr(F, how) for n, (_, how) in (extremes or {}).items()}
+    sums = dict(sums or {}) | {n: c for n, (c, _) in (extremes or {}).items()}
+    values = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), *[fold[n](c).alias(f"_t_{n}") for n, c in sums.items()])
     binned = values.withColumn("_bin", bin_of(F.col("_v")))
     of_key, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     known = F.when(F.col("_bin").isNotNull(), F.col("_c"))
-    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"), *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in sums])
+    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"), *[fold[n](f"_t_{n}").alias(f"_t_{n}") for n in sums])
     bins = bins.withColumns({"_n": F.coalesce(F.sum(known).over(of_key), F.lit(0)), "_below": F.coalesce(F.sum(known).over(before), F.lit(0)),
-                             "_turn": F.row_number().over(of_key.orderBy("_bin")), **{n: F.sum(f"_t_{n}").over(of_key) for n in sums}})
+                             "_turn": F.row_number().over(of_key.orderBy("_bin")), **{n: fold[n](f"_t_{n}").over(of_key) for n in sums}})
     places = {}
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("_n") - 1)

@@ -9,7 +9,7 @@ from ..functions import tiers
 from ..functions.guards import holds
 from ..operators import events, exits, indicators
 from ..operators.fundamentals import snapshots_asof, year_end_requests
-from ..operators.ranking import exact_quantiles
+from ..operators.ranking import quantile_summary
 from ..operators.windows import bar_index, has_history
 from ..session import clustered
 from ..sources.star import benchmark
@@ -135,10 +135,10 @@ def audit_report(trades: DataFrame, enough: int = 5) -> DataFrame:
     the distance to them; on every row the verdict of the closed ones: TOO FEW below `enough`, else SUPPORTS or CONTRADICTS."""
     r = F.col("trade_return")
     known = trades.where(r.isNotNull())
-    extreme = lambda pick: pick(F.struct(r.alias("ret"), "ticker", "date"))
-    base = known.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean_return"), F.avg((r > 0).cast("double")).alias("win_rate"),
-                                       extreme(F.max).alias("_b"), extreme(F.min).alias("_w"))
-    out = base.join(exact_quantiles(known, ["status"], "trade_return", {"median_return": 0.5}), "status")
+    mark = F.struct(r.alias("ret"), "ticker", "date")
+    sums = {"n": F.lit(1).cast("long"), "_sum": r, "_won": (r > 0).cast("double")}
+    found = quantile_summary(known, ["status"], "trade_return", {"median_return": 0.5}, sums, {"_b": (mark, "max"), "_w": (mark, "min")})
+    out = found.withColumns({"mean_return": F.col("_sum") / F.col("n"), "win_rate": F.col("_won") / F.col("n")})
     side = lambda c, name: [F.col(f"{c}.ticker").alias(f"{name}_ticker"), F.col(f"{c}.date").alias(f"{name}_date"), F.col(f"{c}.ret").alias(f"{name}_return")]
     out = out.select("status", "n", "mean_return", "median_return", "win_rate", *side("_b", "best"), *side("_w", "worst"))
     out = out.withColumns({"random_baseline": F.lit(IN_SAMPLE_RANDOM), "high_baseline": F.lit(IN_SAMPLE_HIGH),

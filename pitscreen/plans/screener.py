@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tiers
 from ..operators import indicators, universe, veto
-from ..operators.fundamentals import snapshots_asof
+from ..operators.fundamentals import PUBLICATION_LAG, snapshots_asof
 from ..operators.windows import by_bar, has_history
 from .event_study import gate_of
 
@@ -15,8 +15,8 @@ ROW = ["as_of", "ticker", "current_price", "high_52w", "drawdown_pct", "dip_scor
 
 def daily_universe(membership: DataFrame, bars: DataFrame, facts: DataFrame, as_of: Column, n: int = 100) -> DataFrame:
     """The n largest members by point-in-time market cap, as (ticker, as_of, mcap, cap_rank)."""
-    requests = universe.members_on(membership, as_of).withColumn("as_of", as_of)
-    return universe.top_by_cap(universe.market_caps(requests, bars, facts), n)
+    members = universe.members_on(membership, as_of)
+    return universe.top_by_cap(universe.market_caps_on(members, bars, facts, as_of), n)
 
 
 def latest_scored(bars: DataFrame, as_of: Column, min_bars: int = 252) -> DataFrame:
@@ -30,7 +30,8 @@ def screen(bars: DataFrame, facts: DataFrame, filings: DataFrame, membership: Da
     """One row per screened ticker with BUY / WATCH / SKIP / VETO / INSUFFICIENT_DATA."""
     members = daily_universe(membership, bars, facts, as_of, n).select("ticker", "as_of")
     last = latest_scored(bars.join(members.select("ticker"), "ticker", "left_semi"), as_of)
-    gates = gate_of(snapshots_asof(members, facts)).select("ticker", "as_of", "gate")
+    public = facts.where(F.col("filed") <= F.date_sub(as_of, PUBLICATION_LAG))   # later ones cannot matter on this day
+    gates = gate_of(snapshots_asof(members, public)).select("ticker", "as_of", "gate")
     rows = last.join(gates, "ticker").withColumns({
         "current_price": F.col("close"), "high_52w": F.coalesce("high_52w", "close"),
         "drawdown_pct": F.coalesce("drawdown_52w", F.lit(0.0)),

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from pitscreen.llm import textnum
 from pitscreen.llm.common import as_long, buffers, chunks, stored, utf8
 from pitscreen.llm.graph import components
+from pitscreen.llm.skew import salted_join
 
 SKETCH_BITS = 24
 PART_BITS = 16
@@ -55,7 +56,7 @@ def _count_parts(size: int, bits: int):
 
         def pour():
             nonlocal waiting, held
-            if waiting:
+            if held:   # texts without words have no shingle to count
                 bins = np.sort((np.concatenate(waiting) >> np.uint64(64 - bits)).astype(np.uint32))
                 first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
                 bins, more = bins[first], np.diff(first, append=len(bins))
@@ -255,20 +256,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denomin
     sent = sides.join(texts, "block").select("a", "b", "doc_id", "copies", "text", "block").repartition("a", "b").sortWithinPartitions("a", "b", "doc_id")
     links = stored(sent.mapInArrow(_verify(size, numerator, denominator), "rep long, root long, links long"), "links")
 
-    copied = classes.filter("copies > 1").select("n", "ph", "s1", "s2", "rep", "copies")
-    out = (rows.drop("prefix", "bits").join(copied, ["n", "ph", "s1", "s2"], "left")
-           .withColumn("rep", F.coalesce("rep", "doc_id")).withColumn("copies", F.coalesce("copies", F.lit(1)))
-           .join(links.groupBy(F.col("rep")).agg(F.sum("links").alias("links")), "rep", "left"))
-    versions = known.join(copied, ["n", "ph", "s1", "s2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # what a class's members share is put together per class; only then do the rows, of which one class may have most, meet it
+    known_of = classes.select("n", "ph", "s1", "s2", "rep", "copies").join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
+    out = stored(salted_join(rows.select("n", "ph", "s1", "s2", "doc_id"), known_of, ["n", "ph", "s1", "s2"], "left").select("doc_id", "n", "rep", "copies", "links"), "members")
+    versions = out.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     edges = links.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(versions)
     found = components(edges).withColumnRenamed("node", "doc_id")
     return (out.join(found, "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")))
 
 
 def one_per_component(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component, all columns kept; rows with a null doc_id stay."""
-    found = near_duplicates(docs, size, numerator, denominator)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """One row of `docs` for each component of near copies, all columns kept: that with the smallest doc_id, then digest.
+
+    Rows are judged by (doc_id, text): of two rows with one doc_id only the one that is a copy goes, and rows that repeat
+    both are one. Rows with a null doc_id stay; texts without words are copies of nothing; very long texts are compared
+    whole; an empty table gives an empty result.
+    """
+    key = F.xxhash64(as_long("doc_id"), utf8())
+    rows = stored(docs.filter("doc_id is not null").select(key.alias("__key"), as_long("doc_id").alias("__id")), "keys")
+    found = near_duplicates(docs.filter("doc_id is not null").select(key.alias("doc_id"), "text"), size, numerator, denominator)
+    found = stored(found.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__component")).distinct(), "found")
+    named = rows.groupBy("__key").agg(F.min("__id").alias("__id"), F.count("*").alias("__times"))
+    first = named.join(found, "__key").groupBy("__component").agg(F.min(F.struct("__id", "__key")).alias("__first"))
+    kept = stored(first.select("__first.__key").join(named.select("__key", "__times"), "__key"), "kept")
+    keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), key))
+    once = keyed.join(kept.filter("__times = 1").select("__key"), "__key", "left_semi").unionByName(keyed.filter("doc_id is null"))
+    again = keyed.join(kept.filter("__times > 1").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(again).select(docs.columns)

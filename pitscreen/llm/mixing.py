@@ -55,7 +55,7 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 def position(middle: Column, target: Column, slope: Column) -> Column:
     """The time at which a source's demand, target * ((1 - slope) * t + slope * t * t), reaches `middle`."""
-    share = middle / target
+    share = F.least(middle / target, F.lit(1.0))   # the limit may lie half a word beyond the target
     keep = F.lit(1.0) - slope
     root = F.sqrt(keep * keep + F.lit(4.0) * slope * share)
     return F.when(slope == 0.0, share).otherwise((root - keep) / (F.lit(2.0) * slope))
@@ -71,8 +71,9 @@ def schedule(sized: DataFrame) -> DataFrame:
 
     A null source is a source of its own, null doc_ids share one place in their source's stream,
     repeated rows are separate rows, an empty table gives an empty result. Copies of a source's documents
-    are taken in the order of its stream, epoch after epoch, up to the rounded target: all are whole but
-    the one that crosses it, which is cut there, so a source's taken words are its rounded target.
+    are taken whole, in the order of its stream, epoch after epoch, up to the rounded target. The one copy that
+    crosses it is taken or left, whichever is nearer, so a source's taken words miss the target by half that
+    document at most. Very long texts are counted whole.
     """
     sized = sized.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     sized = stored(sized.withColumn("part", F.substring("digest", 1, DIGITS)), "sizes")
@@ -85,20 +86,24 @@ def schedule(sized: DataFrame) -> DataFrame:
     rows = sized.withColumn("run", F.sum("size").over(within) - F.col("size"))
     rows = rows.join(parts, rows["source"].eqNullSafe(parts["__source"]) & (rows["part"] == parts["__part"]))
     rows = rows.withColumn("start", F.col("base") + F.col("run")).withColumn("limit", F.floor(F.col("target") + F.lit(0.5)))
-    each = [copy_words(F.lit(e)) for e in range(MOST_REPEATS)]
-    copies = sum((F.col("start") + F.lit(e) * F.col("source_size") < F.col("limit")).cast("long") for e in range(MOST_REPEATS))
-    rows = rows.withColumn("taken", sum(each)).withColumn("copies", copies)
+    rows = rows.withColumn("copies", sum(is_taken(F.lit(e)).cast("long") for e in range(MOST_REPEATS)))
+    rows = rows.withColumn("taken", F.col("copies") * F.col("size"))
     first = F.when(F.col("copies") > 0, copy_position(F.lit(0)))
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", first.alias("position"), "start", "limit", "slope")
 
 
-def copy_words(copy: Column) -> Column:
-    """The words that a copy of a document adds: all of them, or what is left below the source's limit."""
-    return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("limit") - F.col("start") - copy * F.col("source_size")))
+def copy_start(copy: Column) -> Column:
+    return F.col("start") + copy * F.col("source_size")
+
+
+def is_taken(copy: Column) -> Column:
+    """Whether a copy begins and, for the larger part, lies below the source's limit; of an empty document, whether it begins there."""
+    begins = copy_start(copy) < F.col("limit")
+    return begins & (F.lit(2) * copy_start(copy) + F.col("size") <= F.lit(2) * F.col("limit"))
 
 
 def copy_position(copy: Column) -> Column:
-    middle = (F.col("start") + copy * F.col("source_size")).cast("double") + copy_words(copy).cast("double") / F.lit(2.0)
+    middle = copy_start(copy).cast("double") + F.col("size").cast("double") / F.lit(2.0)
     return position(middle, F.greatest(F.col("target"), F.lit(1.0)), F.col("slope"))
 
 
@@ -106,17 +111,11 @@ def mixture(docs: DataFrame) -> DataFrame:
     """The rows of `docs` in training order, a row as often as it is taken, all columns kept.
 
     Rows that share doc_id and source are scheduled as one document of their joint size. A null text has size 0.
-    The one copy of a source that crosses its target keeps its first words, joined by spaces.
+    Every row keeps its whole text; rows with a null id or source stay rows of their own source. An empty table gives an
+    empty result.
     """
     plan = schedule(sizes(docs).groupBy("doc_id", "source").agg(F.sum("size").alias("size")))
     times = (plan.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-             .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-                     copy_words(F.col("copy")).alias("__words"), copy_position(F.col("copy")).alias("__position")))
+             .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), copy_position(F.col("copy")).alias("__position")))
     found = docs["doc_id"].cast("long").eqNullSafe(times["__id"]) & docs["source"].cast("string").eqNullSafe(times["__source"])
-    out = docs.join(times, found).orderBy("__position", "__id")
-    cut = F.col("__words") < F.col("__size")
-    begin = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("__words").cast("int")), " ")
-    out = out.withColumn("text", F.when(cut, begin).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return docs.join(times, found).orderBy("__position", "__id").select(docs.columns)

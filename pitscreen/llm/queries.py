@@ -68,13 +68,13 @@ WITH sized AS (
   SELECT p.doc_id, p.size, p.start, t.source_size, t.target, t.slope, CAST(floor(t.target + 0.5) AS BIGINT) AS most
   FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 ), copied AS (
-  SELECT *, greatest(0, least(size, most - start)) AS one, greatest(0, least(size, most - start - source_size)) AS two,
-    greatest(0, least(size, most - start - 2 * source_size)) AS three,
-    (CAST(start AS DOUBLE) + CAST(greatest(0, least(size, most - start)) AS DOUBLE) / 2.0) / greatest(target, 1.0) AS share
+  SELECT *, (CASE WHEN start < most AND 2 * start + size <= 2 * most THEN 1 ELSE 0 END + CASE WHEN start + source_size < most AND 2 * (start + source_size) + size <= 2 * most THEN 1 ELSE 0 END
+    + CASE WHEN start + 2 * source_size < most AND 2 * (start + 2 * source_size) + size <= 2 * most THEN 1 ELSE 0 END) AS copies,
+    least(CAST(1.0 AS DOUBLE), (CAST(start AS DOUBLE) + CAST(size AS DOUBLE) / 2.0) / greatest(target, 1.0)) AS share
   FROM joined
 )
-SELECT doc_id, size, source_size, target, CAST(one + two + three AS BIGINT) AS taken,
-  CASE WHEN start >= most THEN NULL WHEN slope = 0.0 THEN share
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
+  CASE WHEN copies = 0 THEN NULL WHEN slope = 0.0 THEN share
        ELSE (sqrt((1.0 - slope) * (1.0 - slope) + 4.0 * slope * share) - (1.0 - slope)) / (2.0 * slope) END AS position
 FROM copied
 """

@@ -33,10 +33,11 @@ LONG = 8
 LEAST, SHARE, MOSTLY = 3, 0.5, 0.8
 SALTS = 16                  # parts of a host's substrings when they meet its number of streams
 ARTICLE, OPEN = 1, 2
+TEASER = 3                  # how many times the text of the articles paragraphs beside them must hold to count as well
 
 # Element names of the HTML standard by their role, and usual words in class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style template noscript iframe textarea title svg math canvas object select".split()
+RAW = "script style template noscript iframe textarea title select".split()
 CHROME = frozenset("nav footer aside form menu dialog button fieldset figcaption".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt".split())
 BLOCK = PROSE | CHROME | frozenset("address article body center details div dl figure head header hgroup hr html main ol search section summary table tbody tfoot thead tr ul".split())
@@ -50,12 +51,12 @@ CHROME_WORDS = frozenset("""
 NEUTRAL = frozenset("area bar block body bottom box btn button buttons container content footer header icons inner item items left link links list main menu outer page panel post posts right row section site slot top unit wrap wrapper".split())
 FURNITURE = frozenset("adsense adverts advertisement breadcrumb breadcrumbs comments disqus navbar newsletter pager pagination respond sidebar".split())
 PLAIN = frozenset("div section form".split())
-HEADER_WORDS = frozenset(["header", "masthead", "topbar"])
+HEADER_WORDS = frozenset(["header", "masthead", "topbar", "page-header", "site-header"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|"
-    r"<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"[>\"']")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"""(?:^|[\s/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|\Z)|aria-hidden\s*=\s*["']?true|display:\s*none""", re.I)
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,6 +70,8 @@ def _names_chrome(name: str) -> bool:
 
 
 def _is_chrome(tag: str, attrs: str, in_article: bool) -> bool:
+    """Whether an element is no part of the text. Inside an article the name of a paragraph, a cell or an inline element
+    (a link, a span) says nothing unless it can only mean something else; being hidden always counts."""
     if tag in CHROME:
         return tag != "figcaption" or not in_article
     if not attrs or tag in ("html", "body", "main", "article"):
@@ -77,23 +80,72 @@ def _is_chrome(tag: str, attrs: str, in_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name == "id" and in_article:      # an anchor of the text, unless it can only mean something else
+        if in_article and name == "id":      # an anchor of the text, unless it can only mean something else
             if tag not in PROSE and value in FURNITURE:
                 return True
+        elif in_article and (tag in PROSE or tag not in BLOCK):
+            if name in ("class", "role") and not FURNITURE.isdisjoint(value.split()):
+                return True
         elif name in ("class", "id", "role") and any(map(_names_chrome, value.split())):
             return True
     return False
 
 
 def _is_header(tag: str, attrs: str) -> bool:
-    return tag == "header" or any(n.lower() in ("class", "id", "role") and not HEADER_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", v.strip("\"'").lower())) for n, v in ATTRIBUTE.findall(attrs or ""))
+    """A header element, or a plain container that one of its class, id or role tokens, taken whole, calls a header."""
+    return tag == "header" or tag in PLAIN and any(n.lower() in ("class", "id", "role") and not HEADER_WORDS.isdisjoint(v.strip("\"'").lower().split()) for n, v in ATTRIBUTE.findall(attrs or ""))
+
+
+def _end_of_tag(page: str, at: int) -> int:
+    """The place of the > that ends a tag, outside quoted values; -1 if a quote or the tag never ends."""
+    while found := STOP.search(page, at):
+        if found[0] == ">":
+            return found.start()
+        at = page.find(found[0], found.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
+def pieces(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag name, is an end tag, attributes) of all markup, in page order; comments, declarations and raw
+    elements with their content have no name.
+
+    The scanner only moves forward. Once a tag or a quote in it never ends, quotes mean nothing in the rest of the page,
+    where a tag ends at the next >; so broken markup of any length costs one pass. A last tag without a > is text.
+    """
+    at, quotes = 0, True
+    while (low := page.find("<", at)) >= 0:
+        if page.startswith("<!--", low):
+            high = page.find("-->", low + 4)
+            at = len(page) if high < 0 else high + 3
+            yield low, at, "", False, ""
+            continue
+        name = NAME.match(page, low + 1)
+        if not name and page[low + 1:low + 2] not in ("!", "?"):
+            at = low + 1
+            continue
+        begin = name.end() if name else low + 1
+        high = _end_of_tag(page, begin) if quotes and name else page.find(">", begin)
+        if high < 0 and quotes and name:
+            quotes, high = False, page.find(">", begin)
+        if high < 0:
+            return
+        at = high + 1
+        tag, ends = (name[2].lower(), bool(name[1])) if name else ("", False)
+        if tag in RAW_END:
+            close = None if ends else RAW_END[tag].search(page, at)
+            at = at if ends else close.end() if close else len(page)
+            tag = ""
+        yield low, at, tag, ends, page[begin:high]
 
 
 def page_blocks(page: str) -> list[tuple[str, int]]:
     """(text, ARTICLE or OPEN) of the blocks that the markup does not rule out, in page order.
 
     Character references are decoded, white space inside a block (line breaks too) is one space. If
-    the page has an article (or else a main) element, only what stands in it comes back. A div, section or form
+    the page has an article (or else a main) element, only what stands in it comes back, unless paragraphs outside hold more
+    than TEASER times its text. A div, section or form
     around an article or main that its name calls chrome does not rule it out; if the page has no other article or
     main, that one comes back with what the markup leaves open. A page whose only text stands in forms is that text.
     """
@@ -131,19 +183,17 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
             parts.append(page[low:high])
 
     at = 0
-    for m in PIECE.finditer(page):
-        text_at(at, m.start())
-        at = m.end()
-        tag = m["tag"]
+    for low, high, tag, ends, attrs in pieces(page):
+        text_at(at, low)
+        at = high
         if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
             continue
         if tag in BLOCK:
             close_block()
-        if m["end"]:
+        if ends:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     pop_to(i)
@@ -156,16 +206,16 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
                     break
                 if stack[i][0] in BLOCK:
                     break
-        if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCK:
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         role = ""
-        if _is_chrome(tag, m["attrs"], depth["article"] > 0):
+        if _is_chrome(tag, attrs, depth["article"] > 0):
             role = "chrome"
-            if tag in PLAIN and not depth["article"] and not HIDDEN.search(m["attrs"]):
+            if tag in PLAIN and not depth["article"] and not HIDDEN.search(attrs):
                 role = "form" if tag == "form" else "plain"
-        elif tag == "article" and depth["plain"] and any(n.lower() == "class" and any(map(_names_chrome, v.strip("\"'").lower().split())) for n, v in ATTRIBUTE.findall(m["attrs"])):
+        elif tag == "article" and depth["plain"] and any(n.lower() == "class" and any(map(_names_chrome, v.strip("\"'").lower().split())) for n, v in ATTRIBUTE.findall(attrs)):
             role = "chrome"             # a reader's comment, a related card
-        elif _is_header(tag, m["attrs"]):
+        elif _is_header(tag, attrs):
             role = "header"
         elif tag in ("article", "main"):
             role = tag
@@ -176,7 +226,9 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
             depth[role] += 1
     text_at(at, len(page))
     close_block()
-    if any(b[1] == 1 for b in blocks):
+    inside = sum(len(b[0]) for b in blocks if b[1] == 1)
+    beside = sum(len(b[0]) for b in blocks if b[1] != 1 and b[3])
+    if inside and TEASER * inside >= beside:      # else the article is a teaser beside the page's own prose
         kept = [b for b in blocks if b[1] == 1]
     elif any(b[2] for b in blocks):
         kept = [b for b in blocks if b[2]]
@@ -281,7 +333,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of `pages` (page_id, url, html, any other columns).
 
     A null html is empty and gives an empty text; every row comes back, also a repeated one or one with
-    a null id. Pages with a null url share one host. An empty table gives an empty result.
+    a null id. Long pages are read whole, in one forward pass. Pages with a null url share one host. An empty table gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     parsed = stored(pages.select(as_long("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))

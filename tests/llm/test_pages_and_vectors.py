@@ -40,6 +40,27 @@ def test_everyday_words_in_names_drop_no_text(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<article><table><thead><tr class="header"><th>Name</th></tr></thead><tr><td>x</td></tr></table></article>', "Name\nx"),
+    ('<article><div class="article-header"><p>Lead</p></div><p>b</p></article>', "Lead\nb"),
+    ("<article><p>Let <math><mi>x</mi>=<mn>3</mn></math> hold</p></article>", "Let x=3 hold"),
+    ('<article><p>a <span class="search">find</span> b <a class="related" href="x">c</a></p><p class="notice">d</p></article>', "a find b c\nd"),
+    ('<div><p>The main text of the page is here and it is long.</p></div><article class="teaser"><p>Short.</p></article>', "The main text of the page is here and it is long.\nShort."),
+    ('<article><p>a</p><p class="advertisement">buy</p><div class="notice">n</div></article>', "a"), ("<p>a</p><div class='header'><p>site</p></div>", "a"),
+    ("<p a='unclosed>x</p><p>b</p>", "x\nb"), ("<p title='a>b'>c</p>", "c"), ("<p>x</p><p a=\"1", 'x\n<p a="1'), ("<p>a</p></script><p>b</p><!x", "a\nb\n<!x")])
+def test_text_of_the_article_stays(page, want):
+    assert text_of(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<p a='", '<p a="1" b=\'', "<p a='>' ", "<!-", "<a <b ", "<script", "<p a=\"'\" ", "<div>" * 3, "'<p>"])
+def test_broken_markup_costs_one_pass(piece):
+    import time
+    page = "<p>start</p>" + piece * (1_000_000 // len(piece)) if piece[:5] != "<div>" else "<p>start</p>" + piece * 2000
+    begin = time.process_time()
+    blocks = page_blocks(page)
+    assert blocks[0][0].startswith("start") and time.process_time() - begin < 10
+
+
 def test_host_suffix_array_removes_repeated_runs(spark):
     common = "This site uses many words on each of its pages to say nothing at all"
     pages = [(i, f"https://h.example/{i}", f"<div>{common}</div><div>Unique {i} body text that stands only on page {i} of this host, number {i * 7}</div>", "c", "c") for i in range(6)]

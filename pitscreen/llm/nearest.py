@@ -95,19 +95,23 @@ class Tree:
         out = np.maximum(0.0, np.maximum(self.low - query, query - self.high))
         return np.einsum("ij,ij->i", out, out)
 
-    def within(self, query: np.ndarray, leaves: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """Members (by their place in the order) of the marked leaves within a squared projected distance, nearest first."""
-        apart = self.norms + query @ query - 2.0 * (self.points @ query)
-        members = np.flatnonzero(np.repeat(leaves, self.sizes) & (apart <= reach))
-        members = members[np.argsort(apart[members], kind="stable")]
-        return members, apart[members]
+    def members(self, leaves: np.ndarray) -> np.ndarray:
+        """Places in the order of the members of some leaves."""
+        size = self.sizes[leaves]
+        return np.repeat(self.first[leaves] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+    def apart(self, query: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Squared projected distances of some members from a projected query."""
+        return self.norms[members] + query @ query - 2.0 * (self.points[members] @ query)
 
 
 def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, most: float, query_id: int, query: np.ndarray, projected: np.ndarray, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids and inner products of the k best members found, best first, ties to the smaller id.
 
-    `ids` and `vectors` are in the tree's order. The nearest leaves give a first k-th distance; then the members of
-    all leaves that can pass the test are verified by rising projected distance until the next one fails it.
+    `ids` and `vectors` are in the tree's order. The nearest leaves give a first k-th distance. Then leaves are opened by the
+    distance of their boxes, nearest first: a member is a next projected neighbour once no unopened box is nearer, and
+    projected neighbours are verified in that order until the next one fails the test. What lies in boxes beyond is
+    never touched.
     """
     norm = float(query @ query) + most
     best_ids, best = np.zeros(0, np.int64), np.zeros(0)
@@ -128,16 +132,23 @@ def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, most: float, query_
         return ratio * max(0.0, norm - 2.0 * best[-1]) + slack if len(best) >= k else np.inf
 
     away = tree.boxes(projected)
-    near = np.argsort(away, kind="stable")[:max(2, 2 * k // LEAF + 1)]
-    seen = np.zeros(len(away), bool)
-    seen[near] = True
-    verify(np.concatenate([np.arange(tree.first[i], tree.first[i] + tree.sizes[i]) for i in near]))
-    members, apart = tree.within(projected, ~seen & (away <= reach()), reach())
-    at, step = 0, STEP
-    while at < len(members) and apart[at] <= reach():
-        verify(members[at:at + step])
-        at, step = at + step, 2 * step
-    return best_ids, best
+    order = np.argsort(away, kind="stable")
+    at = max(2, 2 * k // LEAF + 1)
+    verify(tree.members(order[:at]))
+    members, apart, step, leaves = np.zeros(0, np.int64), np.zeros(0), STEP, 4
+    while True:
+        box = away[order[at]] if at < len(order) else np.inf     # nothing nearer can still turn up
+        ready, first = int(np.searchsorted(apart, box, side="right")), 0
+        while first < ready and apart[first] <= reach():
+            verify(members[first:min(ready, first + step)])
+            first, step = min(ready, first + step), 2 * step
+        if first < ready or at >= len(order) or box > reach():
+            return best_ids, best
+        new = tree.members(order[at:at + leaves])
+        members, apart = np.concatenate([members[ready:], new]), np.concatenate([apart[ready:], tree.apart(projected, new)])
+        sort = np.argsort(apart, kind="stable")
+        members, apart = members[sort], apart[sort]
+        at, leaves = at + leaves, 2 * leaves
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -184,8 +195,8 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, certainty: f
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `query_every`.
 
     `vectors` has vec_id, embedding and any other columns. Vectors that are null, zero, empty, or hold null or
-    non-finite components take no part, nor do rows with a null id or a width other than the most common one
-    (the greatest of several). Rows that repeat an id count once, with the least of their vectors. Ties go to
+    non-finite components take no part, nor do rows with a null id. Shorter vectors are filled with zeros, which change
+    no inner product. Rows that repeat an id count once, with the least of their vectors. Ties go to
     the smaller id. With fewer than k candidates all are returned; an empty table gives an empty result.
     """
     embedding = F.col("embedding").cast("array<double>")
@@ -193,13 +204,13 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, certainty: f
     rows = vectors.select(as_long("vec_id").alias("vec_id"), embedding.alias("embedding")).filter("vec_id is not null and embedding is not null").filter(fine)
     rows = stored(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
     square = F.expr("aggregate(embedding, double(0), (t, v) -> t + v * v)")
-    facts = rows.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("held"), F.max(square).alias("most")).orderBy(F.desc("held"), F.desc("width")).first()
+    width, held, most = rows.agg(F.max(F.size("embedding")), F.count("*"), F.max(square)).first()
     out = "query_id long, vec_id long, score double"
-    if facts is None:
+    if not held:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, held, most = facts
     shards = max(1, math.ceil(held / shard))
-    rows = rows.filter(F.size("embedding") == width)
+    filled = F.when(F.size("embedding") < width, F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("embedding")))).otherwise(F.col("embedding"))
+    rows = rows.withColumn("embedding", filled)
     queries = rows.filter(F.col("vec_id") % query_every == 0)
     blocks = max(1, math.ceil(held / query_every / BLOCK))
     lanes = min(blocks, max(1, math.ceil(LANES / shards)))   # a task gets a shard's members and the query blocks of one lane

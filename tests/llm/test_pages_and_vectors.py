@@ -121,10 +121,25 @@ def test_nearest_recall_and_exact_scores(spark):
 def test_nearest_with_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, []), (7, [1.0]), (None, [1.0, 1.0]), (20, [0.5, 0.5]), (20, [0.5, 0.5]), (40, [float("inf"), 1.0]), (60, [0.0, 0.0])]
     got = [tuple(r) for r in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 0.5), (0, 2, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.5)]
+    assert got == [(0, 1, 7, 1.0), (0, 2, 1, 0.5), (0, 3, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.5), (20, 3, 7, 0.5)]
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_boxes_beyond_the_test_are_never_opened():
+    rng = np.random.default_rng(4)
+    centre = rng.normal(0, 10, (40, 8))
+    x = np.concatenate([c + rng.normal(0, 0.05, (200, 8)) for c in centre])
+    most = float((x * x).sum(axis=1).max())
+    matrix = nearest.projection(8)
+    tree = nearest.Tree(nearest.lift(x, most) @ matrix)
+    opened, members = [], tree.members
+    tree.members = lambda leaves: opened.append(len(leaves)) or members(leaves)
+    query = x[0] * np.sqrt(most) / np.linalg.norm(x[0])            # as long as the longest: its neighbours are its own cluster
+    ids, score = nearest.search(tree, tree.order, x[tree.order], most, -1, query, np.append(query, 0.0) @ matrix, 10, nearest.chi_square_point(0.95))
+    assert np.allclose(score, np.sort(x @ query)[::-1][:10]) and sum(opened) < len(tree.sizes) / 2
+    assert sorted(members(np.arange(len(tree.sizes))).tolist()) == list(range(len(x)))
+
+
 def test_chi_square_closed_form():
     rng = np.random.default_rng(0)
     draws = (rng.standard_normal((200_000, nearest.DIMENSIONS)) ** 2).sum(axis=1)

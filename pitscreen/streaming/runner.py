@@ -44,6 +44,13 @@ def run_daily_sink(deliveries: Sequence[DataFrame], path: str, name: str, by: st
 
 
 def run_to_table(deliveries: Sequence[DataFrame], transform: Transform, path: str, name: str, keys: Sequence[str], by: str) -> None:
-    """Merge every micro-batch of the transformed stream into the table at `path` by key; only touched partitions are rewritten."""
-    _resume(deliveries, name, lambda s: transform(s).writeStream.outputMode("update").foreachBatch(
-        lambda batch, _id: merge_by_key(batch, path, keys, by)))
+    """Merge every micro-batch of the transformed stream into the table at `path` by key; only touched partitions are rewritten.
+
+    A batch is written once before it is merged, since each use of a batch would run its stateful operator again.
+    """
+    def merge(batch: DataFrame, _id: int) -> None:
+        spark, beside = batch.sparkSession, scratch_path(batch.sparkSession, f"{name}-batch")
+        batch.write.parquet(beside)
+        merge_by_key(spark.read.schema(batch.schema).parquet(beside), path, keys, by)
+
+    _resume(deliveries, name, lambda s: transform(s).writeStream.outputMode("update").foreachBatch(merge))

@@ -281,7 +281,7 @@ def one_per_component(docs: DataFrame, size: int = 5, numerator: int = 80, denom
     named = rows.groupBy("__key").agg(F.min("__id").alias("__id"), F.count("*").alias("__times"))
     first = named.join(found, "__key").groupBy("__component").agg(F.min(F.struct("__id", "__key")).alias("__first"))
     kept = stored(first.select("__first.__key").join(named.select("__key", "__times"), "__key"), "kept")
-    keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), key))
-    once = keyed.join(kept.filter("__times = 1").select("__key"), "__key", "left_semi").unionByName(keyed.filter("doc_id is null"))
+    keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), key)).hint("merge")   # one plan for every size
+    once = keyed.join(kept.filter("__times = 1").select("__key"), "__key", "left_semi").unionByName(docs.filter("doc_id is null").withColumn("__key", F.lit(None).cast("long")))
     again = keyed.join(kept.filter("__times > 1").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
     return once.unionByName(again).select(docs.columns)

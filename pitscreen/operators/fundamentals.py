@@ -44,12 +44,16 @@ def preference(concept: Column) -> Column:
     return expr
 
 
+def is_annual() -> Column:
+    """Whether a fact is a yearly figure of a line item from an annual report."""
+    wanted = [name for names in CONCEPTS.values() for name in names]
+    return ((F.col("taxonomy") == "us-gaap") & (F.col("unit") == "USD") & (F.col("form") == "10-K")
+            & (F.col("fp") == "FY") & F.col("period_end").isNotNull() & F.col("concept").isin(wanted))
+
+
 def annual_entries(facts: DataFrame) -> DataFrame:
     """Yearly figures from annual reports, one row per (ticker, concept, period_end, filed)."""
-    wanted = [name for names in CONCEPTS.values() for name in names]
-    yearly = facts.where((F.col("taxonomy") == "us-gaap") & (F.col("unit") == "USD") & (F.col("form") == "10-K")
-                         & (F.col("fp") == "FY") & F.col("period_end").isNotNull() & F.col("concept").isin(wanted))
-    return yearly.groupBy("ticker", "concept", "period_end", "filed").agg(F.max("val").alias("val"))
+    return facts.where(is_annual()).groupBy("ticker", "concept", "period_end", "filed").agg(F.max("val").alias("val"))
 
 
 def annual_intervals(facts: DataFrame) -> DataFrame:
@@ -173,10 +177,13 @@ def with_fallback(primary: DataFrame, secondary: DataFrame, on: Sequence[str], v
 SHARE_COLUMNS = [f"_s{i}" for i in range(len(SHARE_CONCEPTS))]
 
 
+def is_share_count() -> Column:
+    return ((F.col("unit") == "shares") & F.col("form").isin("10-K", "10-Q") & F.col("filed").isNotNull() & (F.col("val") != 0))
+
+
 def share_counts(facts: DataFrame) -> DataFrame:
     """One row per (ticker, filed) with the count of each share concept filed that day."""
-    usable = facts.where((F.col("unit") == "shares") & F.col("form").isin("10-K", "10-Q")
-                         & F.col("filed").isNotNull() & (F.col("val") != 0))
+    usable = facts.where(is_share_count())
     newest = F.struct(F.coalesce(F.col("period_end").cast("string"), F.lit("")).alias("e"), F.col("val").alias("v"))
     daily = usable.groupBy("ticker", "filed").agg(*[
         F.max(F.when((F.col("taxonomy") == t) & (F.col("concept") == c), newest)).alias(n)
@@ -195,6 +202,32 @@ def shares_asof(requests: DataFrame, facts: DataFrame, lag_days: int = PUBLICATI
     return found.withColumn("shares", preferred_shares()).drop("_cutoff", *SHARE_COLUMNS)
 
 
+def companies_on(facts: DataFrame, as_of: Column, lag_days: int = PUBLICATION_LAG) -> DataFrame:
+    """(ticker, snapshot columns, shares) of one day, for every company with a usable fact by as_of - lag.
+
+    The values are those of `snapshots_asof` and `shares_asof`, in one scan: facts collapse to one row per
+    (ticker, concept, period_end, filed), then to the newest figures of a ticker by partial aggregation. What is
+    gathered per ticker are its annual revenues, a few rows a year.
+    """
+    annual, held = F.coalesce(is_annual(), F.lit(False)), F.coalesce(is_share_count(), F.lit(False))
+    known = facts.where((F.col("filed") <= F.date_sub(as_of, lag_days)) & (annual | held))
+    entries = known.groupBy("ticker", "taxonomy", "concept", "period_end", "filed").agg(
+        F.bool_or(annual).alias("_annual"), F.max(F.when(annual, F.col("val"))).alias("_fy"), F.max(F.when(held, F.col("val"))).alias("_held"))
+    concept = F.col("concept")
+    figure = F.struct("period_end", (-preference(concept)).alias("pref"), "filed", F.col("_fy").alias("val"), "concept")
+    items = {i: F.max(F.when(F.col("_annual") & (line_item(concept) == i), figure)) for i in CONCEPTS}
+    revenues = F.collect_list(F.when(F.col("_annual") & (line_item(concept) == "revenue"), F.struct("period_end", "filed", F.col("_fy").alias("val"), "concept")))
+    shares = {n: F.max(F.when(F.col("_held").isNotNull() & (F.col("taxonomy") == t) & (concept == c), F.struct(
+        "filed", F.coalesce(F.col("period_end").cast("string"), F.lit("")).alias("e"), F.col("_held").alias("v"))))["v"] for n, (t, c) in zip(SHARE_COLUMNS, SHARE_CONCEPTS)}
+    company = entries.groupBy("ticker").agg(*[c.alias(n) for n, c in {**items, "_revenues": revenues, **shares}.items()])
+    now = F.col("revenue")
+    prior = F.array_max(F.filter("_revenues", lambda r: (r["concept"] == now["concept"]) & F.datediff(now["period_end"], r["period_end"]).between(*PRIOR_YEAR_GAP)))
+    val = {i: F.when(now.isNotNull(), F.col(i)["val"]) for i in CONCEPTS}
+    return company.select("ticker", now["period_end"].alias("statement_date"), now["filed"].alias("filed_date"),
+                          growth_over(val["revenue"], prior["val"]).alias("revenue_growth_yoy"),
+                          *[c.alias(n) for n, c in ratios(**val).items()], preferred_shares().alias("shares"))
+
+
 def year_end_requests(bars: DataFrame) -> DataFrame:
     """One request per instrument and calendar year, dated 31 December."""
     return (bars.select("ticker", F.year("date").alias("year")).distinct()

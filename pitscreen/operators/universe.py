@@ -56,6 +56,12 @@ def close_asof(requests: DataFrame, bars: DataFrame, as_of: str = "as_of", name:
     return asof_backward(requests, prices, ["ticker"], as_of, "date", [name])
 
 
+def market_cap() -> Column:
+    """NULL when an input is missing or not positive."""
+    usable = (F.col("raw_close") > 0) & (F.col("shares") > 0)
+    return F.when(usable, F.col("raw_close") * F.col("shares"))
+
+
 def market_caps(requests: DataFrame, bars: DataFrame, facts: DataFrame, as_of: str = "as_of",
                 lag_days: int = PUBLICATION_LAG) -> DataFrame:
     """requests + raw_close, shares, mcap; NULL when an input is missing or not positive.
@@ -66,20 +72,7 @@ def market_caps(requests: DataFrame, bars: DataFrame, facts: DataFrame, as_of: s
     known = closes.unionByName(counts, allowMissingColumns=True)
     both = asof_backward(requests, known, ["ticker"], as_of, "_known", ["raw_close", *SHARE_COLUMNS], per_column=True)
     both = both.withColumn("shares", preferred_shares()).drop(*SHARE_COLUMNS)
-    usable = (F.col("raw_close") > 0) & (F.col("shares") > 0)
-    return both.withColumn("mcap", F.when(usable, F.col("raw_close") * F.col("shares")))
-
-
-def market_caps_on(members: DataFrame, bars: DataFrame, facts: DataFrame, as_of: Column, lag_days: int = PUBLICATION_LAG) -> DataFrame:
-    """`market_caps` of members(ticker) on one day: last values by partial aggregation, no time line and no window.
-    The day and the publication lag cut bars and facts where they are read."""
-    closes = bars.where((F.col("date") <= as_of) & F.col("close").isNotNull()).groupBy("ticker").agg(F.max_by("close", "date").alias("raw_close"))
-    counts = share_counts(facts.where(F.col("filed") <= F.date_sub(as_of, lag_days))).groupBy("ticker").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("filed"))).alias(c) for c in SHARE_COLUMNS])
-    both = members.join(closes, "ticker", "left").join(counts, "ticker", "left")
-    both = both.withColumns({"as_of": as_of, "shares": preferred_shares()}).drop(*SHARE_COLUMNS)
-    usable = (F.col("raw_close") > 0) & (F.col("shares") > 0)
-    return both.withColumn("mcap", F.when(usable, F.col("raw_close") * F.col("shares")))
+    return both.withColumn("mcap", market_cap())
 
 
 def top_by_cap(caps: DataFrame, n: int, by: Sequence[str] = ("as_of",)) -> DataFrame:

@@ -46,6 +46,11 @@ def distress_reason(item: Column, filed: Column) -> Column:
                     item_label(item))
 
 
+def concern_reason(form: Column, filed: Column) -> Column:
+    return F.concat(form, F.lit(" filed "), F.date_format(filed, "yyyy-MM-dd"),
+                    F.lit(": going-concern doubt (substantial doubt / going concern)"))
+
+
 def mentions_all(text: Column, phrases: Sequence[str] = GOING_CONCERN) -> Column:
     """TRUE when every phrase occurs in the text, whatever its case."""
     low = F.lower(text)
@@ -90,19 +95,48 @@ def veto(signals: DataFrame, filings: DataFrame, flags: DataFrame | None = None,
     recent = F.col("_filed") >= F.date_sub("date", lookback)
     found = found.withColumn("_distress", F.when(recent, distress_reason(F.col("_item"), F.col("_filed"))))
     if flags is not None:
-        found = going_concern(found, filings, flags).withColumn("_concern", F.when(F.col("concern"), F.concat(
-            "report_form", F.lit(" filed "), F.date_format("report_date", "yyyy-MM-dd"),
-            F.lit(": going-concern doubt (substantial doubt / going concern)"))))
+        found = going_concern(found, filings, flags).withColumn(
+            "_concern", F.when(F.col("concern"), concern_reason(F.col("report_form"), F.col("report_date"))))
         found = found.drop("concern", "report_doc", "report_form", "report_date")
     else:
         found = found.withColumn("_concern", F.lit(None).cast("string"))
     known = filings.select("ticker").distinct().withColumn("_known", F.lit(True))
-    out = found.join(known, "ticker", "left").withColumns({
+    return _with_verdict(found.join(known, "ticker", "left")).drop("_filed", "_item")
+
+
+def _with_verdict(found: DataFrame) -> DataFrame:
+    """blocked and reason from the two findings and from whether the ticker has any filing record."""
+    return found.withColumns({
         "blocked": F.col("_distress").isNotNull() | F.col("_concern").isNotNull(),
         "reason": F.when(F.col("_known").isNull(), F.concat(
             F.lit("unverifiable: no filing record for "), F.col("ticker"))).otherwise(
-                F.coalesce("_distress", "_concern", F.lit("")))})
-    return out.drop("_filed", "_item", "_distress", "_concern", "_known")
+                F.coalesce("_distress", "_concern", F.lit("")))}).drop("_distress", "_concern", "_known")
+
+
+def filing_state(filings: DataFrame, day: Column) -> DataFrame:
+    """Per ticker with any filing record: the newest distress filing and the newest annual or quarterly report
+    up to one day. One scan and one partial aggregate; of several filings on one day the lowest accession counts."""
+    ago = F.datediff(day, "filing_date")
+    newest = lambda cond, **cols: F.min(F.when(cond & (ago >= 0), F.struct(
+        ago.alias("ago"), F.col("accession").isNull().alias("unnamed"), "accession", F.col("filing_date").alias("filed"), *[c.alias(n) for n, c in cols.items()])))
+    hits = F.filter(F.col("items"), lambda i: i.isin(*DISTRESS_ITEMS))
+    return filings.groupBy("ticker").agg(
+        F.lit(True).alias("_known"), newest((F.col("form") == "8-K") & (F.size(hits) > 0), item=F.get(hits, F.lit(0))).alias("_d"),
+        newest(F.col("form").isin("10-K", "10-Q"), form=F.col("form"), doc=F.col("doc_id")).alias("_r"))
+
+
+def veto_on(signals: DataFrame, filings: DataFrame, day: Column, flags: DataFrame | None = None, lookback: int = LOOKBACK_DAYS) -> DataFrame:
+    """`veto` of signals(ticker, ...) that all stand on one day: last filings by aggregation, no time line and no window."""
+    recent = F.col("_d.ago") <= lookback
+    found = signals.join(filing_state(filings, day), "ticker", "left").withColumn(
+        "_distress", F.when(recent, distress_reason(F.col("_d.item"), F.col("_d.filed"))))
+    concern = F.lit(None).cast("string")
+    if flags is not None:
+        flagged = flags.where("concern").select(F.col("doc_id").alias("_doc"), F.lit(True).alias("_flag"))
+        found = found.withColumn("_doc", F.col("_r.doc")).join(flagged, "_doc", "left").drop("_doc")
+        concern = F.when(F.col("_flag"), concern_reason(F.col("_r.form"), F.col("_r.filed")))
+    found = found.withColumn("_concern", concern)
+    return _with_verdict(found).drop("_d", "_r", "_flag")
 
 
 def veto_buys(rows: DataFrame, filings: DataFrame, rule=veto, **options) -> DataFrame:

@@ -79,3 +79,27 @@ def test_vendor_growth_and_filing_date(spark):
     req = spark.createDataFrame([("A", dt.date(2022, 2, 19)), ("A", dt.date(2022, 2, 20))], "ticker string, as_of date")
     seen = {str(r.as_of): r.statement_date.year for r in fnd.filed_asof(req, rows, ["revenue"]).collect()}
     assert seen == {"2022-02-19": 2020, "2022-02-20": 2021}
+
+
+def test_companies_on_one_day_equal_the_timed_snapshots(spark):
+    """Random restatements, concept changes, missing items, null values and late filings."""
+    import random
+    rnd, rows = random.Random(3), []
+    names = ["Revenues", "SalesRevenueNet", "NetIncomeLoss", "StockholdersEquity", "LongTermDebt", "LongTermDebtNoncurrent"]
+    for t in range(30):
+        for year in range(2016, 2022):
+            for name in names:
+                for again in (0, 370):
+                    if rnd.random() < 0.6:
+                        end, val = dt.date(year, 12, 31), None if rnd.random() < 0.05 else float(rnd.randint(-20, 200))
+                        rows.append((f"T{t}", "us-gaap", name, "USD", rnd.choice(["10-K", "10-K", "10-Q"]), "FY", end, end + dt.timedelta(rnd.randint(20, 150) + again), val))
+            for taxonomy, name in fnd.SHARE_CONCEPTS:
+                if rnd.random() < 0.5:
+                    end = None if rnd.random() < 0.2 else dt.date(year, 12, 31)
+                    rows.append((f"T{t}", taxonomy, name, "shares", "10-K", "FY", end, dt.date(year + 1, rnd.randint(1, 12), 1), float(rnd.choice([0, -5, 100, 200]))))
+    facts = spark.createDataFrame(rows, SCHEMA)
+    day = dt.date(2020, 9, 1)
+    ask = spark.createDataFrame([(f"T{t}", day) for t in range(32)], "ticker string, as_of date")
+    want = fnd.shares_asof(fnd.snapshots_asof(ask, facts), facts).select("ticker", *fnd.SNAPSHOT_COLUMNS, "shares").orderBy("ticker").collect()
+    got = ask.join(fnd.companies_on(facts, F.lit(day)), "ticker", "left").select("ticker", *fnd.SNAPSHOT_COLUMNS, "shares").orderBy("ticker").collect()
+    assert got == want and sum(r.revenue_growth_yoy is not None for r in got) > 5 and sum(r.shares is not None for r in got) > 5

@@ -38,6 +38,24 @@ def test_vetoed_buys_leave_the_buy_list(spark):
     assert {r.ticker: r.signal for r in veto.veto_buys(rows, filings).collect()} == {"GOOD": "BUY", "BAD": "VETO", "BAD2": "SKIP"}
 
 
+def test_one_day_veto_equals_the_timed_one(spark):
+    """Random filings with several a day, later ones, items without distress and null dates."""
+    rng = np.random.default_rng(5)
+    base, items = D("2023-01-01"), [["1.03"], ["9.01", "4.02"], ["5.02"], [], None]
+    rows = [(f"T{rng.integers(25)}", ["8-K", "10-K", "10-Q"][rng.integers(3)], None if rng.random() < 0.05 else base + dt.timedelta(int(rng.integers(200))),
+             items[rng.integers(5)], f"{rng.integers(10**6):07d}", int(rng.integers(8))) for _ in range(400)]
+    filings = spark.createDataFrame(rows, FILING)
+    flags = spark.createDataFrame([(i, i % 2 == 0) for i in range(7)], "doc_id bigint, concern boolean")
+    day = D("2023-05-20")
+    ask = spark.createDataFrame([(f"T{i}", day) for i in range(30)], "ticker string, date date")
+    for options in ({}, {"flags": flags}, {"flags": flags, "lookback": 20}):
+        want = veto.veto(ask, filings, **options).select("ticker", "blocked", "reason").orderBy("ticker").collect()
+        got = veto.veto_on(ask, filings, F.lit(day), **options).select("ticker", "blocked", "reason").orderBy("ticker").collect()
+        assert got == want and any(r.blocked for r in got)
+    empty = veto.veto_on(ask, filings.limit(0), F.lit(day), flags=flags).collect()
+    assert len(empty) == 30 and not any(r.blocked for r in empty)
+
+
 def test_deflated_sharpe_reproduces_published_figures(spark):
     year = math.sqrt(252)
     row = spark.createDataFrame([(1759, 0.816 / year, 0.905, 16.03, 0.0537 / 252, 21)], "n bigint, sr double, skew double, kurt double, v double, trials bigint")

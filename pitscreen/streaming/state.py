@@ -100,9 +100,10 @@ class PositionLifecycle(_Keyed):
         days, closes = np.concatenate([days, _days(priced["date"])]), np.concatenate([closes, priced["close"].to_numpy(float)])
         order = np.argsort(days, kind="stable")
         entries, prices = np.concatenate([entries, _days(opened["date"])]), np.concatenate([prices, opened["close"].to_numpy(float)])
-        # expired timers of this batch run after its rows: they still need what lies before the new watermark
-        due = np.concatenate([due_days(entries, held) for held in (REMIND_FROM, EXIT_DAYS)])
-        self._store(entries, prices, days[order], closes[order], due.min() if len(due) else np.datetime64(timerValues.getCurrentWatermarkInMs() // DAY_MS, "D"))
+        # expired timers of this batch run after its rows: they still need what lies before the new watermark; days after it
+        # are kept wherever the first one due lies, or a row that comes again would count as new
+        due, watermark = np.concatenate([due_days(entries, held) for held in (REMIND_FROM, EXIT_DAYS)]), np.datetime64(timerValues.getCurrentWatermarkInMs() // DAY_MS, "D")
+        self._store(entries, prices, days[order], closes[order], min(due.min(), watermark) if len(due) else watermark)
         yield pd.DataFrame(columns=["ticker", "entry_date", "date", "alert", "days_held", "ret"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

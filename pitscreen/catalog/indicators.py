@@ -66,7 +66,7 @@ def _(spark, sf):
     return ind.volume_ratio(star.bars(spark, sf)).select(*KEEP, "vol_ratio")
 
 
-@query("ind_09_sma_slope", "SELECT ticker, date, sma_rising FROM ind2")
+@query("ind_09_sma_slope", "SELECT ticker, date, sma_rising FROM even")
 def _(spark, sf):
     return ind.sma_slope(ind.sma(star.bars(spark, sf), 200)).select(*KEEP, "sma_rising")
 

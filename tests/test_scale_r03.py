@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitscreen.operators import events, exits
+from pitscreen.functions import guards, tiers
+from pitscreen.operators import events, exits, indicators as ind
 from pitscreen.operators.windows import bar_index
 from pitscreen.plans import event_study as es
 from pitscreen.session import clustered
@@ -84,3 +85,19 @@ def test_hold_outcomes_take_one_frame_per_ticker(make_bars):
                 end = min(i + shift, len(series) - 1)
                 assert r.exit_price == series[end].close and r.exit_date == series[end].date
                 assert r.bars_held == end - i - (fill == "next_open") and r.status == ("CLOSED" if i + shift < len(series) else "OPEN")
+
+
+def test_averages_that_differ_by_rounding_are_equal(spark):
+    """Closes whose long averages agree exactly: 200 days of a pattern with period 20, then the same terms in another order."""
+    terms = [20.0001 + 3.7 * i for i in range(20)]
+    closes = terms * 10 + list(reversed(terms)) * 3
+    days = weekdays("2016-01-01", len(closes))
+    bars = spark.createDataFrame([("A", d, c) for d, c in zip(days, closes)], "ticker string, date date, close double")
+    rows = ind.sma_slope(ind.sma(bars, 200)).orderBy("date").collect()
+    even = [i for i in range(219, len(closes)) if (i + 1) % 20 == 0]
+    assert even and all(rows[i].sma_200 == pytest.approx(rows[i - 20].sma_200, rel=1e-13) for i in even)
+    assert [rows[i].sma_rising for i in even] == [False] * len(even)
+    noisy = spark.createDataFrame([(0.1 + 0.2, 0.3), (0.3, 0.1 + 0.2), (0.3001, 0.3), (0.3, 0.3001), (None, 0.3)], "a double, b double")
+    assert [r.x for r in noisy.select(guards.above(F.col("a"), F.col("b")).alias("x")).collect()] == [False, False, True, False, None]
+    trend = noisy.select(tiers.trend_score(F.col("a"), F.col("b"), F.col("b"), F.lit(True), F.lit(False)).alias("x"))
+    assert [r.x for r in trend.collect()] == [0.0, 0.0, 1.0, 0.0, None]

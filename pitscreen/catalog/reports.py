@@ -531,7 +531,7 @@ def _entry_ablation_sql(h: int) -> str:
 SELECT d.disabled, avg(f) FILTER (WHERE c >= CAST(0.65 AS DOUBLE)) AS high_mean, avg(f) FILTER (WHERE c < CAST(0.35 AS DOUBLE)) AS low_mean, count(*) FILTER (WHERE c >= CAST(0.65 AS DOUBLE)) AS high_n, count(*) FILTER (WHERE c < CAST(0.35 AS DOUBLE)) AS low_n FROM (
  SELECT d.disabled, f, CAST(0.3 AS DOUBLE) * CASE WHEN d.disabled = 'trend' THEN 0.5 ELSE trend_score END + CAST(0.3 AS DOUBLE) * CASE WHEN d.disabled = 'momentum' THEN 0.5 ELSE momentum_score END
    + CAST(0.2 AS DOUBLE) * CASE WHEN d.disabled = 'volume' THEN 0.5 ELSE volume_score END + CAST(0.2 AS DOUBLE) * CASE WHEN d.disabled = 'rsi' THEN 0.5 ELSE rsi_score END AS c
- FROM (SELECT *, lead(close, {h}) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS f FROM entry_all), (VALUES ('none'), ('trend'), ('momentum'), ('volume'), ('rsi')) d(disabled) WHERE f IS NOT NULL AND n_bars >= 200) d GROUP BY d.disabled"""
+ FROM (SELECT *, lead(close, {h}) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS f FROM even_entry), (VALUES ('none'), ('trend'), ('momentum'), ('volume'), ('rsi')) d(disabled) WHERE f IS NOT NULL AND n_bars >= 200) d GROUP BY d.disabled"""
 
 
 def _entry_ablation(spark, sf, h):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitscreen.functions import guards, tiers
-from pitscreen.operators import events, exits, indicators as ind
+from pitscreen.operators import asof, events, exits, indicators as ind
 from pitscreen.operators.windows import bar_index
 from pitscreen.plans import event_study as es
 from pitscreen.session import clustered
@@ -101,3 +101,34 @@ def test_averages_that_differ_by_rounding_are_equal(spark):
     assert [r.x for r in noisy.select(guards.above(F.col("a"), F.col("b")).alias("x")).collect()] == [False, False, True, False, None]
     trend = noisy.select(tiers.trend_score(F.col("a"), F.col("b"), F.col("b"), F.lit(True), F.lit(False)).alias("x"))
     assert [r.x for r in trend.collect()] == [0.0, 0.0, 1.0, 0.0, None]
+
+
+def test_probes_of_both_sides_share_one_sort(spark):
+    rnd = random.Random(5)
+    right = spark.createDataFrame([(k, t, float(t)) for k in "AB" for t in sorted(rnd.sample(range(60), 25))] + [("C", 1, None)], "k string, t int, v double")
+    left = spark.createDataFrame([(k, t) for k in "ABCD" for t in range(-2, 63)], "k string, at int")
+    met = asof.asof_probes(left, right, ["k"], "t", ["t", "v"], {"b": (F.col("at"), "before"), "u": (F.col("at"), "upto"), "f": (F.col("at"), "from")})
+    assert "_t#" in plan_of(met) and not re.search(r"Sort \[[^\]]*_t#\d+ DESC", plan_of(met))
+    have = {}
+    for r in right.collect():
+        have.setdefault(r.k, []).append(r.t)
+    rows = met.collect()
+    assert len(rows) == 4 * 65
+    for r in rows:
+        times = have.get(r.k, [])
+        want = (max((t for t in times if t < r["at"]), default=None), max((t for t in times if t <= r["at"]), default=None), min((t for t in times if t >= r["at"]), default=None))
+        assert tuple(x and x.t for x in (r.b, r.u, r.f)) == want
+
+
+def test_deliveries_and_jobs_score_the_bars_once(spark, monkeypatch):
+    """The plans behind the writes read stored scores: none of them holds the 252-bar window of a second scoring."""
+    from pitscreen.catalog import QUERIES, inputs, jobs, streams
+    seen = []
+    monkeypatch.setattr(streams.runner, "run_to_files", lambda parts, *a: seen.extend(parts) or parts[0])
+    monkeypatch.setattr(jobs.pos, "observed_run", lambda path, screened, changes, checked: seen.extend([changes, checked]) or changes)
+    monkeypatch.setattr(inputs.sinks, "write_run", lambda path, tasks, **outputs: seen.extend(outputs.values()))
+    for name in ("str_01_signal_changes", "job_11_run_summary"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    with pytest.raises(Exception):                                 # nothing was written, so nothing can be read back
+        QUERIES["snk_02_daily_outputs"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 10 and not any("lineitem" in plan_of(df) for df in seen)

@@ -7,7 +7,7 @@ from ..functions import scalars, tiers
 from ..operators import asof, curve, events, fundamentals as fnd, studies, universe as uni, veto
 from ..operators.windows import has_history
 from ..plans import alerts, event_study
-from ..session import scratch_path
+from ..session import clustered, scratch_path
 from ..sources import bars as src_bars, facts as src_facts, filings as src_filings, membership as src_members, sinks, star
 from .base import query
 from .ctes import W, asof as asof_sql, busday, caps, gate, shares
@@ -216,11 +216,12 @@ def _(spark, sf):
     """A backfill of all daily runs, its second half run again: every run writes alerts, exits and state of its days."""
     path = scratch_path(spark, "runs")
     rows = event_study.indicators.recovery_scores(has_history(star.bars(spark, sf), 252)).select("ticker", "date", "close", "composite_score")
-    rows = events.crossings(rows, F.col("composite_score") >= 0.60)
+    # stored once: six writes and the prices of the exits read from it
+    rows = clustered(events.crossings(rows, F.col("composite_score") >= 0.60))
     state = rows.where(F.col("composite_score") >= 0.60).select("ticker", F.col("date").alias("as_of"), "composite_score")
     history = state.select("ticker", F.col("as_of").alias("date"), F.lit("BUY").alias("signal"))
     fresh = alerts.weekday_changes(history).where(F.col("status") == "NEW").select("ticker", F.col("date").alias("as_of"), "status")
-    due = events.first_bar_after(rows.where("crossed").select("ticker", F.col("date").alias("entry_date"), F.col("close").alias("entry_price")), star.bars(spark, sf), 252)
+    due = events.first_bar_after(rows.where("crossed").select("ticker", F.col("date").alias("entry_date"), F.col("close").alias("entry_price")), rows, 252)
     exits = due.select("ticker", "entry_date", F.col("date").alias("as_of"), (F.col("close") / F.col("entry_price") - 1).alias("ret"))
     half = F.col("as_of") > "1998-06-30"
     sinks.write_run(path, tasks=16, alerts=fresh, exits=exits, state=state)

@@ -8,7 +8,7 @@ from ..functions.guards import holds
 from ..operators import events as ev, indicators as ind
 from ..operators.windows import has_history
 from ..plans import event_study as es
-from ..session import scratch_path
+from ..session import clustered, scratch_path
 from ..sources import star
 from ..streaming import runner, state
 from .base import query
@@ -24,7 +24,9 @@ def _halves(df, day="date", overlap=0):
 
 
 def _scored(spark, sf):
-    return ind.recovery_scores(has_history(star.bars(spark, sf), 252))
+    """Scored bars, stored once: every delivery is cut from them."""
+    rows = ind.recovery_scores(has_history(star.bars(spark, sf), 252))
+    return clustered(rows.select("ticker", "date", "close", "composite_score"))
 
 
 @query("str_01_signal_changes", f"""

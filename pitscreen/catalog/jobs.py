@@ -8,7 +8,7 @@ from ..operators import events as ev, indicators as ind, universe as uni, veto
 from ..operators.fundamentals import snapshots_asof
 from ..operators.windows import has_history
 from ..plans import alerts, event_study as es, positions as pos, screener
-from ..session import scratch_path
+from ..session import clustered, scratch_path
 from ..sources import bars as src_bars, star
 from .base import query
 from .inputs import LABEL
@@ -36,8 +36,8 @@ LEFT JOIN (SELECT q.*, contains(lower(d.text), 'the') AND contains(lower(d.text)
 SCREEN_D = "current_price high_52w drawdown_pct dip_score momentum_score volume_score composite_score"
 
 
-def _screen(spark, sf):
-    b = star.bars(spark, sf)
+def _screen(spark, sf, b=None):
+    b = star.bars(spark, sf) if b is None else b
     flags = veto.flag_documents(star.table(spark, sf, "documents"), ("the", "and"))
     return screener.screen(b, star.facts(spark, sf), star.filings(spark, sf), star.membership(spark, sf), _day(AS_OF), n=60, flags=flags)
 
@@ -61,8 +61,11 @@ def _(spark, sf):
 STATE = "SELECT ticker, date, 'BUY' AS signal FROM scored WHERE composite_score >= CAST(0.6 AS DOUBLE)"
 
 
-def _history(spark, sf):
-    rows = ind.recovery_scores(has_history(star.bars(spark, sf), 252))
+def _scored(spark, sf):
+    return ind.recovery_scores(has_history(star.bars(spark, sf), 252)).select("ticker", "date", "close", "composite_score")
+
+
+def _history(rows):
     gate = F.lit(True)
     return rows.select("ticker", F.trunc("date", "month").alias("as_of"), "date", tiers.recovery_signal(F.col("composite_score"), gate).alias("signal"))
 
@@ -72,7 +75,7 @@ WITH s AS (SELECT DISTINCT ticker, CAST(date_trunc('month', date) AS DATE) AS as
 n AS (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS nxt FROM d), p AS (SELECT s.ticker, n.nxt AS as_of FROM s JOIN n USING (as_of) WHERE n.nxt IS NOT NULL)
 SELECT coalesce(s.ticker, p.ticker) AS ticker, coalesce(s.as_of, p.as_of) AS as_of, CASE WHEN p.ticker IS NULL THEN 'NEW' WHEN s.ticker IS NULL THEN 'DROPPED' ELSE 'CONTINUING' END AS status FROM s FULL JOIN p ON p.ticker = s.ticker AND p.as_of = s.as_of""")
 def _(spark, sf):
-    return alerts.latest_two_days(_history(spark, sf))
+    return alerts.latest_two_days(_history(clustered(_scored(spark, sf))))
 
 
 DAILY_DIFF = """
@@ -84,12 +87,12 @@ SELECT coalesce(s.ticker, p.ticker) AS ticker, coalesce(s.date, p.date) AS date,
 
 @query("job_04_two_day_diff", DAILY_DIFF)
 def _(spark, sf):
-    return alerts.weekday_changes(_history(spark, sf))
+    return alerts.weekday_changes(_history(clustered(_scored(spark, sf))))
 
 
-def _holdings(spark, sf):
+def _holdings(spark, sf, b=None):
     """The latest crossing of every ticker before the as-of date, some without an entry price or limits."""
-    c = es.score_crossings(star.bars(spark, sf)).where(F.col("date") < AS_OF)
+    c = es.score_crossings(star.bars(spark, sf) if b is None else b).where(F.col("date") < AS_OF)
     h = c.groupBy("ticker").agg(F.max_by(F.struct("date", "close", "composite_score", "drawdown_52w"), "date").alias("e"))
     key = F.col("ticker").cast("bigint")
     return h.select("ticker", F.col("e.date").alias("entry_date"), F.when(key % 10 != 0, F.col("e.close")).alias("entry_price"),
@@ -107,7 +110,8 @@ WITH p AS (SELECT *, (current_price / entry_price - 1) * 100 AS return_pct FROM
 SELECT ticker, return_pct, CASE WHEN return_pct >= coalesce(alert_up_pct, 20) THEN 'PRICE_TARGET_UP' ELSE 'PRICE_TARGET_DOWN' END AS alert_type FROM p WHERE return_pct >= coalesce(alert_up_pct, 20) OR return_pct <= -coalesce(alert_down_pct, 10)
 UNION ALL SELECT ticker, return_pct, 'SIGNAL_ON_HELD_TICKER' FROM p WHERE signal = 'BUY'""", d="return_pct")
 def _(spark, sf):
-    return alerts.portfolio_alerts(_holdings(spark, sf), _screen(spark, sf), star.bars(spark, sf), _day(AS_OF)).select("ticker", "return_pct", "alert_type")
+    b = clustered(star.bars(spark, sf))        # holdings, screen and fallback prices read the same bars
+    return alerts.portfolio_alerts(_holdings(spark, sf, b), _screen(spark, sf, b), b, _day(AS_OF)).select("ticker", "return_pct", "alert_type")
 
 
 @query("joi_13_price_fallback", f"SELECT ticker, current_price FROM {PRICED}", d="current_price")
@@ -125,10 +129,11 @@ def _(spark, sf):
 POS = "(SELECT c.ticker, c.date AS entry_date, c.close AS entry_price, b.close AS current_price FROM (SELECT *, DATE '{0}' AS q FROM crossed WHERE date < DATE '{0}') c ASOF LEFT JOIN bars b ON b.ticker = c.ticker AND b.date <= c.q)".format(AS_OF)
 
 
-def _positions(spark, sf):
-    b = star.bars(spark, sf)
-    c = es.score_crossings(b).where(F.col("date") < AS_OF)
-    p = c.select("ticker", F.col("date").alias("entry_date"), F.col("close").alias("entry_price"), (F.col("ticker").cast("bigint") % 5 == 0).alias("reminder_sent"))
+def _positions(spark, sf, scored=None):
+    """Every crossing before the as-of date at the last price. `scored` may give the scored bars, which hold all bars of a ticker that crosses."""
+    b = star.bars(spark, sf) if scored is None else scored
+    c = es.score_crossings(b) if scored is None else ev.crossings(scored, F.col("composite_score") >= tiers.RECOVERY_BUY).where("crossed")
+    p = c.where(F.col("date") < AS_OF).select("ticker", F.col("date").alias("entry_date"), F.col("close").alias("entry_price"), (F.col("ticker").cast("bigint") % 5 == 0).alias("reminder_sent"))
     return pos.priced(p, b, _day(AS_OF))
 
 
@@ -183,8 +188,9 @@ WITH s AS ({SCREEN}), x AS (SELECT {HELD} AS h, ticker FROM {POS}), c AS (SELECT
  (SELECT count(*) FROM x WHERE h >= 252) AS exits, (SELECT count(*) FROM x WHERE h >= 222 AND h < 252 AND CAST(ticker AS BIGINT) % 5 <> 0) AS reminders, (SELECT count(*) FROM x) AS positions, (SELECT count(*) FROM c WHERE status = 'NEW') AS new, (SELECT count(*) FROM c WHERE status = 'CONTINUING') AS continuing, (SELECT count(*) FROM c WHERE status = 'DROPPED') AS dropped""",
        i="scanned buys vetoed exits reminders positions new continuing dropped")
 def _(spark, sf):
-    changes = alerts.weekday_changes(_history(spark, sf)).where(F.col("date") == _day(AS_OF)).withColumnRenamed("date", "as_of")
-    checked = pos.exit_check(_positions(spark, sf), _day(AS_OF)).withColumn("as_of", _day(AS_OF))
+    scored = clustered(_scored(spark, sf))     # changes and positions read the same scores
+    changes = alerts.weekday_changes(_history(scored)).where(F.col("date") == _day(AS_OF)).withColumnRenamed("date", "as_of")
+    checked = pos.exit_check(_positions(spark, sf, scored), _day(AS_OF)).withColumn("as_of", _day(AS_OF))
     return pos.observed_run(scratch_path(spark, "run"), _screen(spark, sf), changes, checked)
 
 
@@ -215,7 +221,7 @@ def _(spark, sf):
 
 def _half_buys(spark, sf):
     """Tickers with a buy signal after, and up to, the middle of the history."""
-    h = _history(spark, sf).where(F.col("signal") == "BUY")
+    h = _history(clustered(_scored(spark, sf))).where(F.col("signal") == "BUY")
     return h.where(F.col("date") >= "1999-01-01").select("ticker"), h.where(F.col("date") < "1999-01-01").select("ticker")
 
 

@@ -6,13 +6,15 @@ inner product. A Gaussian projection to DIMENSIONS coordinates keeps distances u
 chi-square factor: projected^2 / true^2 is chi-square with DIMENSIONS degrees of
 freedom. Vectors are dealt into shards of bounded size by the hash of their ids. In a
 shard a kd-tree over the projections gives the leaves nearest to the projected query;
-their members give a first k-th distance and rule out leaves by their boxes. Members of
-the others are verified with exact inner products by rising projected distance, until
-the chi-square test says that a point at least as near as the current k-th would have
-been met with probability `certainty`. The best of all shards meet.
-
-Query blocks visit all shards, so work is queries times shards; nothing is broadcast
-but the projection itself and no pair of vectors becomes a row before it is a result.
+their members give a first k-th distance. Further leaves are opened by the distance of
+their boxes, until the chi-square test says that a point at least as near as the current
+k-th would have been met with probability `certainty`. A block of queries goes through
+the leaves together: one matrix product scores a leaf for all queries that open it, and
+what may be among the k best is scored again row by row. The best of all shards meet.
+
+Queries visit all shards, so on vectors without structure, where hardly a box can be ruled
+out, work is queries times vectors, in matrix products; nothing is broadcast but the
+projection itself and no pair of vectors becomes a row before it is a result.
 """
 from __future__ import annotations
 
@@ -26,11 +28,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pitscreen.llm.common import as_long, stored
 
 DIMENSIONS = 12
-LEAF = 48
-STEP = 128             # members verified before the first test; twice as many before each next one
-SHARD = 20_000
-BLOCK = 256
-LANES = 64
+LEAF = 96
+GROWTH = 4             # so many times the leaves of a round are opened in the next one
+ROWS = 1 << 14         # pairs scored row by row at a time
+CROWD = 1 << 18        # pairs held between cuts to the k best
+SHARD = 1 << 16        # vectors of a shard at most
+WIDE = 1 << 22         # components of them at most
+SMALL = 4096           # vectors worth a shard, while there are fewer than TASKS
+BLOCK = 1024
+TASKS = 12
 CERTAINTY = 0.95
 SEED = 20240229
 
@@ -90,69 +96,94 @@ class Tree:
         self.low = np.stack([points[g].min(axis=0) for g in leaves])
         self.high = np.stack([points[g].max(axis=0) for g in leaves])
 
-    def boxes(self, query: np.ndarray) -> np.ndarray:
-        """Squared distances of a projected query from the leaves' boxes."""
-        out = np.maximum(0.0, np.maximum(self.low - query, query - self.high))
-        return np.einsum("ij,ij->i", out, out)
+    def boxes(self, queries: np.ndarray) -> np.ndarray:
+        """Squared distances of projected queries (rows) from the leaves' boxes (columns)."""
+        out = np.zeros((len(queries), len(self.sizes)))
+        for low, high, at in zip(self.low.T, self.high.T, queries.T):
+            side = np.maximum(low - at[:, None], at[:, None] - high)
+            np.maximum(side, 0.0, out=side)
+            out += side * side
+        return out
 
     def members(self, leaves: np.ndarray) -> np.ndarray:
         """Places in the order of the members of some leaves."""
         size = self.sizes[leaves]
         return np.repeat(self.first[leaves] - np.cumsum(size) + size, size) + np.arange(size.sum())
 
-    def apart(self, query: np.ndarray, members: np.ndarray) -> np.ndarray:
-        """Squared projected distances of some members from a projected query."""
-        return self.norms[members] + query @ query - 2.0 * (self.points[members] @ query)
-
 
 def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, most: float, query_id: int, query: np.ndarray, projected: np.ndarray, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and inner products of the k best members found, best first, ties to the smaller id.
-
-    `ids` and `vectors` are in the tree's order. The nearest leaves give a first k-th distance. Then leaves are opened by the
-    distance of their boxes, nearest first: a member is a next projected neighbour once no unopened box is nearer, and
-    projected neighbours are verified in that order until the next one fails the test. What lies in boxes beyond is
-    never touched.
-    """
-    norm = float(query @ query) + most
-    best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-    slack = 1e-9 * norm
+    """Ids and inner products of the k best members found for one query, best first, ties to the smaller id."""
+    return search_block(tree, ids, vectors, most, np.array([query_id]), query[None], projected[None], k, ratio)[1:]
 
-    def verify(members: np.ndarray) -> None:
-        nonlocal best_ids, best
-        if len(best) >= k:
-            members = members[np.einsum("ij,j->i", vectors[members], query) >= best[-1] - slack]
-        score = (vectors[members] * query).sum(axis=1)   # row by row: equal vectors get equal scores
-        new = ids[members]
-        other = new != query_id
-        best_ids, best = np.concatenate([best_ids, new[other]]), np.concatenate([best, score[other]])
-        top = np.lexsort((best_ids, -best))[:k]
-        best_ids, best = best_ids[top], best[top]
 
-    def reach() -> float:   # the squared projected distance beyond which the test holds
-        return ratio * max(0.0, norm - 2.0 * best[-1]) + slack if len(best) >= k else np.inf
+def search_block(tree: Tree, ids: np.ndarray, vectors: np.ndarray, most: float, query_ids: np.ndarray, queries: np.ndarray, projected: np.ndarray, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the query, id and inner product of the k best members found of each query: by query, best first, ties to the smaller id.
 
+    `ids` and `vectors` are in the tree's order. Every query opens leaves by the distance of their boxes, nearest first, GROWTH
+    times as many in a round as before, until the next box fails the test against its k-th so far. A round goes leaf by leaf:
+    one product scores a leaf for all queries that open it. Products only screen, with room for their rounding; what may be
+    among the k best is scored row by row, so that equal vectors get equal scores.
+    """
+    norm = np.einsum("ij,ij->i", queries, queries) + most
+    slack = 1e-9 * norm
     away = tree.boxes(projected)
-    order = np.argsort(away, kind="stable")
-    at = max(2, 2 * k // LEAF + 1)
-    verify(tree.members(order[:at]))
-    members, apart, step, leaves = np.zeros(0, np.int64), np.zeros(0), STEP, 4
+    place = np.empty(away.shape, np.int64)      # of a leaf among those of a query
+    np.put_along_axis(place, np.argsort(away, axis=1, kind="stable"), np.arange(away.shape[1])[None], axis=1)
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)      # places of queries and members, products
+    least = np.full(len(queries), -np.inf)      # the k-th so far
+
+    def exact(asker: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        score = np.empty(len(found))
+        for low in range(0, len(found), ROWS):
+            score[low:low + ROWS] = (vectors[found[low:low + ROWS]] * queries[asker[low:low + ROWS]]).sum(axis=1)
+        best = np.lexsort((ids[found], -score, asker))
+        asker, found, score = asker[best], found[best], score[best]
+        counts = np.bincount(asker, minlength=len(queries))
+        top = np.arange(len(asker)) - np.repeat(np.cumsum(counts) - counts, counts) < k
+        return asker[top], found[top], score[top]
+
+    def settle(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What may still be among the k best, with the k-th of each query renewed."""
+        asker, found, score = (np.concatenate(x) for x in zip(*parts))
+        other = ids[found] != query_ids[asker]
+        asker, found, score = asker[other], found[other], score[other]
+        best = np.lexsort((-score, asker))
+        counts = np.bincount(asker, minlength=len(queries))
+        full = counts >= k
+        least[full] = score[best[(np.cumsum(counts) - counts)[full] + k - 1]]
+        keep = ~(score < (least - slack)[asker])
+        asker, found, score = asker[keep], found[keep], score[keep]
+        return exact(asker, found) if len(found) > CROWD else (asker, found, score)    # many copies share the k-th place
+
+    at, to = 0, max(2, 2 * k // LEAF + 1)
     while True:
-        box = away[order[at]] if at < len(order) else np.inf     # nothing nearer can still turn up
-        ready, first = int(np.searchsorted(apart, box, side="right")), 0
-        while first < ready and apart[first] <= reach():
-            verify(members[first:min(ready, first + step)])
-            first, step = min(ready, first + step), 2 * step
-        if first < ready or at >= len(order) or box > reach():
-            return best_ids, best
-        new = tree.members(order[at:at + leaves])
-        members, apart = np.concatenate([members[ready:], new]), np.concatenate([apart[ready:], tree.apart(projected, new)])
-        sort = np.argsort(apart, kind="stable")
-        members, apart = members[sort], apart[sort]
-        at, leaves = at + leaves, 2 * leaves
-
-
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.stack([np.asarray(v.values, float) for v in column]) if len(column) else np.zeros((0, 0))
+        with np.errstate(invalid="ignore"):
+            reach = np.where(least > -np.inf, ratio * np.maximum(0.0, norm - 2.0 * least) + slack, np.inf)
+        want = (place >= at) & (place < to) & ~(away > reach[:, None])
+        opened = np.flatnonzero(want.any(axis=0))
+        if not len(opened):
+            break
+        members, low, parts, waiting, floor = tree.members(opened), 0, [held], 0, least - slack
+        for leaf, size in zip(opened.tolist(), tree.sizes[opened].tolist()):
+            first, who = members[low], np.flatnonzero(want[:, leaf])
+            low += size
+            asked, bar = (queries, floor) if len(who) == len(queries) else (queries[who], floor[who])
+            product = asked @ vectors[first:first + size].T
+            near = np.flatnonzero(~(product < bar[:, None]))
+            parts.append((who[near // size], first + near % size, product.ravel()[near]))
+            waiting += len(near)
+            if waiting > CROWD:
+                held = settle(parts)
+                parts, waiting, floor = [held], 0, least - slack
+        held = settle(parts)
+        at, to = to, GROWTH * to
+    asker, found, score = exact(*held[:2])
+    return asker, ids[found], score
+
+
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors of one width, none of them with a null."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
 def _shard_search(most: float, width: int, k: int, certainty: float):
@@ -170,14 +201,14 @@ def _shard_search(most: float, width: int, k: int, certainty: float):
                 state["members"] = np.concatenate(state["ids"])
                 state["vectors"] = np.concatenate(state["rows"])
                 state["tree"] = Tree(lift(state["vectors"], most) @ matrix)
-                state["members"], state["vectors"] = state["members"][state["tree"].order], state["vectors"][state["tree"].order]
+                state.update(members=state["members"][state["tree"].order], vectors=state["vectors"][state["tree"].order], rows=[])
             projected = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1) @ matrix
-            out = [search(state["tree"], state["members"], state["vectors"], most, int(i), q, p, k, ratio) for i, q, p in zip(query_ids, queries, projected)]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, [len(x) for x, _ in out])), pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], names=["query_id", "vec_id", "score"])
+            asker, found, score = search_block(state["tree"], state["members"], state["vectors"], most, query_ids, queries, projected, k, ratio)
+            return pa.RecordBatch.from_arrays([pa.array(query_ids[asker]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             task, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ids, vectors = batch.column(2).to_numpy(), _vectors(batch.column(3))
+            ids, vectors = batch.column(2).to_numpy(), _vectors(batch.column(3), width)
             cuts = np.flatnonzero((task[1:] != task[:-1]) | (block[1:] != block[:-1])) + 1
             for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
                 if task[low] != state["task"]:
@@ -185,13 +216,15 @@ def _shard_search(most: float, width: int, k: int, certainty: float):
                 if block[low] < 0:
                     state["ids"].append(ids[low:high]), state["rows"].append(vectors[low:high])
                 else:
-                    out = answer(ids[low:high], vectors[low:high])
-                    if out is not None and out.num_rows:
-                        yield out
+                    for first in range(low, high, BLOCK):       # a block may be larger where most ids are queries
+                        last = min(high, first + BLOCK)
+                        out = answer(ids[first:last], vectors[first:last])
+                        if out is not None and out.num_rows:
+                            yield out
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, certainty: float = CERTAINTY, shard: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, certainty: float = CERTAINTY, shard: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `query_every`.
 
     `vectors` has vec_id, embedding and any other columns. Vectors that are null, zero, empty, or hold null or
@@ -208,19 +241,21 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, certainty: f
     out = "query_id long, vec_id long, score double"
     if not held:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = max(1, math.ceil(held / shard))
+    shards = math.ceil(held / (shard or max(1, min(SHARD, WIDE // width))))
+    if not shard:
+        shards = max(shards, min(TASKS, math.ceil(held / SMALL)))   # every query visits every shard: no more than keep the cores busy
     filled = F.when(F.size("embedding") < width, F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("embedding")))).otherwise(F.col("embedding"))
     rows = rows.withColumn("embedding", filled)
     queries = rows.filter(F.col("vec_id") % query_every == 0)
     blocks = max(1, math.ceil(held / query_every / BLOCK))
-    lanes = min(blocks, max(1, math.ceil(LANES / shards)))   # a task gets a shard's members and the query blocks of one lane
+    lanes = min(blocks, max(1, math.ceil(TASKS / shards)))   # a task gets a shard's members and the query blocks of one lane
     every = lambda column, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(column)
     home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
     members = rows.select(home, every("lane", lanes), F.lit(-1).alias("block"), "vec_id", "embedding")
     asked = queries.select(every("shard", shards), F.pmod(block, F.lit(lanes)).cast("int").alias("lane"), block, "vec_id", "embedding")
     tasks = members.unionByName(asked).withColumn("task", F.col("shard") * lanes + F.col("lane"))
-    tasks = tasks.repartition(shards * lanes, "task").sortWithinPartitions("task", "block", "vec_id")
+    tasks = tasks.repartitionById(shards * lanes, "task").sortWithinPartitions("task", "block", "vec_id")
     found = tasks.select("task", "block", "vec_id", "embedding").mapInArrow(_shard_search(most, width, k, certainty), out)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

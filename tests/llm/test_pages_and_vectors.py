@@ -140,6 +140,72 @@ def test_boxes_beyond_the_test_are_never_opened():
     assert sorted(members(np.arange(len(tree.sizes))).tolist()) == list(range(len(x)))
 
 
+def test_a_block_of_queries_shares_its_passes_over_the_tree(monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1000:1400] = x[7]                                           # copies: ties beyond the k-th place
+    ids, most = rng.permutation(4000) * 3, float((x * x).sum(axis=1).max())
+    matrix = nearest.projection(32)
+    tree = nearest.Tree(nearest.lift(x, most) @ matrix)
+    asked = np.r_[0:200, 1000:1100]
+    projected = np.concatenate([x[asked], np.zeros((300, 1))], axis=1) @ matrix
+    passes, members = [], tree.members
+    tree.members = lambda leaves: passes.append(len(leaves)) or members(leaves)
+    results = []
+    for crowd in (nearest.CROWD, 500):
+        monkeypatch.setattr(nearest, "CROWD", crowd)
+        passes.clear()
+        results.append(nearest.search_block(tree, ids[tree.order], x[tree.order], most, ids[asked], x[asked], projected, 20, nearest.chi_square_point(0.95)))
+        assert len(passes) < 10 and sum(passes) <= len(passes) * len(tree.sizes)    # not one pass and more for each of 300 queries
+    assert all(np.array_equal(a, b) for a, b in zip(*results))
+    asker, found, score = results[0]
+    hits = 0
+    for place, row in enumerate(asked):
+        got = list(zip(found[asker == place].tolist(), score[asker == place].tolist()))
+        want = brute(ids, x, (ids[row], x[row]), 20)
+        if row >= 1000:
+            assert got == want
+        exact = dict(zip(ids.tolist(), (x * x[row]).sum(axis=1).tolist()))
+        assert len(got) == 20 and got == sorted(got, key=lambda t: (-t[1], t[0])) and all(exact[i] == s for i, s in got)
+        hits += len({i for i, _ in got} & {i for i, _ in want})
+    assert hits >= 0.95 * 20 * len(asked)
+
+
+def test_nearest_ships_each_vector_once_and_a_shard_to_a_partition(spark, monkeypatch):
+    def counted(*_):
+        def run(batches):
+            import pyarrow as pa
+            tasks, members, asked = set(), 0, 0
+            for batch in batches:
+                tasks |= set(batch.column(0).to_pylist())
+                members += sum(b < 0 for b in batch.column(1).to_pylist())
+                asked += sum(b >= 0 for b in batch.column(1).to_pylist())
+            assert len(tasks) == 1
+            yield pa.RecordBatch.from_arrays([pa.array([min(tasks)]).cast("int64"), pa.array([members]), pa.array([float(asked)])], names=["query_id", "vec_id", "score"])
+        return run
+
+    monkeypatch.setattr(nearest, "_shard_search", counted)
+    rng = np.random.default_rng(12)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((6000, 4)))], "vec_id long, embedding array<double>").repartition(4)
+    rows = nearest.nearest(frame, shard=500).collect()
+    assert sorted(r.query_id for r in rows) == list(range(12))
+    assert sum(r.vec_id for r in rows) == 6000 and {r.score for r in rows} == {300.0}
+
+
+def test_nearest_with_every_row_a_query_and_huge_vectors(spark):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((2500, 6))
+    x[5] *= 1e160                                                  # its square is beyond a double's range
+    ids = np.arange(2500) * 20
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(3)
+    by = {}
+    for r in nearest.nearest(frame, k=5, shard=1000).orderBy("query_id", "rank").collect():
+        by.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert sorted(by) == ids.tolist()
+    assert all(by[20 * n] == brute(ids, x, (20 * n, x[n]), 5) for n in range(2500))
+
+
 def test_chi_square_closed_form():
     rng = np.random.default_rng(0)
     draws = (rng.standard_normal((200_000, nearest.DIMENSIONS)) ** 2).sum(axis=1)

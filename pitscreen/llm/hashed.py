@@ -1,6 +1,8 @@
 """Hashed text features and small logistic models fitted on bounded samples."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -64,11 +66,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300,
     return w, b
 
 
+def row_blocks(x: np.ndarray, rows: int = 128) -> Iterator[tuple[slice, np.ndarray]]:
+    """The rows of `x` as doubles, a few at a time: a product of floats with doubles would copy the whole of `x`."""
+    for a in range(0, len(x), rows):
+        yield slice(a, a + rows), x[a:a + rows].astype(float)
+
+
 def _top_eigenvalue(x: np.ndarray, weight: np.ndarray, rounds: int = 15) -> float:
     v = np.ones(x.shape[1]) / np.sqrt(max(1, x.shape[1]))
     size = 0.0
     for _ in range(rounds):
-        v = (weight * (x @ v)) @ x
+        after = np.zeros(x.shape[1])
+        for at, part in row_blocks(x):
+            after += (weight[at] * (part @ v)) @ part
+        v = after
         size = float(np.linalg.norm(v))
         if size < 1e-12:
             return 1e-9

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pitscreen.llm.common import as_long, buffers, chunks, utf8
-from pitscreen.llm.hashed import _top_eigenvalue, frequencies, labelled_ids, sigmoid
+from pitscreen.llm.hashed import _top_eigenvalue, frequencies, labelled_ids, row_blocks, sigmoid
 from pitscreen.llm.quality_rules import sample_vectors
 
 SAMPLE = 6_000
@@ -29,7 +29,8 @@ KEEP_AT = 0.5
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds of a cumulative-link model, by accelerated gradient steps on the exact likelihood.
 
-    Thresholds are the first one and logarithms of the steps between them, so that they stay in order.
+    Thresholds are the first one and logarithms of the steps between them, so that they stay in order. A step
+    passes over `x` once, in blocks of rows, so that it needs no copy of the sample.
     """
     n, d = x.shape
     tails = np.array([(grade >= k).mean() for k in range(1, grades)])
@@ -42,17 +43,20 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, penalty:
     def slope(state: np.ndarray) -> np.ndarray:
         w, steps_up = state[:d], np.exp(state[d + 1:])
         cut = state[d] + np.concatenate([[0.0], np.cumsum(steps_up)])
-        above = np.concatenate([np.ones((n, 1)), sigmoid((x @ w)[:, None] - cut[None, :]), np.zeros((n, 1))], axis=1)
-        share = np.maximum(np.take_along_axis(above, grade[:, None], 1) - np.take_along_axis(above, grade[:, None] + 1, 1), 1e-9)[:, 0]
-        bend = above * (1 - above)
-        low = np.take_along_axis(bend, grade[:, None], 1)[:, 0] / share
-        high = np.take_along_axis(bend, grade[:, None] + 1, 1)[:, 0] / share
-        by_score = -(low - high) / n
+        low, high, by_weight = np.empty(n), np.empty(n), penalty * w
+        for at, part in row_blocks(x):
+            m, own = len(part), grade[at, None]
+            above = np.concatenate([np.ones((m, 1)), sigmoid((part @ w)[:, None] - cut[None, :]), np.zeros((m, 1))], axis=1)
+            share = np.maximum(np.take_along_axis(above, own, 1) - np.take_along_axis(above, own + 1, 1), 1e-9)[:, 0]
+            bend = above * (1 - above)
+            low[at] = np.take_along_axis(bend, own, 1)[:, 0] / share
+            high[at] = np.take_along_axis(bend, own + 1, 1)[:, 0] / share
+            by_weight += (high[at] - low[at]) / n @ part
         by_cut = np.zeros(grades - 1)
         for k in range(1, grades):
             by_cut[k - 1] = (low[grade == k].sum() - high[grade == k - 1].sum()) / n
         after = np.cumsum(by_cut[::-1])[::-1]
-        return np.concatenate([by_score @ x + penalty * w, after[:1], after[1:] * steps_up])
+        return np.concatenate([by_weight, after[:1], after[1:] * steps_up])
 
     lead, pace = state.copy(), 1.0
     for _ in range(steps):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pitscreen.llm.common import as_long, buffers, chunks, stored, utf8
-from pitscreen.llm.hashed import fit_logistic, fit_platt, frequencies, labelled_ids, sigmoid, with_labels
+from pitscreen.llm.hashed import WIDTH, fit_logistic, fit_platt, frequencies, labelled_ids, sigmoid, with_labels
 
 SAMPLE = 6_000
 PENALTY = 2e-5
@@ -73,12 +73,14 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample_vectors(docs: DataFrame, ids: DataFrame, label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, features and labels of the bounded sample, by id."""
+    """Ids, features and labels of the bounded sample, by id. Its rows pass the driver's JVM a partition at a time."""
     texts = docs.select(as_long("doc_id").alias("doc_id"), utf8().alias("text"))
-    found = stored(with_labels(texts, ids).select("doc_id", "text", label).mapInArrow(_vectors, "doc_id long, label int, vector binary"), "vectors").collect()
-    found.sort(key=lambda r: (r["doc_id"], bytes(r["vector"])))
-    x = np.stack([np.frombuffer(bytes(r["vector"]), np.float16) for r in found]).astype(np.float32) if found else np.zeros((0, 1), np.float32)
-    return np.array([r["doc_id"] for r in found], np.int64), x, np.array([r["label"] for r in found], np.int64)
+    rows = stored(with_labels(texts, ids).select("doc_id", "text", label).mapInArrow(_vectors, "doc_id long, label int, vector binary"), "vectors")
+    found = sorted((r["doc_id"], bytes(r["vector"]), r["label"]) for r in rows.toLocalIterator())
+    x = np.empty((len(found), WIDTH), np.float32)
+    for i, (_, vector, _) in enumerate(found):
+        x[i] = np.frombuffer(vector, np.float16)
+    return np.array([r[0] for r in found], np.int64), x, np.array([r[2] for r in found], np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE):

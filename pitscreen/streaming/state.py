@@ -5,7 +5,7 @@ per ticker; a replay brings at most its calendar-bounded history. Signal changes
 and thinned crossings act on rows only: bars of a ticker come in order of their
 dates, a row dated at or before the last one taken in is late and ignored, and
 tickers do not wait for each other. The life of positions runs on event time:
-a timer per reminder and exit fires when the watermark passes its day, whether
+a timer per ticker fires when the watermark passes the first day due, whether
 or not the ticker still trades. Deliveries use the watermark as well.
 """
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.guards import holds
 from ..plans.positions import EXIT_DAYS, REMIND_FROM
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -68,57 +69,71 @@ def due_days(entries: np.ndarray, held: int) -> np.ndarray:
     return np.busday_offset(entries, held, roll="forward")
 
 
+#: Alerts ahead and closes kept, as they lie in the state: days since 1970-01-01.
+ALERT = np.dtype([("due", "i4"), ("entry", "i4"), ("held", "i4"), ("price", "f8")])
+CLOSE = np.dtype([("day", "i4"), ("close", "f8")])
+
+
 class PositionLifecycle(_Keyed):
-    """Input rows (ticker, date, close, opened). A reminder on the weekday a position has been held for 222 weekdays, an
-    exit at 252, each from a timer: it fires when the watermark reaches the day, at the last close up to that day. The
-    row that opens a position has a close, so there is always one; a null close is no price.
+    """Input rows (ticker, day, close, opened). A reminder on the weekday a position has been held for 222 weekdays, an
+    exit at 252, each once the watermark reaches the day, at the last close up to that day. The row that opens a position
+    has a close, so there is always one; a null close is no price.
+
+    A ticker has one timer, at the first day due: when it fires, all that the watermark has reached is told at once, and
+    the next day due is set. A timer that an earlier day has overtaken finds nothing due.
 
-    State: open positions, and the closes that a timer may still ask for: all after the watermark, and one before the
+    State: alerts ahead, and the closes that they may still ask for: all after the watermark, and one before the
     earliest day due. Rows may come in any order within the watermark's delay; of rows for one day the first counts.
     """
-    schema = "entries array<date>, prices array<double>, days array<date>, closes array<double>"
+    schema = "alerts binary, closes binary"
 
-    def _load(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        entries, prices, days, closes = self.state.get() if self.state.exists() else ([], [], [], [])
-        return _days(entries), np.array(prices, float), _days(days), np.array(closes, float)
+    def _load(self) -> tuple[np.ndarray, np.ndarray]:
+        alerts, closes = self.state.get() or (b"", b"")
+        return np.frombuffer(alerts, ALERT), np.frombuffer(closes, CLOSE)
 
-    def _store(self, entries, prices, days, closes, watermark: np.datetime64) -> None:
-        due = np.concatenate([due_days(entries, held) for held in (REMIND_FROM, EXIT_DAYS)])
-        ahead = due[due > watermark]
-        start = max(0, int(np.searchsorted(days, min(watermark, ahead.min()) if len(ahead) else watermark, side="right")) - 1)
-        self.state.update((entries.tolist(), prices.tolist(), days[start:].tolist(), closes[start:].tolist()))
+    def _store(self, alerts: np.ndarray, closes: np.ndarray, watermark: int, timer: int | None) -> None:
+        """`timer`: the day for which a timer is set."""
+        due = int(alerts["due"].min()) if len(alerts) else None
+        start = np.searchsorted(closes["day"], watermark if due is None else min(due, watermark), side="right") - 1
+        self.state.update((alerts.tobytes(), closes[max(0, int(start)):].tobytes()))
+        if due is not None and due != timer:
+            self.handle.registerTimer(due * DAY_MS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        entries, prices, days, closes = self._load()
-        df = _ordered(rows)
-        fresh = df[~np.isin(_days(df["date"]), days)]
-        opened = fresh[fresh["opened"].fillna(False).astype(bool) & fresh["close"].notna()]
+        alerts, closes = self._load()
+        timer = int(alerts["due"].min()) if len(alerts) else None
+        df = pd.concat(list(rows))
+        day, first = np.unique(df["day"].to_numpy("i4"), return_index=True)
+        price, opened = df["close"].to_numpy(float)[first], df["opened"].to_numpy(bool)[first]
+        fresh = ~np.isnan(price) & ~np.isin(day, closes["day"])
+        added = np.zeros(int(fresh.sum()), CLOSE)
+        added["day"], added["close"] = day[fresh], price[fresh]
+        parts, entry = [alerts], added[opened[fresh]]
         for held in (REMIND_FROM, EXIT_DAYS):
-            for day in due_days(_days(opened["date"]), held).astype("int64").tolist():
-                self.handle.registerTimer(day * DAY_MS)
-        priced = fresh[fresh["close"].notna()]
-        days, closes = np.concatenate([days, _days(priced["date"])]), np.concatenate([closes, priced["close"].to_numpy(float)])
-        order = np.argsort(days, kind="stable")
-        entries, prices = np.concatenate([entries, _days(opened["date"])]), np.concatenate([prices, opened["close"].to_numpy(float)])
-        # expired timers of this batch run after its rows: they still need what lies before the new watermark; days after it
+            part = np.zeros(len(entry), ALERT)
+            part["due"] = due_days(entry["day"].astype("datetime64[D]"), held).astype("i4")
+            part["entry"], part["held"], part["price"] = entry["day"], held, entry["close"]
+            parts.append(part)
+        closes = np.concatenate([closes, added])
+        # an expired timer of this batch runs after its rows: it still needs what lies before the new watermark; days after it
         # are kept wherever the first one due lies, or a row that comes again would count as new
-        due, watermark = np.concatenate([due_days(entries, held) for held in (REMIND_FROM, EXIT_DAYS)]), np.datetime64(timerValues.getCurrentWatermarkInMs() // DAY_MS, "D")
-        self._store(entries, prices, days[order], closes[order], min(due.min(), watermark) if len(due) else watermark)
-        yield pd.DataFrame(columns=["ticker", "entry_date", "date", "alert", "days_held", "ret"])
+        self._store(np.concatenate(parts), closes[np.argsort(closes["day"], kind="stable")], timerValues.getCurrentWatermarkInMs() // DAY_MS, timer)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        entries, prices, days, closes = self._load()
-        day = np.datetime64(expiredTimerInfo.getExpiryTimeInMs() // DAY_MS, "D")
-        known = closes[: int(np.searchsorted(days, day, side="right"))]
-        out = []
-        for held, alert in ((REMIND_FROM, "REMINDER"), (EXIT_DAYS, "EXIT")):
-            hit = due_days(entries, held) == day
-            price = np.full(int(hit.sum()), known[-1]) if len(known) else prices[hit]
-            out.append(pd.DataFrame({"ticker": key[0], "entry_date": entries[hit].tolist(), "date": day.item(), "alert": alert,
-                                     "days_held": np.full(len(price), held, np.int64), "ret": price / prices[hit] - 1}))
-        stay = due_days(entries, EXIT_DAYS) != day
-        self._store(entries[stay], prices[stay], days, closes, min(day, np.datetime64(timerValues.getCurrentWatermarkInMs() // DAY_MS, "D")))
-        yield pd.concat(out)
+        alerts, closes = self._load()
+        watermark = timerValues.getCurrentWatermarkInMs() // DAY_MS
+        now = alerts["due"] <= watermark
+        if not now.any():
+            return
+        told = alerts[now]
+        last = np.searchsorted(closes["day"], told["due"], side="right") - 1
+        price = np.where(last < 0, told["price"], closes["close"][np.maximum(last, 0)]) if len(closes) else told["price"]
+        self._store(alerts[~now], closes, watermark, None)
+        dates = lambda days: days.astype("datetime64[D]").tolist()
+        yield pd.DataFrame({"ticker": key[0], "entry_date": dates(told["entry"]), "date": dates(told["due"]),
+                            "alert": np.where(told["held"] == EXIT_DAYS, "EXIT", "REMINDER"), "days_held": told["held"].astype("i8"),
+                            "ret": price / told["price"] - 1})
 
 
 class ThinnedCrossings(_Keyed):
@@ -183,7 +198,9 @@ def signal_changes(stream: DataFrame) -> DataFrame:
 
 def position_lifecycle(stream: DataFrame, delay: str = "5 days") -> DataFrame:
     """stream(ticker, date, close, opened) -> reminders and exits that fell due `delay` before the latest row of any ticker."""
-    return _stateful(_timed(stream.select("ticker", "date", "close", "opened"), "date", delay), PositionLifecycle(), LIFE_SCHEMA, "EventTime")
+    rows = stream.select("ticker", "date", "close", holds(F.col("opened")).alias("opened"))
+    timed = _timed(rows, "date", delay).select("ticker", F.unix_date("date").alias("day"), "close", "opened", "_ts")
+    return _stateful(timed, PositionLifecycle(), LIFE_SCHEMA, "EventTime")
 
 
 def thinned_crossings(stream: DataFrame, gap: int = 252) -> DataFrame:
